@@ -177,16 +177,19 @@ def average_precision(df: DataFrame, label: str, p: str) -> DataFrame:
 # Attribution of a linear model.
 
 def feature_attribution(df: DataFrame, keys: list[str], weights: dict[str, float]) -> DataFrame:
-    """What each feature adds to a row's score compared with a row of mean values: weight * (value - mean)."""
-    means = df.agg(*[F.avg(f).alias(f) for f in weights])
+    """What each feature adds to a row's score compared with a row of mean values: weight * (value - mean).
+
+    ``df`` is read twice, once for the means.
+    """
+    means = df.agg(F.struct(*[F.avg(f).alias(f) for f in weights]).alias("m")).scalar()
     rows = [
         F.struct(
             F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
-            (w * (F.col(f) - means.select(f).scalar())).alias("contribution"),
+            (w * (F.col(f) - F.col("_means")[f])).alias("contribution"),
         )
         for f, w in weights.items()
     ]
-    return df.select(*keys, F.inline(F.array(*rows)))
+    return df.withColumn("_means", means).select(*keys, F.inline(F.array(*rows)))
 
 
 def attribution_importance(contributions: DataFrame) -> DataFrame:

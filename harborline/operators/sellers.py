@@ -215,59 +215,66 @@ def weekly_review(weeks: DataFrame) -> DataFrame:
     return with_week(weeks).groupBy(*POINT, "week_idx").agg(F.avg("review_score").alias("y"))
 
 
-def weeks_present(weekly: DataFrame, name: str = "_weeks") -> DataFrame:
-    """Per observation date the weeks in which any seller has a row (8 at most)."""
-    return weekly.groupBy("observation_date").agg(F.sort_array(F.collect_set("week_idx")).alias(name))
+WEEKS = range(8)
+TRENDS = ["order_volume_slope", "dispatch_delay_slope", "review_score_slope"]
+
 
+def weeks_present(weekly: DataFrame, prefix: str = "", where: Column | None = None) -> DataFrame:
+    """Per observation date, for each of the 8 weeks: whether any seller has a row in it (``m0``..``m7``) and
+    its number among those weeks (``x0``..``x7``)."""
+    seen = F.lit(1) if where is None else F.when(where, 1)
+    marks = weekly.groupBy("observation_date").agg(
+        *[F.coalesce(F.max(F.when(F.col("week_idx") == k, seen)), F.lit(0)).alias(f"{prefix}m{k}") for k in WEEKS]
+    )
+    before = {f"{prefix}x{k}": sum((F.col(f"{prefix}m{j}") for j in range(k)), F.lit(0)) for k in WEEKS}
+    return marks.withColumns(before)
 
-def _filled(cells: Column, weeks: Column, carry: bool, default: float, value: str = "y") -> Column:
-    """One value for each of ``weeks`` from an array of weekly structs; see ``weekly_fill``."""
-    raw = F.transform(weeks, lambda w: F.get(F.filter(cells, lambda c: c["week_idx"] == w), 0)[value])
-    if not carry:
-        return F.transform(raw, lambda v: F.coalesce(v, F.lit(default)))
-    known = F.filter(raw, lambda v: v.isNotNull())
 
-    def last_known(i: Column) -> Column:
-        return F.get(F.reverse(F.filter(F.slice(raw, 1, i + 1), lambda v: v.isNotNull())), 0)
+def _week_columns(value: str, name: str) -> list[Column]:
+    """The weekly values of a series as the columns ``name0`` to ``name7``."""
+    return [F.max(F.when(F.col("week_idx") == k, F.col(value))).alias(f"{name}{k}") for k in WEEKS]
 
-    return F.transform(raw, lambda v, i: F.coalesce(v, last_known(i), F.get(known, 0), F.lit(default)))
 
+def _filled(name: str, carry: bool, default: float) -> dict[str, Column]:
+    """Weekly columns without gaps. With ``carry`` the nearest earlier value fills a gap, else the nearest later one."""
+    out = {}
+    for k in WEEKS:
+        nearest = [*range(k, -1, -1), *range(k + 1, 8)] if carry else [k]
+        out[f"{name}{k}"] = F.coalesce(*[F.col(f"{name}{j}") for j in nearest], F.lit(default))
+    return out
 
-def _slope(y: Column) -> Column:
-    """Least-squares slope of an array over its positions; 0 if it is constant or has one value."""
-    n = F.size(y).cast("double")
-    sum_x, sum_xx = n * (n - 1) / 2, (n - 1) * n * (2 * n - 1) / 6
-    sum_y = F.aggregate(y, F.lit(0.0), lambda s, v: s + v)
-    sum_xy = F.aggregate(F.transform(y, lambda v, i: v * i), F.lit(0.0), lambda s, v: s + v)
-    flat = (n < 2) | (F.array_min(y) == F.array_max(y))
-    return F.when(flat, 0.0).otherwise(F.try_divide(n * sum_xy - sum_x * sum_y, n * sum_xx - sum_x * sum_x))
 
+def _slope(name: str, prefix: str = "") -> Column:
+    """Least-squares slope over the weeks present; 0 if there is one week only or all values are equal."""
+    def total(term) -> Column:
+        return sum((F.when(F.col(f"{prefix}m{k}") == 1, term(F.col(f"{prefix}x{k}"), F.col(f"{name}{k}"))).otherwise(0.0) for k in WEEKS), F.lit(0.0))
 
-def _series(weekly: DataFrame, carry: bool, default: float) -> DataFrame:
-    cells = weekly.groupBy(*POINT).agg(F.collect_list(F.struct("week_idx", "y")).alias("_cells"))
-    dense = cells.join(weeks_present(weekly), "observation_date")
-    return dense.select(*POINT, "_weeks", _filled(F.col("_cells"), F.col("_weeks"), carry, default).alias("_y"))
+    shown = [F.when(F.col(f"{prefix}m{k}") == 1, F.col(f"{name}{k}")) for k in WEEKS]
+    n, sum_x, sum_xx = total(lambda x, y: F.lit(1.0)), total(lambda x, y: x), total(lambda x, y: x * x)
+    slope = F.try_divide(n * total(lambda x, y: x * y) - sum_x * total(lambda x, y: y), n * sum_xx - sum_x * sum_x)
+    return F.when(F.least(*shown) == F.greatest(*shown), 0.0).otherwise(F.coalesce(slope, F.lit(0.0)))
 
 
 def weekly_fill(weekly: DataFrame, carry: bool, default: float) -> DataFrame:
     """Dense weekly series: one row for every seller of a date and every week that any seller has on that date.
 
     ``x`` counts those weeks from 0. Missing values get ``default``; with ``carry`` first the value of the
-    week before, then that of the week after. A series has 8 values at most.
+    nearest week before, then that of the nearest week after. A series has 8 values at most.
     """
-    rows = _series(weekly, carry, default).select(*POINT, F.posexplode(F.arrays_zip("_weeks", "_y")).alias("x", "c"))
-    return rows.select(*POINT, F.col("c._weeks").alias("week_idx"), "x", F.col("c._y").alias("y"))
+    wide = weekly.groupBy(*POINT).agg(*_week_columns("y", "y")).join(weeks_present(weekly), "observation_date")
+    cells = [
+        F.struct(F.lit(k).alias("week_idx"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"), F.col(f"m{k}").alias("_m"))
+        for k in WEEKS
+    ]
+    return wide.withColumns(_filled("y", carry, default)).select(*POINT, F.inline(F.array(*cells))).where("_m = 1").drop("_m")
 
 
 def trend_slopes(weeks: DataFrame, approximate: bool = False) -> DataFrame:
     """Weekly trends of volume, dispatch time and review score; 0 where a seller has no such series."""
-    return _trends(_by_week(weeks, approximate), weeks).select(*POINT, *TRENDS)
-
+    return _points(weeks, approximate).select(*POINT, *TRENDS)
 
-TRENDS = ["order_volume_slope", "dispatch_delay_slope", "review_score_slope"]
 
-
-def _by_week(weeks: DataFrame, approximate: bool = False) -> DataFrame:
+def _by_week(weeks: DataFrame, approximate: bool) -> DataFrame:
     """Everything the features need, at one row per seller, date and week."""
     parts = with_week(weeks).groupBy(*POINT, "week_idx").agg(
         F.count(F.lit(1)).cast("double").alias("volume"), F.avg("review_score").alias("review"),
@@ -276,23 +283,23 @@ def _by_week(weeks: DataFrame, approximate: bool = False) -> DataFrame:
     return parts.join(weekly_dispatch(weeks, approximate).withColumnRenamed("y", "dispatch"), [*POINT, "week_idx"], "left")
 
 
-def _trends(by_week: DataFrame, weeks: DataFrame) -> DataFrame:
-    """Weekly rows combined to one row per seller and date, with trends and the parts of the 30-day figures."""
-    cells = F.collect_list(F.struct("week_idx", "volume", "review", "dispatch")).alias("_cells")
-    points = by_week.groupBy(*POINT).agg(cells, *[c.alias(n) for n, c in _merged_parts().items()])
-    # The weeks present need three columns of the rows only.
-    positive = F.when(F.col("dispatch_days") > 0, F.col("week_idx"))
-    present = with_week(weeks).groupBy("observation_date").agg(
-        F.sort_array(F.collect_set("week_idx")).alias("_weeks"), F.sort_array(F.collect_set(positive)).alias("_dispatch_weeks")
+def _points(weeks: DataFrame, approximate: bool) -> DataFrame:
+    """Weekly rows combined to one row per seller and date: trends, active weeks, the last week's dispatch time
+    and the parts of the 30-day figures."""
+    wide = _by_week(weeks, approximate).groupBy(*POINT).agg(
+        *_week_columns("volume", "v"), *_week_columns("dispatch", "d"), *_week_columns("review", "r"),
+        F.count(F.lit(1)).alias("seller_active_weeks"), F.max(F.when(F.col("week_idx") == 7, F.col("dispatch"))).alias("_last_dispatch"),
+        F.count("dispatch").alias("_dispatch_weeks"), *[c.alias(n) for n, c in _merged_parts().items()],
+    )
+    marked = with_week(weeks).select("observation_date", "week_idx", "dispatch_days")
+    present = weeks_present(marked).join(weeks_present(marked, "d_", F.col("dispatch_days") > 0), "observation_date")
+    dense = wide.join(present, "observation_date").withColumns(
+        {**_filled("v", False, 0.0), **_filled("d", True, 0.0), **_filled("r", True, 5.0)}
     )
-    c, any_week = F.col("_cells"), F.col("_weeks")
-    dispatch = _filled(c, F.col("_dispatch_weeks"), True, 0.0, "dispatch")
-    has_dispatch = F.exists(c, lambda w: w["dispatch"].isNotNull())
-    return points.join(present, "observation_date").select(
-        *POINT, *_merged_parts(), "_cells",
-        _slope(_filled(c, any_week, False, 0.0, "volume")).alias("order_volume_slope"),
-        F.when(has_dispatch, _slope(dispatch)).otherwise(0.0).alias("dispatch_delay_slope"),
-        _slope(_filled(c, any_week, True, 5.0, "review")).alias("review_score_slope"),
+    return dense.select(
+        *POINT, *_merged_parts(), "seller_active_weeks", "_last_dispatch", _slope("v").alias("order_volume_slope"),
+        F.when(F.col("_dispatch_weeks") > 0, _slope("d", "d_")).otherwise(0.0).alias("dispatch_delay_slope"),
+        _slope("r").alias("review_score_slope"),
     )
 
 
@@ -300,15 +307,13 @@ def seller_features(master: DataFrame, dates: DataFrame, zero_otd_is_one: bool =
     """All features of every seller and date; nothing from the observation date on is read.
 
     The rows of the eight weeks are aggregated to weeks once, and the weeks to sellers: the 30-day figures
-    add up, the trends come from the eight weekly values, and the last 7 days are the last week.
+    add up, the trends come from the eight weekly values, and the last 7 days are the last week. ``master``
+    is read four times, so pass a stored table rather than the joins that make it.
     """
-    weeks = eight_weeks(master, dates)
-    points = _trends(_by_week(weeks, approximate), weeks)
-    last_week = F.get(F.filter("_cells", lambda w: w["week_idx"] == 7), 0)["dispatch"]
-    out = points.select(
-        *POINT, *_recent_features(zero_otd_is_one), F.coalesce(last_week, F.lit(0.0)).alias("dispatch_time_p50_7d"),
-        F.size("_cells").cast("bigint").alias("seller_active_weeks"), *TRENDS,
-    )
+    points = _points(eight_weeks(master, dates), approximate).withColumns({
+        "dispatch_time_p50_7d": F.coalesce("_last_dispatch", F.lit(0.0))
+    })
+    out = points.select(*POINT, *_recent_features(zero_otd_is_one), "dispatch_time_p50_7d", "seller_active_weeks", *TRENDS)
     return seller_tenure(master, out).select(*POINT, "seller_state", *SELLER_FEATURES)
 
 

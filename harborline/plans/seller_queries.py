@@ -103,7 +103,7 @@ add(
     f"SELECT {ROW_SQL}, observation_date FROM {{d_weeks}}",
 )
 WINDOW = "rolling_30d_otd_rate rolling_30d_avg_review high_complaint_rate_30d revenue_at_risk_30d cancellation_rate_30d"
-add("seller_window_aggs", lambda t: sellers.seller_window_aggs(t.weeks), "SELECT * FROM {d_window_aggs}", WINDOW, 4)
+add("seller_window_aggs", lambda t: sellers.seller_window_aggs(t.weeks), "SELECT * FROM {d_window_aggs}", WINDOW)
 add("seller_tenure", lambda t: sellers.seller_tenure(t.master, t.weeks.select(*SELLER_KEYS).distinct()), "SELECT * FROM {d_tenure}")
 add("seller_dispatch_p50_7d", lambda t: sellers.seller_dispatch_p50(t.weeks), "SELECT * FROM {d_p50}", "dispatch_time_p50_7d")
 add("seller_active_weeks", lambda t: sellers.seller_active_weeks(t.weeks), "SELECT * FROM {d_active_weeks}")
@@ -113,7 +113,7 @@ add(
     lambda t: sellers.anti_survivors(sellers.active_sellers(t.master, t.dates), sellers.future_sellers(t.master, t.dates)),
     "SELECT seller_id, observation_date FROM {d_active} EXCEPT SELECT seller_id, observation_date FROM {d_future}",
 )
-add("churn_labels", lambda t: t.labels, "SELECT * FROM {d_labels}")
+add("churn_labels", lambda t: sellers.churn_labels(t.master, t.dates), "SELECT * FROM {d_labels}")
 add(
     "weekly_fill",
     lambda t: sellers.weekly_fill(sellers.weekly_dispatch(t.weeks), True, 0.0),
@@ -121,18 +121,18 @@ add(
     "y",
 )
 SLOPES = " ".join(sellers.TRENDS)
-add("trend_slopes", lambda t: sellers.trend_slopes(t.weeks), "SELECT * FROM {d_slopes}", SLOPES)
+add("trend_slopes", lambda t: sellers.trend_slopes(sellers.eight_weeks(t.stored_master, t.dates)), "SELECT * FROM {d_slopes}", SLOPES)
 add(
     "weekly_pivot",
     lambda t: sellers.weekly_pivot(sellers.weekly_volume(t.weeks)),
     "SELECT seller_id, observation_date, " + ", ".join(f"max(y) FILTER (WHERE week_idx = {i}) AS w{i}" for i in range(8)) + " FROM {d_volume} GROUP BY 1, 2",
 )
 FEATURES = f"{WINDOW} dispatch_time_p50_7d {SLOPES}"
-add("labels_join_features", lambda t: t.dataset, "SELECT * FROM {d_dataset}", FEATURES, 4)
+add("labels_join_features", lambda t: t.dataset, "SELECT * FROM {d_dataset}", FEATURES)
 add(
     "union_sets",
-    lambda t: t.dataset.where(F.col("observation_date") < TEST_FROM).withColumn("part", F.lit("train")).unionByName(
-        t.dataset.where(F.col("observation_date") >= TEST_FROM).withColumn("part", F.lit("test"))
+    lambda t: t.stored_dataset.where(F.col("observation_date") < TEST_FROM).withColumn("part", F.lit("train")).unionByName(
+        t.stored_dataset.where(F.col("observation_date") >= TEST_FROM).withColumn("part", F.lit("test"))
     ).select(*SELLER_KEYS, "part", "churned", "orders_30d"),
     f"SELECT seller_id, observation_date, CASE WHEN observation_date < DATE '{TEST_FROM}' THEN 'train' ELSE 'test' END AS part, churned, orders_30d FROM {{d_dataset}}",
 )
@@ -149,7 +149,7 @@ FROM (SELECT CAST(unnest(range(8)) AS INT) AS week_idx) w LEFT JOIN (
 )
 add(
     "churn_rate",
-    lambda t: sellers.churn_rate(t.labels, ["observation_date"]),
+    lambda t: sellers.churn_rate(sellers.churn_labels(t.master, t.dates), ["observation_date"]),
     "SELECT observation_date, count(*) AS total, CAST(sum(churned) AS BIGINT) AS churned, avg(churned) AS churn_rate FROM {d_labels} GROUP BY 1",
     "churn_rate",
 )
@@ -196,13 +196,13 @@ add(
     "critical_impact",
     lambda t: reports.critical_impact(t.scored),
     """SELECT count(*) AS flagged, CAST(sum(churned) AS BIGINT) AS true_churn, sum(revenue_at_risk_30d) AS revenue_at_risk FROM {d_scored} WHERE risk_tier = 'CRITICAL'""",
-    "revenue_at_risk", 2,
+    "revenue_at_risk", 4,
 )
 add(
     "feature_attribution",
     lambda t: t.contributions,
     "SELECT * FROM {d_contributions}",
-    "value contribution", 4,
+    "value contribution",
 )
 add(
     "attribution_importance",
@@ -215,7 +215,7 @@ add(
     lambda t: modeling.attribution_explain(t.contributions, SELLER_KEYS).drop("text"),
     """SELECT seller_id, observation_date, rank, feature, CASE WHEN contribution > 0 THEN 'INCREASES' ELSE 'DECREASES' END AS direction, abs(contribution) AS amount FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY seller_id, observation_date ORDER BY abs(contribution) DESC, feature) AS INT) AS rank FROM {d_contributions}) WHERE rank <= 5""",
-    "amount", 4,
+    "amount",
 )
 add(
     "top_drivers",
@@ -224,7 +224,7 @@ add(
     ).select(*SELLER_KEYS, "place", "d.feature", "d.value", "d.shap_impact"),
     """SELECT k.seller_id, k.observation_date, CAST(d.rank - 1 AS INT) AS place, d.feature, d.value, d.contribution AS shap_impact FROM (SELECT DISTINCT seller_id, observation_date FROM {d_contributions}) k
   LEFT JOIN {d_drivers} d ON k.seller_id = d.seller_id AND k.observation_date = d.observation_date""",
-    "value shap_impact", 4,
+    "value shap_impact",
 )
 add(
     "seller_risk_profiles",
@@ -236,7 +236,7 @@ add(
   CAST(s.orders_30d AS DOUBLE) AS orders_30d, s.rolling_30d_otd_rate AS otd_rate, s.rolling_30d_avg_review AS review_score, s.dispatch_delay_slope,
   coalesce(d.drivers, '') AS drivers FROM {d_scored} s LEFT JOIN (SELECT seller_id, observation_date, string_agg(feature, ',' ORDER BY rank) AS drivers FROM {d_drivers} GROUP BY 1, 2) d
   ON s.seller_id = d.seller_id AND s.observation_date = d.observation_date""",
-    "churn_probability revenue_at_risk otd_rate review_score dispatch_delay_slope", 4,
+    "churn_probability revenue_at_risk otd_rate review_score dispatch_delay_slope",
 )
 add(
     "driver_impact",
@@ -249,7 +249,7 @@ add(
 
 add(
     "class_weight",
-    lambda t: modeling.class_weight(t.labels, "churned"),
+    lambda t: modeling.class_weight(sellers.churn_labels(t.master, t.dates), "churned"),
     "SELECT coalesce(count(*) FILTER (WHERE churned = 0) / CAST(nullif(count(*) FILTER (WHERE churned = 1), 0) AS DOUBLE), 1) AS weight FROM {d_labels}",
     "weight",
 )
@@ -278,7 +278,7 @@ add(
 )
 add(
     "time_series_folds",
-    lambda t: modeling.time_series_folds(t.labels),
+    lambda t: modeling.time_series_folds(sellers.churn_labels(t.master, t.dates)),
     """SELECT f.fold, CASE WHEN b.block = f.fold THEN 'test' ELSE 'train' END AS role, CAST(sum(b.n) AS BIGINT) AS rows FROM (SELECT CAST(unnest(range(1, 6)) AS INT) AS fold) f JOIN (
   SELECT CASE WHEN pos < total - 5 * size THEN 0 ELSE 1 + (pos - (total - 5 * size)) // size END AS block, count(*) AS n FROM (
     SELECT row_number() OVER (ORDER BY observation_date, seller_id) - 1 AS pos, count(*) OVER () AS total, count(*) OVER () // 6 AS size FROM {d_labels}) GROUP BY 1) b

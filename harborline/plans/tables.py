@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harborline.functions.columns import flag
 from harborline.operators import demand, inventory, modeling, reports, sellers, supplier, warehouse
-from harborline.session import apply_settings
+from harborline.session import apply_settings, stored
 from harborline.sources.domain import view
 
 # A given linear churn model, for everything that explains or reports scores.
@@ -126,29 +126,38 @@ class Tables:
     def dates(self) -> DataFrame:
         return sellers.observation_dates_of(self["v_orders"])
 
+    @cached_property
+    def stored_master(self) -> DataFrame:
+        """The master as a table, for what reads it several times."""
+        return stored(self.master, "master")
+
     @cached_property
     def weeks(self) -> DataFrame:
         return sellers.eight_weeks(self.master, self.dates)
 
     @cached_property
     def labels(self) -> DataFrame:
-        return sellers.churn_labels(self.master, self.dates)
+        return sellers.churn_labels(self.stored_master, self.dates)
 
     @cached_property
     def features(self) -> DataFrame:
-        return sellers.seller_features(self.master, self.dates)
+        return sellers.seller_features(self.stored_master, self.dates)
 
     @cached_property
     def dataset(self) -> DataFrame:
         return sellers.labels_join_features(self.labels, self.features)
 
+    @cached_property
+    def stored_dataset(self) -> DataFrame:
+        return stored(self.dataset, "sellers", "observation_date", "seller_id")
+
     @cached_property
     def scored(self) -> DataFrame:
-        return modeling.linear_score(self.dataset, CHURN_WEIGHTS, CHURN_INTERCEPT)
+        return modeling.linear_score(self.stored_dataset, CHURN_WEIGHTS, CHURN_INTERCEPT)
 
     @cached_property
     def contributions(self) -> DataFrame:
-        return modeling.feature_attribution(self.dataset, SELLER_KEYS, CHURN_WEIGHTS)
+        return modeling.feature_attribution(self.stored_dataset, SELLER_KEYS, CHURN_WEIGHTS)
 
     @cached_property
     def profiles(self) -> DataFrame:

@@ -66,3 +66,14 @@ def durable(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it from there.
+
+    For tables that several queries read with different columns. With ``order`` the files hold ranges of
+    those columns, so a filter on them skips files.
+    """
+    path = fresh_path(df.sparkSession, name)
+    (df.repartitionByRange(*order) if order else df).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
