@@ -219,20 +219,26 @@ WEEKS = range(8)
 TRENDS = ["order_volume_slope", "dispatch_delay_slope", "review_score_slope"]
 
 
-def weeks_present(weekly: DataFrame, prefix: str = "", where: Column | None = None) -> DataFrame:
-    """Per observation date, for each of the 8 weeks: whether any seller has a row in it (``m0``..``m7``) and
-    its number among those weeks (``x0``..``x7``)."""
-    seen = F.lit(1) if where is None else F.when(where, 1)
-    marks = weekly.groupBy("observation_date").agg(
-        *[F.coalesce(F.max(F.when(F.col("week_idx") == k, seen)), F.lit(0)).alias(f"{prefix}m{k}") for k in WEEKS]
-    )
-    before = {f"{prefix}x{k}": sum((F.col(f"{prefix}m{j}") for j in range(k)), F.lit(0)) for k in WEEKS}
-    return marks.withColumns(before)
+def weeks_present(weekly: DataFrame, **series: str) -> DataFrame:
+    """Per observation date and named series (a name and the condition a row of it fulfils), for each of the
+    8 weeks: whether any seller has such a row (``<name>_m0``..``m7``) and the number of the week among those
+    weeks (``<name>_x0``..``x7``); with the count of weeks, the sum of their numbers and of the squares."""
+    marks = weekly.groupBy("observation_date").agg(*[
+        F.expr(f"coalesce(max(CASE WHEN week_idx = {k} AND ({where}) THEN 1 END), 0)").alias(f"{n}_m{k}")
+        for n, where in series.items() for k in WEEKS
+    ])
+    number = {f"{n}_x{k}": F.expr(" + ".join(["0", *[f"{n}_m{j}" for j in range(k)]])) for n in series for k in WEEKS}
+
+    def total(n: str, term: str):
+        return F.expr(" + ".join(f"{n}_m{k} * " + term.format(x=f"{n}_x{k}") for k in WEEKS)).cast("double")
+
+    sums = {f"{n}_{s}": total(n, term) for n in series for s, term in (("n", "1"), ("sx", "{x}"), ("sxx", "{x} * {x}"))}
+    return marks.withColumns(number).withColumns(sums)
 
 
 def _week_columns(value: str, name: str) -> list[Column]:
     """The weekly values of a series as the columns ``name0`` to ``name7``."""
-    return [F.max(F.when(F.col("week_idx") == k, F.col(value))).alias(f"{name}{k}") for k in WEEKS]
+    return [F.expr(f"max(CASE WHEN week_idx = {k} THEN {value} END)").alias(f"{name}{k}") for k in WEEKS]
 
 
 def _filled(name: str, carry: bool, default: float) -> dict[str, Column]:
@@ -240,19 +246,17 @@ def _filled(name: str, carry: bool, default: float) -> dict[str, Column]:
     out = {}
     for k in WEEKS:
         nearest = [*range(k, -1, -1), *range(k + 1, 8)] if carry else [k]
-        out[f"{name}{k}"] = F.coalesce(*[F.col(f"{name}{j}") for j in nearest], F.lit(default))
+        out[f"{name}{k}"] = F.expr(f"coalesce({', '.join(f'{name}{j}' for j in nearest)}, {default}D)")
     return out
 
 
-def _slope(name: str, prefix: str = "") -> Column:
+def _slope(name: str, on: str) -> Column:
     """Least-squares slope over the weeks present; 0 if there is one week only or all values are equal."""
-    def total(term) -> Column:
-        return sum((F.when(F.col(f"{prefix}m{k}") == 1, term(F.col(f"{prefix}x{k}"), F.col(f"{name}{k}"))).otherwise(0.0) for k in WEEKS), F.lit(0.0))
-
-    shown = [F.when(F.col(f"{prefix}m{k}") == 1, F.col(f"{name}{k}")) for k in WEEKS]
-    n, sum_x, sum_xx = total(lambda x, y: F.lit(1.0)), total(lambda x, y: x), total(lambda x, y: x * x)
-    slope = F.try_divide(n * total(lambda x, y: x * y) - sum_x * total(lambda x, y: y), n * sum_xx - sum_x * sum_x)
-    return F.when(F.least(*shown) == F.greatest(*shown), 0.0).otherwise(F.coalesce(slope, F.lit(0.0)))
+    sy = " + ".join(f"{on}_m{k} * {name}{k}" for k in WEEKS)
+    sxy = " + ".join(f"{on}_m{k} * {on}_x{k} * {name}{k}" for k in WEEKS)
+    shown = ", ".join(f"CASE WHEN {on}_m{k} = 1 THEN {name}{k} END" for k in WEEKS)
+    slope = f"try_divide({on}_n * ({sxy}) - {on}_sx * ({sy}), {on}_n * {on}_sxx - {on}_sx * {on}_sx)"
+    return F.expr(f"CASE WHEN least({shown}) = greatest({shown}) THEN 0D ELSE coalesce({slope}, 0D) END")
 
 
 def weekly_fill(weekly: DataFrame, carry: bool, default: float) -> DataFrame:
@@ -261,12 +265,10 @@ def weekly_fill(weekly: DataFrame, carry: bool, default: float) -> DataFrame:
     ``x`` counts those weeks from 0. Missing values get ``default``; with ``carry`` first the value of the
     nearest week before, then that of the nearest week after. A series has 8 values at most.
     """
-    wide = weekly.groupBy(*POINT).agg(*_week_columns("y", "y")).join(weeks_present(weekly), "observation_date")
-    cells = [
-        F.struct(F.lit(k).alias("week_idx"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"), F.col(f"m{k}").alias("_m"))
-        for k in WEEKS
-    ]
-    return wide.withColumns(_filled("y", carry, default)).select(*POINT, F.inline(F.array(*cells))).where("_m = 1").drop("_m")
+    wide = weekly.groupBy(*POINT).agg(*_week_columns("y", "y")).join(weeks_present(weekly, w="true"), "observation_date")
+    cells = ", ".join(f"struct({k} AS week_idx, w_x{k} AS x, y{k} AS y, w_m{k} AS _m)" for k in WEEKS)
+    dense = wide.withColumns(_filled("y", carry, default)).select(*POINT, F.expr(f"inline(array({cells}))"))
+    return dense.where("_m = 1").drop("_m")
 
 
 def trend_slopes(weeks: DataFrame, approximate: bool = False) -> DataFrame:
@@ -292,14 +294,14 @@ def _points(weeks: DataFrame, approximate: bool) -> DataFrame:
         F.count("dispatch").alias("_dispatch_weeks"), *[c.alias(n) for n, c in _merged_parts().items()],
     )
     marked = with_week(weeks).select("observation_date", "week_idx", "dispatch_days")
-    present = weeks_present(marked).join(weeks_present(marked, "d_", F.col("dispatch_days") > 0), "observation_date")
+    present = weeks_present(marked, any="true", disp="dispatch_days > 0")
     dense = wide.join(present, "observation_date").withColumns(
         {**_filled("v", False, 0.0), **_filled("d", True, 0.0), **_filled("r", True, 5.0)}
     )
     return dense.select(
-        *POINT, *_merged_parts(), "seller_active_weeks", "_last_dispatch", _slope("v").alias("order_volume_slope"),
-        F.when(F.col("_dispatch_weeks") > 0, _slope("d", "d_")).otherwise(0.0).alias("dispatch_delay_slope"),
-        _slope("r").alias("review_score_slope"),
+        *POINT, *_merged_parts(), "seller_active_weeks", "_last_dispatch", _slope("v", "any").alias("order_volume_slope"),
+        F.when(F.col("_dispatch_weeks") > 0, _slope("d", "disp")).otherwise(0.0).alias("dispatch_delay_slope"),
+        _slope("r", "any").alias("review_score_slope"),
     )
 
 

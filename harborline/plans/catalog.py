@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from harborline.plans import seller_queries, stock_queries  # noqa: F401
+from harborline.plans import data_queries, job_queries, seller_queries, stock_queries  # noqa: F401
 from harborline.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
