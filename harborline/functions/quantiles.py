@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from harborline.operators.ordering import running_totals
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], approximate: bool = False) -> DataFrame:
     """Linearly interpolated quantiles per group, one column for each entry of ``probs``.
 
-    Equal values are counted first, spread over all tasks by (group, value), so that a group holding a
-    third of all rows reaches its final task as one entry per distinct value. Delays in days and waiting
-    times in seconds have few enough of those. For measures without such a resolution at very large
-    scale, ``approximate`` uses the mergeable sketch instead.
+    Equal values are counted first, spread over all tasks by (group, value), so a hot group goes on as one
+    row per distinct value. Running counts over these rows, which spill to disk where they must, then show
+    which values hold the wanted ranks. Without groups the running counts are range-partitioned, so no task
+    sees all values. ``approximate`` uses the mergeable sketch instead: one pass, fixed memory.
     """
     rows = df.where(F.col(value).isNotNull()).withColumn("_value", F.col(value).cast("double"))
     if approximate:
         return rows.groupBy(*by).agg(*[F.percentile_approx("_value", p, 100000).alias(n) for n, p in probs.items()])
     counted = rows.groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_n"))
-    names = list(probs)
-    out = counted.groupBy(*by).agg(F.percentile("_value", F.array(*[F.lit(probs[n]) for n in names]), F.col("_n")).alias("_q"))
-    return out.select(*by, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    if by:
+        group = Window.partitionBy(*by)
+        upto = F.sum("_n").over(group.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
+        ranked = counted.withColumns({"_upto": upto, "_total": F.sum("_n").over(group)})
+    else:
+        placed = running_totals(counted, [], ["_value"], {"_upto": F.col("_n")})
+        ranked = placed.withColumn("_total", placed.agg(F.max("_upto")).scalar())
+
+    def at(rank: Column) -> Column:
+        """The value at a rank counted from 0: the smallest one with more rows up to it."""
+        return F.min(F.when(F.col("_upto") > rank, F.col("_value")))
+
+    parts = []
+    for i, p in enumerate(probs.values()):
+        rank = (F.col("_total") - 1) * F.lit(p)
+        parts += [at(F.floor(rank)).alias(f"_lo{i}"), at(F.ceil(rank)).alias(f"_hi{i}"), F.max(rank - F.floor(rank)).alias(f"_f{i}")]
+    found = ranked.groupBy(*by).agg(*parts)
+    return found.select(*by, *[F.expr(f"_lo{i} + (_hi{i} - _lo{i}) * _f{i}").alias(n) for i, n in enumerate(probs)])

@@ -26,7 +26,7 @@ def fold_blocks(df: DataFrame, order: list[str] | None = None, n: int = 5) -> Da
     """
     order = order or FOLD_ORDER
     placed = running_totals(df, [], order, {"_pos": F.lit(1)})
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = placed.agg(F.coalesce(F.max("_pos"), F.lit(0))).scalar()
     size = F.floor(total / (n + 1))
     into = F.col("_pos") - 1 - (total - n * size)
     block = F.when((size == 0) | (into < 0), 0).otherwise(F.floor(F.try_divide(into, size)) + 1)

@@ -126,7 +126,7 @@ def eight_weeks(master: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def _recent_parts() -> dict[str, Column]:
-    """Counts and sums over the last 30 days that can be added up further."""
+    """Counts and sums over the last 30 days."""
     recent = _since(30)
     complaint = flag(recent & (F.col("review_score") <= 2))
     delivered = recent & (F.col("order_status") == "delivered")
@@ -134,22 +134,14 @@ def _recent_parts() -> dict[str, Column]:
         "_n": F.count_if(recent),
         "_delivered": F.count_if(delivered),
         "_on_time": F.count_if(delivered & F.col("on_time")),
-        "_review_sum": F.sum(F.when(recent, F.col("review_score"))),
-        "_review_n": F.count(F.when(recent, F.col("review_score"))),
+        "_review": F.avg(F.when(recent, F.col("review_score"))),
         "_complaints": F.count_if(complaint),
         "_revenue": F.sum(F.when(complaint, F.col("price"))),
         "_canceled": F.count_if(recent & (F.col("order_status") == "canceled")),
-        # There are only so many product categories.
-        "_categories": F.collect_set(F.when(recent, F.col("product_category_name"))),
+        "product_category_diversity": F.count_distinct(F.when(recent, F.col("product_category_name"))),
     }
 
 
-def _merged_parts() -> dict[str, Column]:
-    names = [n for n in _recent_parts() if n != "_categories"]
-    merged = F.array_distinct(F.flatten(F.collect_list("_categories")))
-    return {**{n: F.sum(n) for n in names}, "_categories": merged}
-
-
 def _recent_features(zero_otd_is_one: bool) -> list[Column]:
     rate = F.try_divide("_on_time", "_delivered")
     if zero_otd_is_one:
@@ -158,11 +150,11 @@ def _recent_features(zero_otd_is_one: bool) -> list[Column]:
     return [
         F.col("_n").alias("orders_30d"),
         F.coalesce(rate, F.lit(1.0)).alias("rolling_30d_otd_rate"),
-        F.coalesce(F.try_divide("_review_sum", "_review_n"), F.lit(5.0)).alias("rolling_30d_avg_review"),
+        F.coalesce("_review", F.lit(5.0)).alias("rolling_30d_avg_review"),
         (F.col("_complaints") / per_order).alias("high_complaint_rate_30d"),
         F.coalesce("_revenue", F.lit(0.0)).alias("revenue_at_risk_30d"),
         (F.col("_canceled") / per_order).alias("cancellation_rate_30d"),
-        F.size("_categories").cast("bigint").alias("product_category_diversity"),
+        F.col("product_category_diversity"),
     ]
 
 
@@ -271,36 +263,40 @@ def weekly_fill(weekly: DataFrame, carry: bool, default: float) -> DataFrame:
     return dense.where("_m = 1").drop("_m")
 
 
-def trend_slopes(weeks: DataFrame, approximate: bool = False) -> DataFrame:
+def trend_slopes(master: DataFrame, dates: DataFrame, approximate: bool = False) -> DataFrame:
     """Weekly trends of volume, dispatch time and review score; 0 where a seller has no such series."""
-    return _points(weeks, approximate).select(*POINT, *TRENDS)
+    return _points(master, dates, approximate).select(*POINT, *TRENDS)
 
 
-def _by_week(weeks: DataFrame, approximate: bool) -> DataFrame:
-    """Everything the features need, at one row per seller, date and week."""
-    parts = with_week(weeks).groupBy(*POINT, "week_idx").agg(
-        F.count(F.lit(1)).cast("double").alias("volume"), F.avg("review_score").alias("review"),
-        *[c.alias(n) for n, c in _recent_parts().items()],
-    )
-    return parts.join(weekly_dispatch(weeks, approximate).withColumnRenamed("y", "dispatch"), [*POINT, "week_idx"], "left")
+def _points(master: DataFrame, dates: DataFrame, approximate: bool) -> DataFrame:
+    """One row per seller and date: trends, active weeks, dispatch time of the last week and 30-day figures.
 
-
-def _points(weeks: DataFrame, approximate: bool) -> DataFrame:
-    """Weekly rows combined to one row per seller and date: trends, active weeks, the last week's dispatch time
-    and the parts of the 30-day figures."""
-    wide = _by_week(weeks, approximate).groupBy(*POINT).agg(
-        *_week_columns("volume", "v"), *_week_columns("dispatch", "d"), *_week_columns("review", "r"),
-        F.count(F.lit(1)).alias("seller_active_weeks"), F.max(F.when(F.col("week_idx") == 7, F.col("dispatch"))).alias("_last_dispatch"),
-        F.count("dispatch").alias("_dispatch_weeks"), *[c.alias(n) for n, c in _merged_parts().items()],
-    )
-    marked = with_week(weeks).select("observation_date", "week_idx", "dispatch_days")
-    present = weeks_present(marked, any="true", disp="dispatch_days > 0")
-    dense = wide.join(present, "observation_date").withColumns(
-        {**_filled("v", False, 0.0), **_filled("d", True, 0.0), **_filled("r", True, 5.0)}
+    One aggregate over the rows of the eight weeks gives the weekly volumes and reviews as columns; the
+    weekly medians of the dispatch time come from their own.
+    """
+    weeks = eight_weeks(master, dates)
+    week_sums = [
+        F.expr(f"{agg}(CASE WHEN week_idx = {k} THEN {value} END)").alias(f"{name}{k}")
+        for name, agg, value in (("_v", "count", "1"), ("_rs", "sum", "review_score"), ("_rn", "count", "review_score")) for k in WEEKS
+    ]
+    main = with_week(weeks).groupBy(*POINT).agg(*week_sums, *[c.alias(n) for n, c in _recent_parts().items()])
+    dispatch = weekly_dispatch(weeks, approximate).groupBy(*POINT).agg(*_week_columns("y", "d"))
+    # All boundaries between weeks are at midnight, so the days on which anyone has a row tell the weeks present.
+    days = master.groupBy(F.date_trunc("day", BOUGHT).cast("timestamp_ntz").alias(BOUGHT)).agg(
+        F.coalesce(F.max(F.col("dispatch_days") > 0), F.lit(False)).alias("dispatched")
     )
+    present = weeks_present(with_week(eight_weeks(days, dates)), any="true", disp="dispatched")
+    wide = main.join(dispatch, POINT, "left").join(present, "observation_date").withColumns({
+        "seller_active_weeks": F.expr(" + ".join(f"CAST(_v{k} > 0 AS BIGINT)" for k in WEEKS)),
+        "_last_dispatch": F.col("d7"),
+        "_any_dispatch": F.expr(f"coalesce({', '.join(f'd{k}' for k in WEEKS)}) IS NOT NULL"),
+        **{f"v{k}": F.col(f"_v{k}").cast("double") for k in WEEKS},
+        **{f"r{k}": F.try_divide(f"_rs{k}", f"_rn{k}") for k in WEEKS},
+    })
+    dense = wide.withColumns({**_filled("d", True, 0.0), **_filled("r", True, 5.0)})
     return dense.select(
-        *POINT, *_merged_parts(), "seller_active_weeks", "_last_dispatch", _slope("v", "any").alias("order_volume_slope"),
-        F.when(F.col("_dispatch_weeks") > 0, _slope("d", "disp")).otherwise(0.0).alias("dispatch_delay_slope"),
+        *POINT, *_recent_parts(), "seller_active_weeks", "_last_dispatch", _slope("v", "any").alias("order_volume_slope"),
+        F.when(F.col("_any_dispatch"), _slope("d", "disp")).otherwise(0.0).alias("dispatch_delay_slope"),
         _slope("r", "any").alias("review_score_slope"),
     )
 
@@ -308,13 +304,10 @@ def _points(weeks: DataFrame, approximate: bool) -> DataFrame:
 def seller_features(master: DataFrame, dates: DataFrame, zero_otd_is_one: bool = True, approximate: bool = False) -> DataFrame:
     """All features of every seller and date; nothing from the observation date on is read.
 
-    The rows of the eight weeks are aggregated to weeks once, and the weeks to sellers: the 30-day figures
-    add up, the trends come from the eight weekly values, and the last 7 days are the last week. ``master``
-    is read four times, so pass a stored table rather than the joins that make it.
+    The dispatch time of the last 7 days is that of the last of the eight weeks. ``master`` is read four
+    times, with few columns each, so pass a stored table rather than the joins that make it.
     """
-    points = _points(eight_weeks(master, dates), approximate).withColumns({
-        "dispatch_time_p50_7d": F.coalesce("_last_dispatch", F.lit(0.0))
-    })
+    points = _points(master, dates, approximate).withColumn("dispatch_time_p50_7d", F.coalesce("_last_dispatch", F.lit(0.0)))
     out = points.select(*POINT, *_recent_features(zero_otd_is_one), "dispatch_time_p50_7d", "seller_active_weeks", *TRENDS)
     return seller_tenure(master, out).select(*POINT, "seller_state", *SELLER_FEATURES)
 

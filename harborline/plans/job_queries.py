@@ -119,7 +119,7 @@ add("cv_by_time", lambda t: modeling.cv_by_time(_train_test(t)[0], fixed.SELLER_
 
 
 def _inputs(t: Tables) -> dict[str, DataFrame]:
-    return {"inventory": t.inventory, "sales": t.sales, "shipments": t.shipments, "suppliers": t.suppliers, "warehouses": t["v_warehouses"]}
+    return {"inventory": t.inventory, "sales": t.stored_sales, "shipments": t.shipments, "suppliers": t.suppliers, "warehouses": t["v_warehouses"]}
 
 
 def _marketplace(t: Tables) -> dict[str, DataFrame]:
@@ -138,7 +138,7 @@ add(
 )
 add(
     "job_feature_tables",
-    lambda t: jobs.job_feature_tables(t.sales, t.inventory, t.deliveries)["inventory"].select(
+    lambda t: jobs.job_feature_tables(t.stored_sales, t.inventory, t.deliveries)["inventory"].select(
         "product_id", "avg_demand_30d", "demand_std", "days_of_stock", "stockout_risk", "overstock_ratio", "annual_holding_cost"
     ),
     "SELECT product_id, avg_demand_30d, demand_std, days_of_stock, stockout_risk, overstock_ratio, annual_holding_cost FROM {d_stock_risk}",

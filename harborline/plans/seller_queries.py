@@ -121,7 +121,7 @@ add(
     "y",
 )
 SLOPES = " ".join(sellers.TRENDS)
-add("trend_slopes", lambda t: sellers.trend_slopes(sellers.eight_weeks(t.stored_master, t.dates)), "SELECT * FROM {d_slopes}", SLOPES)
+add("trend_slopes", lambda t: sellers.trend_slopes(t.stored_master, t.dates), "SELECT * FROM {d_slopes}", SLOPES)
 add(
     "weekly_pivot",
     lambda t: sellers.weekly_pivot(sellers.weekly_volume(t.weeks)),

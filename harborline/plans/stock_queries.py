@@ -202,7 +202,7 @@ add(
 )
 add(
     "join_inventory_demand",
-    lambda t: inventory.join_inventory_demand(t.inventory, demand.demand_rolling(t.sales)).select(
+    lambda t: inventory.join_inventory_demand(t.inventory, demand.demand_rolling(t.stored_sales)).select(
         "product_id", "avg_daily_sales", "avg_demand_30d", "demand_std"
     ),
     "SELECT product_id, avg_daily_sales, avg_demand_30d, demand_std FROM {d_inventory_demand}",
@@ -271,7 +271,7 @@ add(
 # Aggregates.
 
 add("sales_agg", lambda t: demand.sales_agg(t.sales), "SELECT * FROM {d_sales_agg}", "avg_daily_sales stddev_daily_sales")
-add("spike_counts", lambda t: demand.spike_counts(demand.demand_spike(t.sales)), "SELECT * FROM {d_spike_counts}")
+add("spike_counts", lambda t: demand.spike_counts(demand.demand_spike(t.stored_sales)), "SELECT * FROM {d_spike_counts}")
 add("shipment_agg", lambda t: inventory.shipment_agg(t.shipments), "SELECT * FROM {d_shipment_agg}", "avg_delay_days")
 add(
     "supplier_performance", lambda t: t.performance, "SELECT * FROM {d_performance}", "average_delay reliability_score delay_rate"
@@ -387,7 +387,7 @@ add(
 
 add(
     "demand_spike",
-    lambda t: demand.demand_spike(t.sales),
+    lambda t: demand.demand_spike(t.stored_sales),
     "SELECT * FROM {d_spikes}",
     "rolling_avg",
 )

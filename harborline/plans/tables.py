@@ -49,6 +49,11 @@ class Tables:
     def sales(self) -> DataFrame:
         return self["v_sales"]
 
+    @cached_property
+    def stored_sales(self) -> DataFrame:
+        """The sales as a table, for what reads them several times."""
+        return stored(self.sales, "sales")
+
     @cached_property
     def brand_sales(self) -> DataFrame:
         return self["v_sales_brand"]
@@ -76,8 +81,8 @@ class Tables:
 
     @cached_property
     def sales_by_product(self) -> DataFrame:
-        spikes = demand.spike_counts(demand.demand_spike(self.sales))
-        return demand.sales_agg(self.sales).join(spikes, "product_id", "left")
+        spikes = demand.spike_counts(demand.demand_spike(self.stored_sales))
+        return demand.sales_agg(self.stored_sales).join(spikes, "product_id", "left")
 
     @cached_property
     def merged(self) -> DataFrame:
@@ -111,7 +116,7 @@ class Tables:
     @cached_property
     def stock_risk(self) -> DataFrame:
         """Inventory with demand of the last 30 rows and the risk columns."""
-        demand_cols = demand.demand_rolling(self.sales)
+        demand_cols = demand.demand_rolling(self.stored_sales)
         return inventory.inventory_risk(inventory.join_inventory_demand(self.inventory, demand_cols))
 
     # Sellers.
