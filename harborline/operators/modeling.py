@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from harborline.operators.ordering import running_totals
 from harborline.operators.reports import churn_risk_tier
+from harborline.session import stored
 
 FOLD_ORDER = ["observation_date", "seller_id"]
 
@@ -118,7 +119,7 @@ def linear_score(df: DataFrame, weights: dict[str, float], intercept: float) ->
 
 def cv_by_time(df: DataFrame, features: list[str], label: str = "churned", n: int = 5, iterations: int = 100) -> DataFrame:
     """Average precision of each time-ordered fold."""
-    blocks = fold_blocks(df, n=n)
+    blocks = stored(fold_blocks(df, n=n), "folds")
     out = None
     for fold in range(1, n + 1):
         model = fit_churn(blocks.where(F.col("fold_block") < fold), features, label, iterations)

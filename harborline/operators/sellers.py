@@ -178,7 +178,7 @@ def seller_tenure(master: DataFrame, points: DataFrame) -> DataFrame:
 def seller_dispatch_p50(weeks: DataFrame, approximate: bool = False) -> DataFrame:
     """Median of the positive dispatch times of the last 7 days; 0 for sellers without any."""
     recent = weeks.where(_since(7) & (F.col("dispatch_days") > 0))
-    medians = quantiles(recent, POINT, "dispatch_days", {"dispatch_time_p50_7d": 0.5}, approximate)
+    medians = quantiles(recent, POINT, "dispatch_days", {"dispatch_time_p50_7d": 0.5}, approximate, few_values=True)
     points = weeks.select(*POINT).distinct()
     return points.join(medians, POINT, "left").withColumn("dispatch_time_p50_7d", F.coalesce("dispatch_time_p50_7d", F.lit(0.0)))
 
@@ -199,8 +199,9 @@ def weekly_volume(weeks: DataFrame) -> DataFrame:
 
 
 def weekly_dispatch(weeks: DataFrame, approximate: bool = False) -> DataFrame:
+    """Median dispatch time per week; waiting times are whole seconds, so even a hot seller has few different ones."""
     positive = with_week(weeks).where(F.col("dispatch_days") > 0)
-    return quantiles(positive, [*POINT, "week_idx"], "dispatch_days", {"y": 0.5}, approximate)
+    return quantiles(positive, [*POINT, "week_idx"], "dispatch_days", {"y": 0.5}, approximate, few_values=True)
 
 
 def weekly_review(weeks: DataFrame) -> DataFrame:
@@ -408,7 +409,7 @@ def seller_weekly_profile(master: DataFrame, day: date) -> DataFrame:
     top = weeks.groupBy("seller_id").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "seller_id").limit(1)
     rows = with_week(weeks.join(top.select("seller_id"), "seller_id", "left_semi"))
     stats = rows.groupBy("week_idx").agg(F.count(F.lit(1)).alias("orders"), F.avg("review_score").alias("mean_review"))
-    medians = quantiles(rows, ["week_idx"], "dispatch_days", {"median_dispatch": 0.5})
+    medians = quantiles(rows, ["week_idx"], "dispatch_days", {"median_dispatch": 0.5}, few_values=True)
     grid = master.sparkSession.range(8).select(F.col("id").cast("int").alias("week_idx"))
     out = grid.join(stats, "week_idx", "left").join(medians, "week_idx", "left")
     return out.select("week_idx", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("orders", "median_dispatch", "mean_review")])

@@ -12,9 +12,11 @@ BLOCK_ROWS = 1_000_000
 def with_position(df: DataFrame, keys: list[str], date: str, order: list[str]) -> DataFrame:
     """Add ``pos`` (1, 2, ... within the key) and ``series_rows`` (rows of the key).
 
-    Rows are numbered inside each key and week; the weekly row counts tell where a week starts.
+    Rows are numbered inside each key and week; the weekly row counts tell where a week starts. Undated
+    rows come last; rows without a key belong to no series and are left out. ``df`` is read twice.
     """
-    rows = df.withColumn("_week", F.date_trunc("week", F.col(date)))
+    undated = F.lit("9999-12-31").cast("timestamp")
+    rows = df.withColumn("_week", F.coalesce(F.date_trunc("week", F.col(date)).cast("timestamp"), undated))
     counts = rows.groupBy(*keys, "_week").agg(F.count(F.lit(1)).alias("_n"))
     by_key = Window.partitionBy(*keys)
     starts = counts.select(

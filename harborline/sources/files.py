@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from harborline.functions.columns import lenient_timestamp
+from harborline.operators.ordering import first_per_key
 from harborline.sources.schemas import TableSpec, detect_dataset_type
 
 UPLOAD = r"^(.*)/[^/]*$"
@@ -83,12 +84,19 @@ def replace_all(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def upsert_by_key(target: DataFrame, updates: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
+def upsert_by_key(
+    target: DataFrame, updates: DataFrame, key: str, defaults: dict[str, object], newest: str | None = None
+) -> DataFrame:
     """Rows of ``target`` updated by key and rows with a new key added.
 
+    If updates may repeat a key, ``newest`` names the column by which the last of them counts.
+
     A missing or blank field of an update takes the column's default (0 is a value, not a blank). Columns
     that updates do not have keep the old value.
     """
+    if newest:
+        updates = first_per_key(updates, [key], [-F.unix_micros(F.col(newest).cast("timestamp"))])
+
     def filled(name: str) -> Column:
         value = F.col(f"n.{name}")
         if dict(updates.dtypes)[name] == "string":

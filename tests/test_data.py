@@ -48,6 +48,12 @@ def test_upsert_keeps_a_zero(table):
     assert got == {"a": ("A2", 0.0, 80.0), "b": ("B", 6.0, 70.0), "c": ("C", 7.0, 90.0)}
 
 
+def test_upsert_takes_the_newest_of_equal_keys(table):
+    old = table("id string, lead double", ("a", 5.0))
+    new = table("id string, lead double, at timestamp", ("a", 1.0, datetime(2024, 1, 1)), ("a", 2.0, datetime(2024, 1, 3)), ("a", 3.0, datetime(2024, 1, 2)))
+    assert [tuple(r) for r in files.upsert_by_key(old, new, "id", {}, "at").collect()] == [("a", 2.0)]
+
+
 def test_quality_score_by_formula(table):
     df = table("id string, delay_days double, n int", ("a", 400.0, 1), ("a", 400.0, 1), ("b", None, -1), (None, 3.0, 2))
     got = quality.dq_report(df, "f").first()

@@ -55,6 +55,14 @@ def test_features_do_not_depend_on_blocks(hot_sales):
     assert small.where(F.col("roll_90_mean").isNotNull()).count() > 0
 
 
+def test_undated_rows_come_last(spark):
+    sales = spark.createDataFrame(
+        [("a", None, "N", 9.0), ("a", date(2024, 1, 9), "N", 2.0), ("a", date(2024, 1, 1), "N", 1.0)], "product_id string, date date, region string, daily_sales double"
+    )
+    got = {r.daily_sales: r.lag_1 for r in demand.demand_lags(sales, lags=(1,)).collect()}
+    assert got == {1.0: None, 2.0: 1.0, 9.0: 2.0}
+
+
 def test_series_without_key(hot_sales):
     daily = demand.daily_total(hot_sales)
     got = demand.smoothed_sales(daily, "total_sales", 3, block_rows=10).orderBy("date").toPandas()
@@ -76,13 +84,13 @@ def test_label_codes_follow_text_order(spark):
     assert got == {f"p{i:04d}": i for i in range(900)}
 
 
-@pytest.mark.parametrize("by", [[], ["g"]])
-def test_quantiles_equal_numpy(spark, by):
+@pytest.mark.parametrize("by,few", [([], False), (["g"], False), (["g"], True)])
+def test_quantiles_equal_numpy(spark, by, few):
     rng = np.random.default_rng(3)
     data = [("hot", float(v)) for v in rng.integers(0, 40, 4000)] + [("b", float(v)) for v in rng.normal(size=11)] + [("c", 2.5), ("c", None)]
     df = spark.createDataFrame(data, "g string, v double").repartition(6)
     probs = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q95": 0.95, "q100": 1.0}
-    for r in quantiles(df, by, "v", probs).collect():
+    for r in quantiles(df, by, "v", probs, few_values=few).collect():
         values = [v for g, v in data if v is not None and (not by or g == r.g)]
         assert np.allclose([r[n] for n in probs], np.quantile(values, list(probs.values())))
 
