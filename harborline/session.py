@@ -15,6 +15,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot key's partition also where that costs one more exchange above the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The JVM does not compile methods above 8000 bytes; run wide aggregates as several small ones instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
