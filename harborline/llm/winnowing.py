@@ -11,6 +11,8 @@ positions are told modulo 2^24.) All of it is built-in array functions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 K_WORDS = 5
@@ -22,34 +24,35 @@ BLOCK_ROWS = 500
 MOST_BLOCKS = 10_000
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def run_hashes(text: Column, k: int = K_WORDS) -> Column:
     """A hash for each run of ``k`` words; a text of fewer words has one run, an empty one none."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(F.size(hashed) == 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(hashed) - k, F.lit(0))),
-            lambda i: F.xxhash64(*[F.get(hashed, i + n) for n in range(k)]),
-        )
-    )
+
+    def runs(hashed: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(hashed) - k, F.lit(0)))
+        found = F.transform(starts, lambda i: F.xxhash64(*[F.get(hashed, i + n) for n in range(k)]))
+        return F.when(F.size(hashed) > 0, found).otherwise(F.array().cast("array<bigint>"))
+
+    return bind(F.transform(words, lambda w: F.xxhash64(w)), runs)
 
 
 def select_runs(hashes: Column, window: int = WINDOW) -> Column:
     """The selected runs of a text, in the order of their places; its last window is all runs if it has fewer."""
-    marked = F.transform(
-        hashes,
-        lambda h, i: F.shiftleft(F.shiftright(h, POSITION_BITS), POSITION_BITS).bitwiseOR(
-            (F.lit(POSITIONS) - i.bitwiseAND(F.lit(POSITIONS))).cast("bigint")
-        ),
-    )
-    return F.when(F.size(marked) == 0, marked).otherwise(
-        F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(0), F.greatest(F.size(marked) - window, F.lit(0))),
-                lambda i: F.least(*[F.get(marked, i + n) for n in range(window)]),
-            )
-        )
-    )
+    def marked(h: Column, i: Column) -> Column:
+        place = (F.lit(POSITIONS) - i.bitwiseAND(F.lit(POSITIONS))).cast("bigint")
+        return F.shiftleft(F.shiftright(h, POSITION_BITS), POSITION_BITS).bitwiseOR(place)
+
+    def least(runs: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(runs) - window, F.lit(0)))
+        found = F.array_distinct(F.transform(starts, lambda i: F.least(*[F.get(runs, i + n) for n in range(window)])))
+        return F.when(F.size(runs) > 0, found).otherwise(runs)
+
+    return bind(F.transform(hashes, marked), least)
 
 
 def positions(selected: Column) -> Column:
@@ -68,9 +71,11 @@ def digest(selected: Column) -> Column:
 
 def likeness(left: Column, right: Column) -> Column:
     """Shared part of two hash sets (1 if both are empty)."""
-    shared = F.size(F.array_intersect(left, right))
-    either = F.size(left) + F.size(right) - shared
-    return F.when(either == 0, F.lit(1.0)).otherwise(shared / either)
+    def of(shared: Column) -> Column:
+        either = F.size(left) + F.size(right) - shared
+        return F.when(either == 0, F.lit(1.0)).otherwise(shared / either)
+
+    return bind(F.size(F.array_intersect(left, right)), of)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
