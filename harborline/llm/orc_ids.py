@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from harborline.llm.common import on_workers
 from harborline.llm.tokens import encoder, vocabulary_path
 
 END_ID = 1
@@ -32,6 +33,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
     rows with a null id come first; rows with the same id stand in the order of their texts. Other columns
     are left out; an empty table gives no rows.
     """
+    on_workers(docs.sparkSession)
     vocabulary = vocabulary or vocabulary_path()
 
     def batches(found: list[tuple[int | None, int, bytes]]) -> pa.RecordBatch:
@@ -69,14 +71,22 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """All documents of the files with ``start``, the number of ids of all documents before them."""
-    files = spark.read.schema(FILE_SCHEMA).orc(path)
-    rows = files.select("*", F.col("_metadata.file_path").alias("file"))
+    """All documents of the files: doc_id, file, first_id, n_tokens, ids."""
+    return spark.read.schema(FILE_SCHEMA).orc(path).select("doc_id", F.col("_metadata.file_path").alias("file"), "first_id", "n_tokens", "ids")
+
+
+def with_start(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """Replace ``file`` and ``first_id`` by ``start``, the number of ids of all documents before a row's.
+
+    Give rows that no longer carry ids: they may be shuffled to meet the files' sums.
+    """
     # One row per file.
-    sizes = rows.groupBy("file").agg(F.min("doc_id").alias("lowest"), F.bool_or(F.col("doc_id").isNull()).alias("first"), F.sum("n_tokens").alias("held"))
+    sizes = read_ids(spark, path).groupBy("file").agg(
+        F.min("doc_id").alias("lowest"), F.bool_or(F.col("doc_id").isNull()).alias("first"), F.sum("n_tokens").alias("held")
+    )
     earlier = Window.orderBy(F.desc("first"), "lowest").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("file", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("base"))
-    return rows.join(bases, "file").select("doc_id", (F.col("base") + F.col("first_id")).alias("start"), "n_tokens", "ids")
+    return rows.join(bases, "file").withColumn("start", F.col("base") + F.col("first_id")).drop("file", "base", "first_id")
 
 
 def find_ids(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -85,16 +95,24 @@ def find_ids(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
 
 
 def with_crc(rows: DataFrame) -> DataFrame:
-    """Replace ``ids`` by ``n_tokens`` and ``ids_crc32`` (of the ids as little-endian unsigned 32-bit integers)."""
+    """Replace ``ids`` by their number and ``ids_crc32`` (of the ids as little-endian unsigned 32-bit integers)."""
+    on_workers(rows.sparkSession)
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(2)
+            ids = batch.column(3)
             flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
             crcs = [zlib.crc32(np.ascontiguousarray(flat[a:b], "<i4")) for a, b in zip(ends[:-1], ends[1:])]
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(np.diff(ends).astype("i8")), pa.array(crcs, pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                [*batch.columns[:3], pa.array(np.diff(ends).astype("i8")), pa.array(crcs, pa.int64())],
+                names=["doc_id", "file", "first_id", "n_tokens", "ids_crc32"],
             )
 
-    return rows.select("doc_id", "start", "ids").mapInArrow(sums, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.select("doc_id", "file", "first_id", "ids").mapInArrow(sums, "doc_id bigint, file string, first_id bigint, n_tokens bigint, ids_crc32 bigint")
+
+
+def through_files(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` written to ``path`` and read back: doc_id, n_tokens, ids_crc32 and start of every document."""
+    spark = docs.sparkSession
+    write_ids(docs, path)
+    return with_start(spark, path, with_crc(read_ids(spark, path)))

@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from harborline.llm.common import on_workers
 from harborline.llm.tokens import encoder, vocabulary_path
 from harborline.session import stored
 
@@ -35,6 +36,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
     A null text is an empty one and gives the end id alone; repeated rows give their pieces again.
     """
+    on_workers(docs.sparkSession)
     vocabulary = vocabulary or vocabulary_path()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harborline.llm import chat, mixing, orc_ids, packing, winnowing
+import corpus_pipeline
+from harborline.llm import archives, chat, html_text, mixing, near_dups, orc_ids, packing, toxicity, vantage, winnowing
 from harborline.llm.common import read_table
 from harborline.llm.sql import SQL
 from harborline.session import fresh_path
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -24,18 +29,36 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op5_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op6_warc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.through_archives(read_table(spark, sf_dir, "pages"))
+
+
+def op7_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op8_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_next(read_table(spark, sf_dir, "documents"))
 
 
 def op10_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "token-ids")
-    orc_ids.write_ids(read_table(spark, sf_dir, "documents"), path)
-    return orc_ids.with_crc(orc_ids.read_ids(spark, path))
+    return orc_ids.through_files(read_table(spark, sf_dir, "documents"), fresh_path(spark, "token-ids"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op3_chat_rotation, op4_source_mixing, op9_winnowing, op10_orc_token_ids)
-}
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_best_fit_packing, op3_chat_rotation, op4_source_mixing, op5_vantage_point_search, op6_warc_conversion,
+        op7_probminhash_dedup, op8_page_differencing, op9_winnowing, op10_orc_token_ids,
+    )
+} | {"pipeline": corpus_pipeline.run}
 
 __all__ = ["QUERIES", "SQL"]

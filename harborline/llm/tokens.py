@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from functools import cache
 
 import numpy as np
@@ -9,9 +10,10 @@ import public_tokenizers
 from tokenizers import Tokenizer, pre_tokenizers
 
 VOCABULARY = "word_bpe_49k.json"
-# Words one Python worker remembers, and the longest it remembers; neither changes a result.
-MEMORY_WORDS = 300_000
-LONGEST_REMEMBERED = 48
+# Forms and lower-case letter runs that one Python worker remembers, and the longest; none changes a result.
+MEMORY_FORMS = 250_000
+MEMORY_RUNS = 500_000
+LONGEST_REMEMBERED = 32
 # Below this all letters are their own NFC form and have simple lower-case forms.
 PLAIN_LETTERS_END = "ɐ"
 
@@ -33,11 +35,18 @@ class WordEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.earlier: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.marks = {mark: self.whole(mark) for mark in ".,;:!?"}
 
     def __missing__(self, word: str) -> bytes:
-        found = self.find(word)
+        found = self.earlier.get(word)
+        if found is None:
+            found = self.find(word)
         if len(word) <= LONGEST_REMEMBERED:
-            if len(self) >= MEMORY_WORDS:
+            if len(self) >= MEMORY_FORMS:
+                # Frequent words come back from here one by one.
+                self.earlier = dict(self)
                 self.clear()
             self[word] = found
         return found
@@ -45,16 +54,22 @@ class WordEncoder(dict):
     def find(self, word: str) -> bytes:
         if not word:
             return b""
-        if word.isalpha() and max(word) < PLAIN_LETTERS_END:
-            small = word.lower()
-            if small != word:
-                return self[small] if small.isalpha() else self.whole(word)
-            if not word.isascii():
-                word = self.to_bytes.pre_tokenize_str(word)[0][0]
-            return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
-        if word[-1] in ".,;:!?" and word[:-1].isalpha() and max(word) < PLAIN_LETTERS_END:
-            return self[word[:-1]] + self.whole(word[-1])
-        return self.whole(word)
+        mark = self.marks.get(word[-1])
+        letters = word[:-1] if mark else word
+        if not letters.isalpha() or max(letters) >= PLAIN_LETTERS_END:
+            return self.whole(word)
+        small = letters.lower()
+        found = self.runs.get(small)
+        if found is None:
+            if not small.isalpha():
+                return self.whole(word)
+            shown = small if small.isascii() else self.to_bytes.pre_tokenize_str(small)[0][0]
+            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            if len(small) <= LONGEST_REMEMBERED:
+                if len(self.runs) >= MEMORY_RUNS:
+                    self.runs.clear()
+                self.runs[small] = found
+        return found + mark if mark else found
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
