@@ -1,8 +1,8 @@
 """The main text of web pages, by what a page does not share with the page of the nearest URL.
 
 A page is cut into lines, one per block of its markup. Within a host, pages are ordered by their URL path, and each page is
-paired with the neighbour whose path has the longest common start. Their lines are aligned by longest common subsequence; lines on an element
-path most of whose lines are shared are the site's frame and go. Two pages that share nearly everything are
+paired with the neighbour whose path has the longest common start. Their lines are aligned by longest common subsequence, and the lines
+that both have are the site's frame and go. Two pages that share nearly everything are
 copies and say nothing about the frame, so the other neighbour is asked instead.
 
 Two things are settled by the markup itself: what stands in an article or main element is content, also where another page
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import html
 import re
-import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -57,27 +56,25 @@ MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 
 
 @lru_cache(10_000)
-def element(name: str, rest: str) -> tuple[str, str]:
-    """What an element's start tag makes of its inside (f: frame, c: content, empty: as outside), and its step in the path."""
-    marks = " ".join(next(filter(None, m), "") for m in MARKS.findall(rest))
+def inside(name: str, rest: str) -> str:
+    """What an element's start tag makes of its inside: f for frame, c for content, empty for what is around it."""
     if name in CONTENT:
-        return "c", name
-    frame = name in FRAME or (name not in ("html", "body") and FRAME_WORDS.search(marks))
-    return "f" if frame else "", f"{name}.{marks}"
+        return "c"
+    marks = " ".join(next(filter(None, m), "") for m in MARKS.findall(rest))
+    return "f" if name in FRAME or (name not in ("html", "body") and FRAME_WORDS.search(marks)) else ""
 
 
-def lines(page: str | None) -> list[tuple[str, str, str]]:
-    """(zone, path, text) of every block that has text, in page order. Zone: c in content, f in the frame, u undecided."""
-    found: list[tuple[str, str, str]] = []
+def lines(page: str | None) -> list[tuple[str, str]]:
+    """(zone, text) of every block that has text, in page order. Zone: c in content, f in the frame, u undecided."""
+    found: list[tuple[str, str]] = []
     page, held, at = page or "", [], 0
-    open_elements: list[tuple[str, str, str]] = [("", "u", "")]
+    open_elements: list[tuple[str, str]] = [("", "u")]
 
     def close() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            _, zone, path = open_elements[-1]
-            found.append((zone, path, text))
+            found.append((open_elements[-1][1], text))
 
     for token in TOKEN.finditer(page):
         if token.start() > at:
@@ -101,11 +98,8 @@ def lines(page: str | None) -> list[tuple[str, str, str]]:
             if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and open_elements[-1][0] == name:
                 open_elements.pop()
             if name in BLOCKS or name in FRAME:
-                inside, step = element(name, token["rest"][:500])
-                _, zone, path = open_elements[-1]
-                if inside == "f" or (inside == "c" and zone != "f"):
-                    zone = inside
-                open_elements.append((name, zone, f"{path}/{step}"))
+                zone, wanted = open_elements[-1][1], inside(name, token["rest"][:500])
+                open_elements.append((name, wanted if wanted == "f" or (wanted and zone != "f") else zone))
     held.append(page[at:])
     close()
     return found
@@ -175,32 +169,26 @@ def ascending(mine: list[str], left: list[int], right: list[str]) -> set[int]:
     return found
 
 
-def main_text(page: list[tuple[str, str, str]], neighbours: list[list[tuple[str, str, str]]]) -> str:
-    """The text of ``page`` without the frame that it shares with the first neighbour that is no copy."""
-    outside = [n for n, line in enumerate(page) if line[0] != "c"]
+def main_text(page: list[tuple[str, str]], neighbours: list[list[tuple[str, str]]]) -> str:
+    """The text of ``page`` without the lines outside its content that the first neighbour that is no copy also has."""
+    outside = [n for n, (zone, _) in enumerate(page) if zone != "c"]
+    undecided = [n for n in outside if page[n][0] == "u"]
     frame: set[int] = set()
-    for neighbour in neighbours:
-        shared = {outside[n] for n in shared_lines([page[n][2] for n in outside], [text for zone, _, text in neighbour if zone != "c"])}
-        undecided = [n for n in outside if page[n][0] == "u"]
-        chars = sum(len(page[n][2]) for n in undecided)
-        if chars and sum(len(page[n][2]) for n in undecided if n in shared) > COPY_SHARE * chars:
-            continue
-        on_path: dict[str, list[bool]] = {}
-        for n in outside:
-            on_path.setdefault(page[n][1], []).append(n in shared)
-        frame = {n for n in outside if 2 * sum(on_path[page[n][1]]) >= len(on_path[page[n][1]])}
-        break
-    zones = {zone for zone, _, _ in page}
-    wanted = "c" if "c" in zones else "u"
-    return "\n".join(text for n, (zone, _, text) in enumerate(page) if zone == wanted and n not in frame)
+    for neighbour in neighbours if undecided else []:
+        shared = {outside[n] for n in shared_lines([page[n][1] for n in outside], [text for zone, text in neighbour if zone != "c"])}
+        if sum(len(page[n][1]) for n in undecided if n in shared) <= COPY_SHARE * sum(len(page[n][1]) for n in undecided):
+            frame = shared
+            break
+    wanted = "c" if len(outside) < len(page) else "u"
+    return "\n".join(text for n, (zone, text) in enumerate(page) if zone == wanted and n not in frame)
 
 
-def packed(page: list[tuple[str, str, str]]) -> str:
-    return "\n".join(f"{zone}{zlib.crc32(path.encode('utf-8', 'replace')):08x}{text}" for zone, path, text in page)
+def packed(page: list[tuple[str, str]]) -> str:
+    return "\n".join(zone + text for zone, text in page)
 
 
-def unpacked(page: str) -> list[tuple[str, str, str]]:
-    return [(line[0], line[1:9], line[9:]) for line in page.split("\n")] if page else []
+def unpacked(page: str) -> list[tuple[str, str]]:
+    return [(line[0], line[1:]) for line in page.split("\n")] if page else []
 
 
 def extract(pages: DataFrame) -> DataFrame:
