@@ -45,7 +45,7 @@ queued AS (
   FROM measured m JOIN plan p ON m.source IS NOT DISTINCT FROM p.source CROSS JOIN (VALUES (0), (1)) t(turn)),
 run AS (
   SELECT *, sum(size) OVER (ORDER BY finish, turn, source NULLS LAST, key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM queued),
-times AS (SELECT doc_id, source, key, size, count(*) AS times FROM run WHERE upto <= budget GROUP BY ALL)
+times AS (SELECT doc_id, source, key, size, count(DISTINCT turn) AS times FROM run WHERE upto <= budget GROUP BY ALL)
 SELECT m.doc_id, CAST(m.size AS BIGINT) AS size, source_size, target, CAST(m.size * coalesce(times, 0) AS BIGINT) AS taken
 FROM measured m JOIN plan p ON m.source IS NOT DISTINCT FROM p.source
 LEFT JOIN times t ON m.source IS NOT DISTINCT FROM t.source AND m.key = t.key AND m.doc_id IS NOT DISTINCT FROM t.doc_id AND m.size = t.size""",
