@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -172,7 +173,7 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e"))
         edges = stored(small.select("e.*").where(F.col("a") != F.col("b")).distinct(), "edges")
@@ -188,49 +189,73 @@ def components(edges: DataFrame) -> DataFrame:
 def search_blocks(members: DataFrame) -> DataFrame:
     """Links (content, centre) between different groups of the same bucket.
 
-    ``members`` has bucket, n (its size), content, root, signature and text. A bucket is dealt into blocks of about BLOCK members and
-    each pair of blocks is one group, so a group is small however large the bucket. In a group, pairs are compared
-    from the most alike signatures down, and only while their groups are still apart.
+    ``members`` has band, bucket, n (its size), content, root, signature and text. A bucket is dealt into blocks of about BLOCK members and
+    each pair of blocks is one group, so a group is small however large the bucket. Two documents are compared in the
+    first band they share, from the most alike signatures down, and only while their groups are still apart.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("content"), blocks).cast("int")
     dealt = members.withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.withColumns({"low": F.least("mine", "other"), "high": F.greatest("mine", "other")})
-
-    def links(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("content", ignore_index=True)
-        parent = {r: r for r in group["root"]}
-
-        def root(node: str) -> str:
-            while parent[node] != node:
-                parent[node] = node = parent[parent[node]]
-            return node
-
-        signed = np.stack(group["signature"].to_numpy())
-        cross = group["low"].iat[0] != group["high"].iat[0]
-        mine = group["mine"].to_numpy()
-        candidates = []
-        for i in range(len(group)):
-            agree = (signed[i + 1:] == signed[i]).mean(1)
-            near = np.flatnonzero((agree >= LEAST_AGREEMENT) & ((mine[i + 1:] != mine[i]) if cross else True))
-            candidates.append(np.stack([np.full(len(near), i), near + i + 1, -agree[near] * REGISTERS]))
-        pairs = np.concatenate(candidates, 1)
-        pairs = pairs[:, np.argsort(pairs[2], kind="stable")].astype(int)
-        known: dict[int, tuple] = {}
-        found = []
-        for i, j in pairs[:2].T:
-            a, b = root(group["root"].iat[i]), root(group["root"].iat[j])
-            if a == b:
-                continue
-            for n in (i, j):
-                if n not in known:
-                    known[n] = shingles(words_of(group["text"].iat[n]))
-            if similarity(known[i], known[j]) >= THRESHOLD:
-                parent[max(a, b)] = min(a, b)
-                found.append((group["content"].iat[i], group["content"].iat[j]))
-        return pd.DataFrame(found, columns=["content", "centre"])
-
-    return dealt.groupBy("bucket", "low", "high").applyInPandas(links, "content string, centre string")
+    key = ["bucket", "low", "high"]
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key, "content")
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                signed = batch.column(7).values.to_numpy().reshape(-1, REGISTERS)[batch.column(7).offset:]
+                yield from zip(*(batch.column(n).to_pylist() for n in range(7)), signed, batch.column(8))
+
+        found: list[tuple[str, str]] = []
+        for _, group in groupby(rows(), key=lambda r: r[:3]):
+            found += links(list(group))
+            if len(found) > 10_000:
+                yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*found)], names=["content", "centre"])
+                found = []
+        if found:
+            yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*found)], names=["content", "centre"])
+
+    wanted = dealt.select(*key, "mine", "band", "content", "root", "signature", "text")
+    return wanted.mapInArrow(search, "content string, centre string")
+
+
+def links(group: list[tuple]) -> list[tuple[str, str]]:
+    """The links that join the groups of one pair of blocks; rows as ``search_blocks`` orders them."""
+    parent = {row[6]: row[6] for row in group}
+    if len(parent) < 2:
+        return []
+
+    def root(node: str) -> str:
+        while parent[node] != node:
+            parent[node] = node = parent[parent[node]]
+        return node
+
+    signed = np.stack([row[7] for row in group])
+    mine, band, apart = np.array([row[3] for row in group]), group[0][4], group[0][1] != group[0][2]
+    roots = np.unique([row[6] for row in group], return_inverse=True)[1]
+    candidates = []
+    for i in range(len(group) - 1):
+        others = np.flatnonzero((roots[i + 1:] != roots[i]) & ((mine[i + 1:] != mine[i]) if apart else True)) + i + 1
+        if not len(others):
+            continue
+        same = signed[others] == signed[i]
+        agree = same.mean(1)
+        first = same.reshape(len(others), -1, BAND_ROWS).all(2).argmax(1) == band
+        near = first & (agree >= LEAST_AGREEMENT)
+        candidates += [(-a, i, int(j)) for a, j in zip(agree[near].tolist(), others[near])]
+    known: dict[int, tuple] = {}
+    found = []
+    for _, i, j in sorted(candidates):
+        a, b = root(group[i][6]), root(group[j][6])
+        if a == b:
+            continue
+        for n in (i, j):
+            if n not in known:
+                known[n] = shingles(words_of(group[n][8].as_py()))
+        if similarity(known[i], known[j]) >= THRESHOLD:
+            parent[max(a, b)] = min(a, b)
+            found.append((group[i][5], group[j][5]))
+    return found
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -246,7 +271,7 @@ def classes(docs: DataFrame) -> DataFrame:
     unique = stored(unique.select("content", "first.*", "signature"), "contents")
     bands = REGISTERS // BAND_ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("signature", b * BAND_ROWS + 1, BAND_ROWS)))
-    buckets = unique.select("content", F.explode(keys).alias("bucket"))
+    buckets = unique.select("content", F.posexplode(keys).alias("band", "bucket"))
     centres = buckets.groupBy("bucket").agg(F.min("content").alias("centre"), F.count("*").alias("n")).where(F.col("n") > 1)
     shared = stored(buckets.join(centres, "bucket"), "buckets")
     pairs = shared.where(F.col("content") != F.col("centre")).select("content", "centre").distinct()
@@ -258,12 +283,19 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = stored(texts, "texts")
     links = stored(verified(pairs, texts), "links").select(F.col("content").alias("a"), F.col("centre").alias("b"))
     roots = components(links)
-    grouped = shared.join(roots, F.col("content") == F.col("node"), "left").select("bucket", "n", "content", F.coalesce("root", "content").alias("root"))
+    grouped = shared.join(roots, F.col("content") == F.col("node"), "left").select("band", "bucket", "n", "content", F.coalesce("root", "content").alias("root"))
     grouped = stored(grouped, "grouped")
     divided = grouped.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("bucket")
     members = grouped.join(divided, "bucket").join(unique.select("content", "signature"), "content").join(texts, "content")
     more = stored(search_blocks(members), "more-links").select(F.col("content").alias("a"), F.col("centre").alias("b"))
-    roots = components(links.unionByName(more))
+    # The second search only joins groups, so only groups are in its graph.
+    joined = components(
+        more.join(roots.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("root", "a").alias("a"), "b")
+        .join(roots.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("root", "b").alias("b"))
+    ).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    alone = joined.join(roots, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    moved = roots.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    roots = moved.unionByName(alone)
     return described.join(roots, F.col("content") == F.col("node"), "left").select(
         "doc_id", "text_key", "content", F.coalesce("root", "content").alias("class_content")
     )
