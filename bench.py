@@ -13,7 +13,7 @@ HEADLINE = [
     "stock_health_sql", "supplier_tier_sql", "stockout_timeline_sql", "risk_ranking_sql", "reorder_supplier_sql",
     "demand_features", "demand_spike", "forecast_features_nb", "supplier_performance", "supplier_risk_score",
     "master_build", "seller_window_aggs", "trend_slopes", "churn_labels", "dispatch_percentiles",
-    "scenario_whatif", "monte_carlo_impact", "anomaly_ecod", "corr_matrix", "dq_report", "vector_topk", "stream_metrics",
+    "scenario_whatif", "sales_model", "anomaly_ecod", "corr_matrix", "dq_report", "vector_topk", "stream_metrics",
 ]
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 

@@ -2,34 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from harborline.operators.ordering import running_totals
+from harborline.operators.ordering import join_on, running_totals
 
 
 def quantiles(
-    df: DataFrame, by: list[str], value: str, probs: dict[str, float], approximate: bool = False, few_values: bool = False
+    df: DataFrame, by: list[str], value: str, probs: dict[str, float], approximate: bool = False
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, one column for each entry of ``probs``.
 
     Equal values are counted first, spread over all tasks by (group, value). Running counts over these rows
     then show which values hold the wanted ranks. They are range-partitioned by group and value, so however
-    large a group is, no task has to see all of it. With ``few_values`` the caller states that a group has
-    a bounded number of distinct values (days, whole seconds of a week): then one sort per group, which can
-    spill, does without the extra pass. ``approximate`` uses the mergeable sketch: one pass, fixed memory.
+    large a group is, no task has to see all of it. ``approximate`` uses the mergeable sketch: one pass, fixed
+    memory. Rows with a NULL in ``by`` are groups like any other.
     """
     rows = df.where(F.col(value).isNotNull()).withColumn("_value", F.col(value).cast("double"))
     if approximate:
         return rows.groupBy(*by).agg(*[F.percentile_approx("_value", p, 100000).alias(n) for n, p in probs.items()])
     counted = rows.groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_n"))
-    if few_values and by:
-        group = Window.partitionBy(*by)
-        upto = F.sum("_n").over(group.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
-        ranked = counted.withColumns({"_upto": upto, "_total": F.sum("_n").over(group)})
-    else:
-        placed = running_totals(counted, by, ["_value"], {"_upto": F.col("_n")})
-        totals = placed.groupBy(*by).agg(F.max("_upto").alias("_total"))
-        ranked = placed.join(totals, by) if by else placed.withColumn("_total", totals.scalar())
+    placed = running_totals(counted, by, ["_value"], {"_upto": F.col("_n")})
+    totals = placed.groupBy(*by).agg(F.max("_upto").alias("_total"))
+    ranked = join_on(placed, totals, by) if by else placed.withColumn("_total", totals.scalar())
 
     def at(rank: Column) -> Column:
         """The value at a rank counted from 0: the smallest one with more rows up to it."""

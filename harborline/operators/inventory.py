@@ -161,7 +161,8 @@ def stock_alerts(df: DataFrame, at: Column | None = None) -> DataFrame:
 
 def join_inventory_demand(inventory: DataFrame, demand_features: DataFrame) -> DataFrame:
     """Inventory with the latest known 30-row mean and 7-row deviation of demand, or estimates for them."""
-    latest = latest_nonnull(demand_features, ["product_id"], "date", ["roll_30_mean", "roll_7_std"])
+    order = F.struct("date", *[c for c in ("region",) if c in demand_features.columns])
+    latest = latest_nonnull(demand_features, ["product_id"], order, ["roll_30_mean", "roll_7_std"])
     joined = inventory.join(latest, "product_id", "left")
     return joined.withColumns({
         "avg_demand_30d": F.coalesce("roll_30_mean", "avg_daily_sales"),

@@ -28,11 +28,20 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str | Column], to
     )
     inside = Window.partitionBy(*keys, "_part").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     summed = placed.select("*", *[F.sum(f"_{n}_step").over(inside).alias(f"_{n}_run") for n in totals])
-    return summed.join(starts, [*keys, "_part"]).select(
+    return join_on(summed, starts, [*keys, "_part"]).select(
         *[F.col(c) for c in df.columns], *[(F.col(f"_{n}_start") + F.col(f"_{n}_run")).alias(n) for n in totals]
     )
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which NULL equals NULL; the right side's keys are dropped."""
+    if not keys:
+        raise ValueError("no keys to join on")
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    match = [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
+    return left.join(renamed, match).drop(*[f"_right_{k}" for k in keys])
+
+
 def label_codes(df: DataFrame, col: str, code: str | None = None) -> DataFrame:
     """Codes 0, 1, ... of the distinct values of a column in text order."""
     code = code or f"{col}_enc"
@@ -53,6 +62,9 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 
 def latest_nonnull(df: DataFrame, keys: list[str], order: str | Column, cols: list[str]) -> DataFrame:
-    """Per key and column, the value of the last row in which that column is not NULL."""
+    """Per key and column, the value of the last row in which that column is not NULL.
+
+    ``order`` must tell any two rows of a key apart; give a struct where one column does not.
+    """
     at = F.col(order) if isinstance(order, str) else order
     return df.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in cols])

@@ -1,4 +1,4 @@
-"""What-if scenarios over the stock table and their distribution under noise."""
+"""What-if scenarios over the stock table."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from harborline import fixed_values as fixed
 from harborline.functions.columns import clip
-from harborline.functions.quantiles import quantiles
 
 Scenario = tuple[str, float, float, float, float]
 
@@ -77,41 +76,3 @@ def uniform(seed: int, *parts: Column | str) -> Column:
     text = F.concat_ws(":", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
     return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
-
-def normal(seed: int, *parts: Column | str) -> Column:
-    """A standard normal number fixed by the seed and the given values (Box-Muller transform)."""
-    radius = F.sqrt(-2.0 * F.log(uniform(seed, F.lit("r"), *parts)))
-    return radius * F.cos(6.283185307179586 * uniform(seed, F.lit("a"), *parts))
-
-
-def monte_carlo_impact(
-    df: DataFrame, scenarios: Iterable[Scenario] = fixed.SCENARIO_PRESETS, iterations: int = 1000, seed: int = 42
-) -> DataFrame:
-    """Cost impact of noisy versions of each scenario, one row per scenario and draw.
-
-    The stock table enters through its total demand and stock only (1000 and 5000 if it lacks them).
-    """
-    spark, have = df.sparkSession, df.columns
-
-    def total(col: str, default: float) -> Column:
-        return F.coalesce(df.agg(F.sum(col)).scalar(), F.lit(0.0)) if col in have else F.lit(default)
-
-    draws = with_scenarios(spark.range(iterations).withColumnRenamed("id", "iteration"), scenarios)
-    draws = draws.withColumns({"_demand": total("predicted_demand", 1000.0), "_stock": total("current_stock", 5000.0)})
-
-    def around(mean: str, spread: Column, name: str) -> Column:
-        return F.col(mean) + spread * normal(seed, "scenario", "iteration", F.lit(name))
-
-    noisy = draws.withColumns({
-        "_d": clip(around("_delay", F.greatest(F.lit(1.0), F.col("_delay") * 0.2), "delay"), low=0.0),
-        "_s": around("_spike", F.greatest(F.lit(5.0), F.abs("_spike") * 0.2), "spike"),
-        "_c": clip(around("_cost", F.lit(0.1), "cost"), low=0.5),
-    }).withColumn("_sim", F.col("_demand") * (1 + F.col("_s") / 100))
-    days = F.when(F.col("_sim") > 0, F.try_divide("_stock", "_sim")).otherwise(999.0)
-    reach = F.when(F.col("_capacity") > 0, 7 + F.col("_d")).otherwise(999.0)
-    impact = F.col("_stock") * 2.0 * F.col("_c") + F.when(days < reach, F.col("_sim") * 5.0 * F.col("_c")).otherwise(0.0)
-    return noisy.select("scenario", "iteration", impact.alias("impact"))
-
-
-def value_at_risk(draws: DataFrame, q: float = 0.95) -> DataFrame:
-    return quantiles(draws, ["scenario"], "impact", {"var": q})

@@ -62,8 +62,8 @@ add(
     "sink_parquet",
     lambda t: files.scan_parquet(
         t.spark, _written(t, _orders_by_year(t), "orders", lambda df, p: files.sink_parquet(df, p, ("purchase_year",)))
-    ).where(F.col("purchase_year") >= 1997).select("order_id", "order_status", "purchase_year"),
-    "SELECT order_id, order_status, CAST(year(order_purchase_timestamp) AS INT) AS purchase_year FROM {v_orders} WHERE year(order_purchase_timestamp) >= 1997",
+    ).select("order_id", "order_status", "purchase_year"),
+    "SELECT order_id, order_status, CAST(year(order_purchase_timestamp) AS INT) AS purchase_year FROM {v_orders}",
 )
 
 
@@ -85,14 +85,21 @@ add(
 
 def _relational(t: Tables) -> DataFrame:
     t.inventory.createOrReplaceTempView("harborline_products")
-    return files.scan_table(t.spark, "harborline_products").where("current_stock <= reorder_point").select("product_id", "warehouse_id", "current_stock")
+    return files.scan_table(t.spark, "harborline_products").select("product_id", "warehouse_id", "current_stock")
+
+
+add("scan_relational", _relational, "SELECT product_id, warehouse_id, current_stock FROM {v_inventory}")
+def _two_orders(df: DataFrame, path: str) -> None:
+    """Part files of two kinds: half of the rows with the columns as they are, half the other way round."""
+    half = F.pmod(F.xxhash64(*df.columns), F.lit(2)) == 0
+    for rows, columns in ((df.where(half), df.columns), (df.where(~half), df.columns[::-1])):
+        rows.select(*columns).write.mode("append").option("header", True).csv(path)
 
 
-add("scan_relational", _relational, "SELECT product_id, warehouse_id, current_stock FROM {v_inventory} WHERE current_stock <= reorder_point")
 add(
     "scan_dir_union",
     lambda t: files.scan_dir_union(
-        t.spark, _written(t, t.merged.select("product_id", "warehouse_id", "current_stock", "inventory_days").repartition(4), "live", files.sink_csv),
+        t.spark, _written(t, t.merged.select("product_id", "warehouse_id", "current_stock", "inventory_days").repartition(4), "live", _two_orders),
         schemas.struct(product_id=schemas.TEXT, warehouse_id=schemas.TEXT, current_stock=schemas.NUMBER, inventory_days=schemas.NUMBER),
     ),
     "SELECT product_id, warehouse_id, current_stock, inventory_days FROM {d_merged}",
@@ -103,12 +110,13 @@ add(
 def _appended(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "alerts")
     alerts = t["v_orm_alerts"].select("id", "product_id", "alert_type", "severity")
-    for severity in ("CRITICAL", "WARNING"):
-        files.sink_append(alerts.where(F.col("severity") == severity), path)
+    critical = F.coalesce(F.col("severity") == "CRITICAL", F.lit(False))
+    for part in (critical, ~critical):
+        files.sink_append(alerts.where(part), path)
     return files.scan_parquet(t.spark, path, alerts.schema)
 
 
-add("sink_append", _appended, "SELECT id, product_id, alert_type, severity FROM {v_orm_alerts} WHERE severity IN ('CRITICAL', 'WARNING')")
+add("sink_append", _appended, "SELECT id, product_id, alert_type, severity FROM {v_orm_alerts}")
 
 
 def _raw_marketplace(t: Tables) -> str:
@@ -182,10 +190,20 @@ def _kinds_sql(index: int, name: str) -> str:
 
 add("detect_dataset_type", lambda t: _by_header(t, schemas.detect_dataset_type, "type"), _kinds_sql(0, "type"))
 add("schema_match", lambda t: _by_header(t, schemas.schema_match, "type"), _kinds_sql(1, "type"))
+
+
+def _workspace(t: Tables) -> str:
+    """A folder of uploads: the live rows as JSON, the others as CSV."""
+    root = fresh_path(t.spark, "workspace")
+    for name, view in UPLOADS.items():
+        (files.sink_json if name == "live" else files.sink_csv)(t[view], f"{root}/{name}")
+    return root
+
+
 UPLOADS = {"stock": "v_inventory", "sold": "v_sales", "partners": "v_suppliers", "moves": "v_shipments", "sites": "v_warehouses", "live": "v_live"}
 add(
     "workspace_catalog",
-    lambda t: files.workspace_catalog(t.spark, {n: _written(t, t[v], n, files.sink_csv) for n, v in UPLOADS.items()}),
+    lambda t: files.workspace_catalog(t.spark, _workspace(t)),
     " UNION ALL ".join(
         f"SELECT '{n}' AS filename, '{KINDS[v][0]}' AS type, count(*) AS rows, {w} AS cols FROM {{{v}}}"
         for (n, v), w in zip(UPLOADS.items(), (12, 4, 4, 8, 3, 5))
@@ -193,29 +211,34 @@ add(
 )
 
 
-def _two_uploads(t: Tables) -> DataFrame:
+def _three_uploads(t: Tables) -> DataFrame:
+    """Suppliers twice, the newer with its columns the other way round, and then something else."""
     root = fresh_path(t.spark, "uploads")
     files.sink_csv(t.suppliers.withColumn("lead_time_days", F.lit(0.0)), f"{root}/first")
-    files.sink_csv(t.suppliers, f"{root}/second")
-    return files.sync_latest(t.spark, root, schemas.TABLES["suppliers"])
+    files.sink_csv(t.suppliers.select(*t.suppliers.columns[::-1]), f"{root}/second")
+    files.sink_csv(t["v_warehouses"], f"{root}/third")
+    return files.sync_latest(t.spark, root, schemas.TABLES["suppliers"], "suppliers").select(*t.suppliers.columns)
 
 
-add("sync_latest", _two_uploads, "SELECT * FROM {v_suppliers}")
+add("sync_latest", _three_uploads, "SELECT * FROM {v_suppliers}")
 
 
 def _updates(t: Tables) -> DataFrame:
-    """New versions of the suppliers at risk (a blank lead time where delays are rare) and new suppliers."""
+    """New versions of the suppliers at risk (a blank lead time where delays are rare) and new suppliers, each also older and undated."""
     rows = t["v_orm_suppliers"].where(F.col("status") != "ACTIVE")
-    return rows.select(
+    newest = rows.select(
         F.when(F.col("status") == "AT_RISK", F.col("supplier_id")).otherwise(F.concat(F.lit("N"), F.col("supplier_id"))).alias("supplier_id"),
         F.concat(F.lit("New "), F.col("supplier_name")).alias("supplier_name"),
         F.when(F.col("delay_rate") < 0.2, F.lit(" ")).otherwise(F.col("lead_time_days").cast("string")).alias("lead_time_days"),
+        F.lit("2024-01-03").alias("updated"),
     )
+    stale = newest.withColumn("lead_time_days", F.lit("99"))
+    return newest.unionByName(stale.withColumn("updated", F.lit("2024-01-02"))).unionByName(stale.withColumn("updated", F.lit(None).cast("string")))
 
 
 add(
     "upsert_by_key",
-    lambda t: files.upsert_by_key(t.suppliers, _updates(t), "supplier_id", {"lead_time_days": 7.0, "reliability_score": 90.0}),
+    lambda t: files.upsert_by_key(t.suppliers, _updates(t), "supplier_id", {"lead_time_days": 7.0, "reliability_score": 90.0}, "updated"),
     """SELECT coalesce(n.id, s.supplier_id) AS supplier_id, coalesce(n.name, s.supplier_name) AS supplier_name, CASE WHEN n.id IS NULL THEN s.lead_time_days ELSE n.lead END AS lead_time_days,
   coalesce(s.reliability_score, 90) AS reliability_score FROM {v_suppliers} s FULL JOIN (SELECT CASE WHEN status = 'AT_RISK' THEN supplier_id ELSE 'N' || supplier_id END AS id,
     'New ' || supplier_name AS name, CASE WHEN delay_rate < 2e-1 THEN 7 ELSE lead_time_days END AS lead FROM {v_orm_suppliers} WHERE status <> 'ACTIVE') n ON s.supplier_id = n.id""",
@@ -356,15 +379,8 @@ add(
     "anomaly_ratio",
 )
 
-# Scenarios under noise, splits and samples: all choices follow from the seed and the row.
+# Splits and samples: all choices follow from the seed and the row.
 
-add("monte_carlo_impact", lambda t: scenario.monte_carlo_impact(t.reorder), "SELECT * FROM {d_draws}", "impact", 3)
-add(
-    "value_at_risk",
-    lambda t: scenario.value_at_risk(scenario.monte_carlo_impact(t.reorder)).withColumnRenamed("var", "at_risk"),
-    "SELECT scenario, quantile_cont(impact, 95e-2) AS at_risk FROM {d_draws} GROUP BY 1",
-    "at_risk", 3,
-)
 UNIFORM = "(CAST('0x' || substr(md5('42:' || product_id || ':' || CAST(date AS VARCHAR) || ':' || region), 1, 8) AS BIGINT) + 5e-1) / 4294967296e0"
 SALE = ["product_id", "date", "region"]
 add(

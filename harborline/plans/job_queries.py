@@ -67,14 +67,14 @@ WHERE window_end <= (SELECT max(timestamp) FROM ({LIVE_ALERTS})) - INTERVAL 1 DA
 
 add(
     "demand_model",
-    lambda t: jobs.demand_forecast_job(t.merged, trees=20)["forecast"].select("product_id", "current_stock", "predicted_demand", "days_until_stockout"),
+    lambda t: jobs.demand_forecast_job(t.merged)["forecast"].select("product_id", "current_stock", "predicted_demand", "days_until_stockout"),
 )
 
 
 def _sales_fit(t: Tables) -> DataFrame:
     rows = demand.time_split(demand.forecast_features(demand.product_day_agg(t.brand_sales)))
     rows = stored(rows, "sales_model")
-    model = modeling.fit_regression(rows.where("split = 'train'"), fixed.SALES_FEATURES, "y", trees=20)
+    model = modeling.fit_regression(rows.where("split = 'train'"), fixed.SALES_FEATURES, "y")
     return modeling.regression_metrics(modeling.predict(model, rows.where("split = 'test'"), floor=0.0))
 
 
@@ -86,7 +86,7 @@ def _delay_fit(t: Tables) -> DataFrame:
     rows = ordering.label_encode(ordering.label_encode(rows, "supplier_id", "supplier_enc"), "product_id", "product_enc")
     rows = quality.drop_incomplete(rows, [*fixed.DELAY_FEATURES, "delay_days"])
     rows = stored(sampling.random_split(rows, ["shipment_id", "product_id"]), "delays")
-    model = modeling.search_regression(rows.where("split = 'train'"), fixed.DELAY_FEATURES, "delay_days", trees=(5, 10), depths=(3, 5), rates=(0.1,))
+    model = modeling.search_regression(rows.where("split = 'train'"), fixed.DELAY_FEATURES, "delay_days")
     return modeling.regression_metrics(modeling.predict(model, rows.where("split = 'test'")), "delay_days", "prediction")
 
 
@@ -100,20 +100,20 @@ def _train_test(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 def _churn_fit(t: Tables) -> DataFrame:
     train, test = _train_test(t)
-    scored = stored(modeling.score_sellers(modeling.fit_churn(train, fixed.SELLER_FEATURES, iterations=20), test), "scored")
+    scored = stored(modeling.score_sellers(modeling.fit_churn(train, fixed.SELLER_FEATURES), test), "scored")
     metrics = modeling.classification_metrics(scored, "churned", "churn_probability")
     return metrics.withColumn("ap", modeling.average_precision(scored, "churned", "churn_probability").scalar())
 
 
 def _scored(t: Tables) -> DataFrame:
     train, test = _train_test(t)
-    model = modeling.fit_churn(train, fixed.SELLER_FEATURES, iterations=20)
-    return modeling.score_sellers(model, test).select(*SELLER_KEYS, "churned", "churn_probability", "risk_tier")
+    model = modeling.fit_churn(train, fixed.SELLER_FEATURES)
+    return modeling.score_sellers(model, test).select(*SELLER_KEYS, "churned", "revenue_at_risk_30d", "churn_probability", "risk_tier")
 
 
 add("churn_model", _churn_fit)
 add("score_sellers", _scored)
-add("cv_by_time", lambda t: modeling.cv_by_time(_train_test(t)[0], fixed.SELLER_FEATURES, iterations=10))
+add("cv_by_time", lambda t: modeling.cv_by_time(_train_test(t)[0], fixed.SELLER_FEATURES))
 
 # Jobs.
 
@@ -162,7 +162,7 @@ add(
 )
 add(
     "job_seller_scoring",
-    lambda t: jobs.job_seller_scoring(*_train_test(t), iterations=20)["profiles"],
+    lambda t: jobs.job_seller_scoring(*_train_test(t))["profiles"],
 )
 add(
     "job_daily_report",

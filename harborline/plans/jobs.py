@@ -17,8 +17,8 @@ SELLER_KEYS = sellers.POINT
 def job_operations_overview(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Inventory, sales, shipments, suppliers and warehouses to reorders, health, cost, ratings and risk counts.
 
-    Mean demand stands in for a fitted forecast. The merged stock table is stored because every product
-    result reads it.
+    Mean demand stands in for a fitted forecast. The merged stock table and the reorder plan are stored because every
+    product result reads them.
     """
     spikes = demand.spike_counts(demand.demand_spike(tables["sales"]))
     sold = demand.sales_agg(tables["sales"]).join(spikes, "product_id", "left")
@@ -26,7 +26,7 @@ def job_operations_overview(tables: dict[str, DataFrame]) -> dict[str, DataFrame
         inventory.join_supply_chain(tables["inventory"], sold, inventory.shipment_agg(tables["shipments"]))
     )
     forecast = inventory.mean_demand_forecast(stored(merged, "merged"))
-    reorder = inventory.reorder_plan(forecast, tables["shipments"], tables["suppliers"])
+    reorder = stored(inventory.reorder_plan(forecast, tables["shipments"], tables["suppliers"]), "reorder")
     health, cost = inventory.health_score(reorder), inventory.cost_impact(forecast)
     performance = supplier.supplier_performance(tables["shipments"])
     load = warehouse.warehouse_utilization(tables["warehouses"], tables["inventory"])

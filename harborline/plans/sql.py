@@ -119,18 +119,6 @@ RESULTS = {
     FROM {d_reorder} r CROSS JOIN {d_scenarios} s))""",
     "d_scenarios": """SELECT * FROM (VALUES ('Port Disruption', 21e0, 0e0, 100e0, 1e0), ('Demand Surge', 0e0, 150e0, 100e0, 1e0),
   ('Factory Shutdown', 0e0, 0e0, 0e0, 1e0), ('Energy Crisis', 0e0, 0e0, 100e0, 25e-1)) AS t(scenario, delay, spike, capacity, cost)""",
-    "d_draws": """SELECT scenario, iteration, stock * 2 * c + CASE WHEN CASE WHEN sim > 0 THEN stock / sim ELSE 999 END < CASE WHEN capacity > 0 THEN 7 + d ELSE 999 END
-    THEN sim * 5 * c ELSE 0 END AS impact FROM (
-  SELECT *, demand * (1 + s / 1e2) AS sim FROM (
-    SELECT n.scenario, n.iteration, n.capacity, n.demand, n.stock, greatest(0e0, n.delay + greatest(1e0, n.delay * 2e-1) * n.z_delay) AS d,
-      n.spike + greatest(5e0, abs(n.spike) * 2e-1) * n.z_spike AS s, greatest(5e-1, n.cost + 1e-1 * n.z_cost) AS c FROM (
-      SELECT k.*, t.demand, t.stock, sqrt(-2 * ln(u_r_delay)) * cos(6283185307179586e-15 * u_a_delay) AS z_delay,
-        sqrt(-2 * ln(u_r_spike)) * cos(6283185307179586e-15 * u_a_spike) AS z_spike, sqrt(-2 * ln(u_r_cost)) * cos(6283185307179586e-15 * u_a_cost) AS z_cost
-      FROM (SELECT s.*, i.iteration, """ + ", ".join(
-        f"(CAST('0x' || substr(md5('42:{p}:' || scenario || ':' || iteration || ':{v}'), 1, 8) AS BIGINT) + 5e-1) / 4294967296e0 AS u_{p}_{v}"
-        for p in "ra" for v in ("delay", "spike", "cost")
-    ) + """ FROM {d_scenarios} s CROSS JOIN (SELECT unnest(range(1000)) AS iteration) i) k
-      CROSS JOIN (SELECT sum(predicted_demand) AS demand, sum(current_stock) AS stock FROM {d_reorder}) t) n))""",
     # Sellers.
     "d_master": """SELECT *, CAST(date_trunc('month', order_purchase_timestamp) AS DATE) AS purchase_month, CAST(date_trunc('week', order_purchase_timestamp) AS DATE) AS purchase_week,
   CAST(year(order_purchase_timestamp) AS INT) AS purchase_year, coalesce(order_status = 'delivered' AND delivery_delay_days > 0, FALSE) AS is_late,

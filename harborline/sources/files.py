@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from functools import reduce
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -12,15 +17,40 @@ from harborline.sources.schemas import TableSpec, detect_dataset_type
 UPLOAD = r"^(.*)/[^/]*$"
 
 
-def scan_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def headers(spark: SparkSession, path: str, pattern: str = "*") -> dict[tuple[str, ...], list[str]]:
+    """The files below ``path`` by their header row, in the order of their paths. Empty files have none and are left out.
+
+    Only the first line of each file leaves the executors.
+    """
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path)
+    begun = lines.select("value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    first = begun.where(F.col("block") == 0).groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in first.orderBy("file").toLocalIterator():
+        found.setdefault(tuple(next(csv.reader([row["header"]]))), []).append(row["file"])
+    return found
+
+
+def scan_csv(spark: SparkSession, path: str, schema: StructType, pattern: str = "*", skip_corrupt: bool = False) -> DataFrame:
     """CSV with a header row, typed by column name; a value that does not fit its type is NULL.
 
-    Columns may come in any order. Those the schema does not know stay text.
+    Every file is read by its own header, so columns may come in any order, and differ from file to file; a column that
+    a file lacks is NULL there. Columns that the schema does not know stay text. Folders may name more columns (key=value).
     """
     known = {f.name: f for f in schema.fields}
-    header = spark.read.option("header", True).csv(path).columns
-    typed = StructType([known.get(c, StructField(c, StringType())) for c in header])
-    return spark.read.schema(typed).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    parts = headers(spark, path, pattern)
+    if not parts:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", skip_corrupt)
+    if len(parts) == 1:
+        (header,) = parts
+        return reader.schema(_typed(header, known)).option("pathGlobFilter", pattern).csv(path)
+    tables = [reader.schema(_typed(header, known)).csv(files) for header, files in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def _typed(header: tuple[str, ...], known: dict[str, StructField]) -> StructType:
+    return StructType([known.get(c, StructField(c, StringType())) for c in header])
 
 
 def scan_csv_dates(spark: SparkSession, path: str, schema: StructType, date_cols: list[str]) -> DataFrame:
@@ -41,8 +71,7 @@ def scan_parquet(spark: SparkSession, path: str, schema: StructType | None = Non
 
 def scan_dir_union(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
     """All CSV part files of a folder as one table; unreadable files are skipped."""
-    reader = spark.read.schema(schema).option("header", True).option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.csv")
-    return reader.csv(folder)
+    return scan_csv(spark, folder, schema, "*.csv", skip_corrupt=True).select(*schema.fieldNames())
 
 
 def scan_relational(
@@ -89,13 +118,19 @@ def upsert_by_key(
 ) -> DataFrame:
     """Rows of ``target`` updated by key and rows with a new key added.
 
-    If updates may repeat a key, ``newest`` names the column by which the last of them counts.
+    If updates may repeat a key, ``newest`` names the column by which the last of them counts; an update without that date is the oldest, and updates
+    of the same date go by their other columns. Without ``newest`` a repeated key is an error.
 
     A missing or blank field of an update takes the column's default (0 is a value, not a blank). Columns
     that updates do not have keep the old value.
     """
     if newest:
-        updates = first_per_key(updates, [key], [-F.unix_micros(F.col(newest).cast("timestamp"))])
+        at = F.unix_micros(F.col(newest).cast("timestamp"))
+        updates = first_per_key(updates, [key], [at.isNull(), -at, *[F.col(c) for c in updates.columns]])
+    else:
+        many = updates.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        alone = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("repeated key "), F.col(key).cast("string"), F.lit("; name the newest")))).otherwise(True)
+        updates = updates.join(many.where(alone.cast("boolean")).drop("_n"), key)
 
     def filled(name: str) -> Column:
         value = F.col(f"n.{name}")
@@ -124,11 +159,11 @@ def load_registry(spark: SparkSession, root: str, registry: dict[str, TableSpec]
     for name, spec in registry.items():
         path = f"{root}/{spec.folder}"
         try:
-            header = spark.read.option("header", True).csv(path).columns
+            found = headers(spark, path)
         except Exception as e:  # the reader's own message names the path
             errors.append(f"{name}: {str(e).splitlines()[0]}")
             continue
-        missing = [c for c in spec.required if c not in header]
+        missing = sorted({c for header in found for c in spec.required if c not in header}) if found else list(spec.required)
         if missing:
             errors.append(f"{name}: missing columns {missing}")
             continue
@@ -148,23 +183,46 @@ def registry_summary(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def workspace_catalog(spark: SparkSession, uploads: dict[str, str]) -> DataFrame:
-    """Name, kind, rows and columns of uploaded CSV data sets (name to path)."""
-    out = None
-    for name, path in uploads.items():
-        df = spark.read.option("header", True).csv(path)
-        row = df.agg(
-            F.lit(name).alias("filename"), F.lit(detect_dataset_type(df.columns)).alias("type"),
-            F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("cols"),
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
-
+def workspace_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """Name, kind, rows and columns of the uploads below ``folder``, each a folder of CSV or JSON-lines files.
 
-def sync_latest(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    """The rows of the newest upload; each upload is a folder of part files below ``folder``."""
-    files = scan_csv(spark, f"{folder}/*", schema).select(
-        "*", F.regexp_extract("_metadata.file_path", UPLOAD, 1).alias("_upload"), F.col("_metadata.file_modification_time").alias("_at")
+    One scan counts the rows of all CSV uploads and one those of all JSON uploads.
+    """
+    upload = F.regexp_extract("_metadata.file_path", UPLOAD, 1)
+    known: list[tuple[str, str, int]] = []
+    for header, paths in headers(spark, f"{folder}/*", "*.csv").items():
+        known += [(name, detect_dataset_type(list(header)), len(header)) for name in {re.match(UPLOAD, p)[1] for p in paths}]
+    counts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("header", True).schema("first string").csv(f"{folder}/*").groupBy(upload.alias("upload")).count()
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(f"{folder}/*").where(F.trim("value") != "")
+    fields = lines.select(upload.alias("upload"), F.json_object_keys("value").alias("fields"))
+    # A JSON upload has the fields that any of its rows has.
+    of_json = fields.groupBy("upload").agg(F.count(F.lit(1)).alias("count"))
+    named = fields.select("upload", F.explode("fields").alias("field")).distinct().orderBy("upload", "field").toLocalIterator()
+    for name, rows in groupby(named, lambda r: r["upload"]):
+        columns = [r["field"] for r in rows]
+        known.append((name, detect_dataset_type(columns), len(columns)))
+    kinds = spark.createDataFrame(known, "upload string, type string, cols int")
+    return counts.unionByName(of_json).join(kinds, "upload").select(
+        F.regexp_extract("upload", r"([^/]*)$", 1).alias("filename"), "type", F.col("count").alias("rows"), "cols"
     )
-    newest = files.agg(F.max_by("_upload", "_at")).scalar()
-    return files.where(F.col("_upload") == newest).drop("_upload", "_at")
+
+
+def sync_latest(spark: SparkSession, folder: str, schema: StructType, kind: str | None = None) -> DataFrame:
+    """The rows of the newest upload below ``folder``, of those whose header is of ``kind`` if given.
+
+    Each upload is a folder of part files. Only paths and times are listed to choose (the later path of equal times), and only the chosen
+    upload is read; an upload without rows can be the newest.
+    """
+    of_kind = None
+    if kind:
+        found = headers(spark, f"{folder}/*", "*.csv").items()
+        of_kind = [re.match(UPLOAD, p)[1] for header, paths in found if detect_dataset_type(list(header)) == kind for p in paths]
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(f"{folder}/*")
+    uploads = listed.select(F.regexp_extract("path", UPLOAD, 1).alias("upload"), "modificationTime")
+    if of_kind is not None:
+        names = spark.createDataFrame([(n,) for n in sorted({n.removeprefix("file:").lstrip("/") for n in of_kind})], "name string")
+        uploads = uploads.join(names, F.ltrim(F.regexp_replace("upload", "^file:", ""), F.lit("/")) == F.col("name"), "left_semi")
+    newest = uploads.agg(F.max(F.struct("modificationTime", "upload"))["upload"]).first()[0]
+    if newest is None:
+        return spark.createDataFrame([], schema)
+    return scan_csv(spark, newest, schema)

@@ -144,3 +144,58 @@ def test_stream_alerts_append_each_input_once(spark, tmp_path):
     assert {(r.product_id, r.alert_level) for r in run().collect()} == {("a", "CRITICAL"), ("b", "WARNING")}
     spark.createDataFrame([(datetime(2024, 1, 2), "d", "W1", 1.0, 1.0)], schema).write.mode("append").parquet(str(tmp_path / "in"))
     assert run().count() == 3
+
+
+def test_files_are_read_by_their_own_header(spark, tmp_path, rows):
+    (tmp_path / "u").mkdir()
+    (tmp_path / "u" / "a.csv").write_text("x,y\n1,one\n")
+    (tmp_path / "u" / "b.csv").write_text("y,x\ntwo,2\n")
+    (tmp_path / "u" / "c.csv").write_text("y\nthree\n")
+    (tmp_path / "u" / "d.csv").write_text("")
+    schema = schemas.struct(x=schemas.NUMBER, y=schemas.TEXT)
+    want = [(1.0, "one"), (2.0, "two"), (None, "three")]
+    assert rows(files.scan_dir_union(spark, str(tmp_path / "u"), schema), "x", "y") == want
+    assert rows(files.scan_csv(spark, str(tmp_path / "u"), schema), "x", "y") == want
+
+
+def test_an_empty_upload_can_be_the_newest(spark, tmp_path):
+    import os
+
+    for n, (name, text) in enumerate([("old", "x,y\n1,one\n"), ("new", "x,y\n")]):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "p.csv").write_text(text)
+        os.utime(tmp_path / name / "p.csv", (1_000_000 + n, 1_000_000 + n))
+    schema = schemas.struct(x=schemas.NUMBER, y=schemas.TEXT)
+    assert files.sync_latest(spark, str(tmp_path), schema).count() == 0
+    assert files.sync_latest(spark, str(tmp_path), schema, "suppliers").count() == 0
+
+
+def test_upsert_with_undated_and_repeated_updates(table):
+    old = table("id string, lead double", ("a", 1.0))
+    new = table("id string, lead double, at string", ("a", 5.0, "2024-01-02"), ("a", 9.0, None), ("a", 7.0, "2024-01-03"))
+    for n in (1, 3):
+        assert [tuple(r) for r in files.upsert_by_key(old, new.repartition(n), "id", {}, "at").collect()] == [("a", 7.0)]
+    with pytest.raises(Exception, match="repeated key a"):
+        files.upsert_by_key(old, new, "id", {}).collect()
+
+
+def test_no_row_is_lost_to_a_missing_feature(spark):
+    from harborline.operators import modeling
+
+    data = [(float(n), float(n % 7), float(n * 2)) for n in range(60)]
+    train = spark.createDataFrame(data, "a double, b double, y double")
+    holes = spark.createDataFrame([(None, 1.0, 2.0), (float("nan"), None, 1.0), (3.0, 3.0, 6.0)], "a double, b double, y double")
+    assert modeling.predict(modeling.fit_regression(train, ["a", "b"], "y", trees=2), holes).where("prediction is not null").count() == 3
+    churn = train.withColumn("churned", (F.col("a") > 30).cast("int")).withColumn("observation_date", F.current_date())
+    scored = modeling.score_sellers(modeling.fit_churn(churn, ["a", "b"]), holes)
+    assert scored.where("churn_probability between 0 and 1").count() == 3 and scored.columns == ["a", "b", "y", "churn_probability", "risk_tier"]
+
+
+def test_latest_of_rows_that_share_a_date(table):
+    from harborline.operators.inventory import join_inventory_demand
+
+    stock = table("product_id string, avg_daily_sales double", ("p", 1.0))
+    seen = table("product_id string, date string, region string, roll_30_mean double, roll_7_std double", ("p", "d", "a", 1.0, 1.0), ("p", "d", "b", 2.0, 2.0))
+    for order in ("region", "-roll_30_mean"):
+        shuffled = seen.orderBy(F.expr(order)).coalesce(1)
+        assert [tuple(r)[2:] for r in join_inventory_demand(stock, shuffled).collect()] == [(2.0, 2.0)]

@@ -84,13 +84,13 @@ def test_label_codes_follow_text_order(spark):
     assert got == {f"p{i:04d}": i for i in range(900)}
 
 
-@pytest.mark.parametrize("by,few", [([], False), (["g"], False), (["g"], True)])
-def test_quantiles_equal_numpy(spark, by, few):
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_quantiles_equal_numpy(spark, by):
     rng = np.random.default_rng(3)
-    data = [("hot", float(v)) for v in rng.integers(0, 40, 4000)] + [("b", float(v)) for v in rng.normal(size=11)] + [("c", 2.5), ("c", None)]
+    data = [("hot", float(v)) for v in rng.integers(0, 40, 4000)] + [("b", float(v)) for v in rng.normal(size=11)] + [("c", 2.5), ("c", None), (None, 3.0), (None, 4.0)]
     df = spark.createDataFrame(data, "g string, v double").repartition(6)
     probs = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q95": 0.95, "q100": 1.0}
-    for r in quantiles(df, by, "v", probs, few_values=few).collect():
+    for r in quantiles(df, by, "v", probs).collect():
         values = [v for g, v in data if v is not None and (not by or g == r.g)]
         assert np.allclose([r[n] for n in probs], np.quantile(values, list(probs.values())))
 
@@ -109,15 +109,6 @@ def test_random_choices_do_not_depend_on_partitions(spark):
     assert sampling.sample_rows(df, ["k"], 100).exceptAll(sampling.sample_rows(df.repartition(9), ["k"], 100)).count() == 0
 
 
-def test_draws_are_normal_and_repeatable(spark):
-    df = spark.range(20000).select(scenario.normal(7, "id").alias("z"))
-    stats = df.agg(F.avg("z").alias("m"), F.stddev("z").alias("s"), F.kurtosis("z").alias("k")).first()
-    assert abs(stats.m) < 0.03 and abs(stats.s - 1) < 0.03 and abs(stats.k) < 0.15
-    stock = spark.createDataFrame([("a", 100.0, 5.0)], "product_id string, current_stock double, predicted_demand double")
-    a, b = (scenario.monte_carlo_impact(stock.repartition(n), iterations=200) for n in (1, 5))
-    assert a.count() == 800 and a.exceptAll(b).count() == 0
-
-
 def test_nearest_vectors_with_many_queries(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERIES_PER_BLOCK", 4)
     rng = np.random.default_rng(1)
@@ -133,7 +124,7 @@ def test_nearest_vectors_with_many_queries(spark, monkeypatch):
 
 PLANNED = [
     "job_operations_overview", "demand_features", "master_build", "window_range_join", "seller_window_aggs", "trend_slopes", "scenario_whatif",
-    "monte_carlo_impact", "histogram", "supplier_risk_score", "vector_topk", "dq_report", "label_encode",
+    "histogram", "supplier_risk_score", "vector_topk", "dq_report", "label_encode",
 ]
 
 
