@@ -314,7 +314,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     All columns stay as they are. Rows that repeat both id and text are one document; documents without a word stay.
     """
-    found = classes(docs)
+    found = stored(classes(docs), "classes")
     key = F.struct("doc_id", "text_key")
     firsts = found.where(F.col("class_content").isNotNull()).groupBy("class_content").agg(F.min(key).alias("first")).select("first.*")
     kept = firsts.unionByName(found.where(F.col("class_content").isNull()).select("doc_id", "text_key").distinct())
@@ -322,4 +322,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.col("doc_id").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"), row).alias("d")
     match = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_key") == F.col("k.text_key"))
     same = keyed.join(kept.alias("k"), match, "left_semi")
-    return same.dropDuplicates(["doc_id", "text_key"]).select("row.*")
+    repeated = found.groupBy("doc_id", "text_key").count().where(F.col("count") > 1)
+    if not repeated.isEmpty():  # else another shuffle of whole rows would change nothing
+        same = same.dropDuplicates(["doc_id", "text_key"])
+    return same.select("row.*")

@@ -131,10 +131,9 @@ def test_edited_texts_and_neighbours(spark, awkward, nothing):
 
 def alike(a, b):
     x, y = (Counter(tuple(w[n:n + 5]) for n in range(max(len(w) - 4, 1))) for w in (a.lower().split(), b.lower().split()))
-    total = 0
-    for d in x.keys() & y.keys():
-        total += 1 / sum(max(x[e] / x[d], y[e] / y[d]) for e in x.keys() | y.keys())
-    return total
+    shared, either = x.keys() & y.keys(), x.keys() | y.keys()
+    inner = {(p, q): sum(max(x[e] / p, y[e] / q) for e in either) for p, q in {(x[d], y[d]) for d in shared}}
+    return sum(1 / inner[x[d], y[d]] for d in shared)
 
 
 @pytest.fixture(scope="module")
@@ -144,7 +143,7 @@ def copies(spark):
     words = [f"w{n}" for n in range(400)]
     base = [rng.choice(words) for _ in range(120)]
     texts = []
-    for n in range(150):
+    for n in range(60):
         text = list(base)
         for _ in range(rng.randrange(4)):
             text[rng.randrange(120)] = rng.choice(words)
