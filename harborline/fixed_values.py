@@ -72,3 +72,16 @@ SELLER_FEATURES = [
     "revenue_at_risk_30d", "cancellation_rate_30d", "product_category_diversity", "dispatch_time_p50_7d",
     "seller_active_weeks", "order_volume_slope", "dispatch_delay_slope", "review_score_slope",
 ]
+
+# Features that are compared between churned and surviving sellers, and columns that are correlated.
+COMPARED_FEATURES = [
+    "rolling_30d_otd_rate", "rolling_30d_avg_review", "dispatch_delay_slope", "review_score_slope", "cancellation_rate_30d",
+    "high_complaint_rate_30d",
+]
+CORRELATED_COLUMNS = ["reliability_score", "lead_time_days", "delay_rate", "avg_delay_days", "delayed_shipments", "total_shipments"]
+
+# The texts of stock messages, around the product's name and a number.
+MESSAGE_NAME = "Product "
+MESSAGE_STOCKOUT = (" will stockout in ", " days. Reorder immediately.")
+MESSAGE_REORDER = (" reorder recommended. Quantity: ", ".")
+MESSAGE_HEALTHY = " stock level healthy."

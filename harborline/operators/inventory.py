@@ -129,17 +129,15 @@ def reorder_quantity(df: DataFrame) -> DataFrame:
 
 
 def alert_message(df: DataFrame) -> DataFrame:
-    name = F.concat(F.lit("Product "), F.col("product_id").cast("string"))
+    name = F.concat(F.lit(fixed.MESSAGE_NAME), F.col("product_id").cast("string"))
+
+    def message(around: tuple[str, str], number: str) -> Column:
+        return F.concat(name, F.lit(around[0]), days_as_text(F.col(number)), F.lit(around[1]))
+
     text = (
-        F.when(
-            F.col("stockout_risk"),
-            F.concat(name, F.lit(" will stockout in "), days_as_text(F.col("days_until_stockout")), F.lit(" days. Reorder immediately.")),
-        )
-        .when(
-            F.col("reorder_quantity") > 0,
-            F.concat(name, F.lit(" reorder recommended. Quantity: "), days_as_text(F.col("reorder_quantity")), F.lit(".")),
-        )
-        .otherwise(F.concat(name, F.lit(" stock level healthy.")))
+        F.when(F.col("stockout_risk"), message(fixed.MESSAGE_STOCKOUT, "days_until_stockout"))
+        .when(F.col("reorder_quantity") > 0, message(fixed.MESSAGE_REORDER, "reorder_quantity"))
+        .otherwise(F.concat(name, F.lit(fixed.MESSAGE_HEALTHY)))
     )
     return df.withColumn("alert_message", text)
 

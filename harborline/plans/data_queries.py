@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from harborline import fixed_values as fixed
 from harborline.operators import demand, modeling, quality, retrieval, sampling, scenario, sellers, stats
 from harborline.plans.registry import add
 from harborline.plans.tables import Tables
@@ -313,7 +314,7 @@ add(
 
 # Statistics.
 
-CORR = "reliability_score lead_time_days delay_rate avg_delay_days delayed_shipments total_shipments".split()
+CORR = fixed.CORRELATED_COLUMNS
 add(
     "corr_matrix",
     lambda t: stats.corr_matrix(t.supplier_board, CORR),

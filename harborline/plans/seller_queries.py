@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, functions as F
 
+from harborline import fixed_values as fixed
 from harborline.operators import modeling, ordering, quality, reports, sellers
 from harborline.plans.registry import add
 from harborline.plans.tables import SELLER_KEYS, Tables
@@ -153,7 +154,7 @@ add(
     "SELECT observation_date, count(*) AS total, CAST(sum(churned) AS BIGINT) AS churned, avg(churned) AS churn_rate FROM {d_labels} GROUP BY 1",
     "churn_rate",
 )
-COMPARED = "rolling_30d_otd_rate rolling_30d_avg_review dispatch_delay_slope review_score_slope cancellation_rate_30d high_complaint_rate_30d".split()
+COMPARED = fixed.COMPARED_FEATURES
 add(
     "churned_vs_surviving",
     lambda t: sellers.churned_vs_surviving(t.dataset, COMPARED),

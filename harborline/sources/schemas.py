@@ -40,6 +40,7 @@ class TableSpec:
     required: list[str] = field(default_factory=list)
 
 
+# Folders, columns and required columns of the public marketplace data set.
 MARKETPLACE = {
     "orders": TableSpec("orders", struct(
         order_id=TEXT, customer_id=TEXT, order_status=TEXT, order_purchase_timestamp=TIME, order_approved_at=TIME,
