@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 QUERIES_PER_BLOCK = 256
+MOST_QUERIES = 100_000
 
 
 def rows_to_documents(df: DataFrame, source: str, key: str, n: int | None = None) -> DataFrame:
@@ -34,10 +35,15 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, query_id: str
     """The ``k`` corpus vectors with the largest cosine similarity to each query, exactly.
 
     The queries (one question, usually) are packed into blocks of a few hundred, and a corpus row meets one
-    packed row per block. Every task keeps only its own best ``k`` per query before anything is shuffled.
+    packed row per block. Every task keeps only its own best ``k`` per query before anything is shuffled. Every query is
+    compared with the whole corpus, so more than MOST_QUERIES are refused. Vectors of length zero have no
+    direction and take no part.
     """
     units = unit_vectors(queries, query_id, vector)
-    blocks = max(1, math.ceil(queries.count() / QUERIES_PER_BLOCK))
+    asked = queries.count()
+    if asked > MOST_QUERIES:
+        raise ValueError(f"{asked} queries are too many to compare each with the whole corpus")
+    blocks = max(1, math.ceil(asked / QUERIES_PER_BLOCK))
     block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
     packed = units.groupBy(block.cast("int").alias("_block")).agg(F.collect_list(F.struct(query_id, F.col("_unit").alias("_q"))).alias("_queries"))
     rows = unit_vectors(corpus, vec_id, vector).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
