@@ -98,6 +98,10 @@ def signatures(documents: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 def similarity(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> float:
     """Probability Jaccard similarity of two weighted sets, exactly; 0 if one is empty."""
+    if left[1].sum() == len(left[1]) and right[1].sum() == len(right[1]):
+        # No shingle repeats: shared ones of all.
+        shared = len(np.intersect1d(left[0], right[0], assume_unique=True))
+        return shared / max(len(left[0]) + len(right[0]) - shared, 1)
     _, a, b = np.intersect1d(left[0], right[0], assume_unique=True, return_indices=True)
     if not len(a):
         return 0.0
