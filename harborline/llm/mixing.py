@@ -24,6 +24,8 @@ PASSES = 2
 # Hexadecimal digits of the shuffle key that name a block of a source's queue: 4096 blocks.
 BLOCK_DIGITS = 3
 TIME_SLICES = 65_536
+# Up to so many sources the plan (a row of some 200 bytes each) is broadcast to the documents.
+MOST_SENT_SOURCES = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -110,6 +112,12 @@ def _cut(timed: DataFrame, plan: DataFrame, key: list[str], passes: int, budget:
     return plan.join(lasts, plan["source"].eqNullSafe(lasts["of"]), "left").drop("of")
 
 
+def met_by_source(plan: DataFrame) -> DataFrame:
+    """The plan as a side to join by source: sent to all tasks if it has few sources, so that no row of a hot source moves; else Spark decides."""
+    plan = stored(plan, "mix-plan")
+    return F.broadcast(plan) if plan.count() <= MOST_SENT_SOURCES else plan
+
+
 def times_taken(key: Column, lasts: list[Column]) -> Column:
     """How often the mix takes the document with this key, from the last keys of its source."""
     return sum((F.coalesce((key <= last).cast("int"), F.lit(0)) for last in lasts), F.lit(0))
@@ -120,7 +128,7 @@ def mix(docs: DataFrame, **setting) -> DataFrame:
 
     Null and empty texts have size 0. A null source is a source. An empty table gives no rows.
     """
-    plan = plan_mix(docs, **setting).withColumnRenamed("source", "of")
+    plan = met_by_source(plan_mix(docs, **setting).withColumnRenamed("source", "of"))
     rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), shuffle_key(F.col("doc_id")).alias("key"))
     found = rows.join(plan, rows["source"].eqNullSafe(plan["of"]))
     lasts = [F.col(c) for c in plan.columns if c.startswith("last_")]
@@ -133,7 +141,7 @@ def apply_mix(docs: DataFrame, **setting) -> DataFrame:
 
     A row without words costs nothing and stays once.
     """
-    plan = plan_mix(docs, **setting)
+    plan = met_by_source(plan_mix(docs, **setting))
     renamed = dict(zip(plan.columns, free_names(docs, *[f"mix_{c}" for c in plan.columns])))
     plan = plan.withColumnsRenamed(renamed)
     times, turn = free_names(docs, "mix_times", "mix_turn")
