@@ -6,7 +6,8 @@ that both have are the site's frame and go. Two pages that share nearly everythi
 copies and say nothing about the frame, so the other neighbour is asked instead.
 
 Two things are settled by the markup itself: what stands in an article or main element is content, also where another page
-repeats it, and what is left in menus, headers, footers, sidebars, notices, adverts, forms and comments goes also where no other page has it.
+repeats it, and what stands in menus, headers, footers, sidebars, notices, adverts, forms and comments goes also where no other page has it.
+All other lines, also those of a page that has an article, are decided by the comparison alone.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from harborline.llm.common import on_workers
 # Keys of pages that are brought to the driver to cut the order into blocks (up to twice as many), and how many of them make a block.
 SAMPLE_KEYS = 16_384
 KEYS_PER_BLOCK = 16
-# Of a page's lines outside its article, the share of characters from which a neighbour counts as a copy.
+# Of a page's text, the share of characters from which a neighbour counts as a copy.
 COPY_SHARE = 0.8
 BATCH_CHARS = 8 << 20
 # Cells of the alignment table of two pages.
@@ -169,18 +170,24 @@ def ascending(mine: list[str], left: list[int], right: list[str]) -> set[int]:
     return found
 
 
+def against(page: list[tuple[str, str]], other: list[tuple[str, str]]) -> tuple[set[int], float]:
+    """Numbers of the undecided lines that ``other`` shares outside its content, and the share of the page's text that it has."""
+    undecided = [n for n, (zone, _) in enumerate(page) if zone == "u"]
+    shared = {undecided[n] for n in shared_lines([page[n][1] for n in undecided], [text for zone, text in other if zone != "c"])}
+    known = {text for _, text in other}
+    had = sum(len(text) for n, (zone, text) in enumerate(page) if n in shared or (zone == "c" and text in known))
+    return shared, had / max(1, sum(len(text) for zone, text in page if zone != "f"))
+
+
 def main_text(page: list[tuple[str, str]], neighbours: list[list[tuple[str, str]]]) -> str:
-    """The text of ``page`` without the lines outside its content that the first neighbour that is no copy also has."""
-    outside = [n for n, (zone, _) in enumerate(page) if zone != "c"]
-    undecided = [n for n in outside if page[n][0] == "u"]
+    """The content of ``page`` and its undecided lines without those that the first neighbour that is no copy also has."""
     frame: set[int] = set()
-    for neighbour in neighbours if undecided else []:
-        shared = {outside[n] for n in shared_lines([page[n][1] for n in outside], [text for zone, text in neighbour if zone != "c"])}
-        if sum(len(page[n][1]) for n in undecided if n in shared) <= COPY_SHARE * sum(len(page[n][1]) for n in undecided):
+    for neighbour in neighbours if any(zone == "u" for zone, _ in page) else []:
+        shared, share = against(page, neighbour)
+        if share <= COPY_SHARE:
             frame = shared
             break
-    wanted = "c" if len(outside) < len(page) else "u"
-    return "\n".join(text for n, (zone, text) in enumerate(page) if zone == wanted and n not in frame)
+    return "\n".join(text for n, (zone, text) in enumerate(page) if zone != "f" and n not in frame)
 
 
 def packed(page: list[tuple[str, str]]) -> str:

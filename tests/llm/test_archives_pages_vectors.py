@@ -72,6 +72,16 @@ def test_page_texts(spark):
     assert html_text.extract(table.where("false")).count() == 0
 
 
+def test_pages_with_an_article_are_compared_too(spark):
+    def body(n):
+        return f"<div>The slogan</div><div><p>Story {n} in a plain block</p></div><article><p>Teaser</p></article><div>Elsewhere</div>"
+
+    rows = [(n, f"http://a.org/p/{n}", page(body(n))) for n in range(3)] + [(9, "http://alone.org/", page(body(9)))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[n] for n in range(3)] == [f"Story {n} in a plain block\nTeaser" for n in range(3)]
+    assert got[9] == "The slogan\nStory 9 in a plain block\nTeaser\nElsewhere"
+
+
 def test_longest_common_lines(monkeypatch):
     rng = np.random.default_rng(2)
 
