@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from harborline.functions.quantiles import quantiles
-from harborline.operators import demand, retrieval, sampling, scenario
+from harborline.operators import demand, modeling, retrieval, sampling, scenario
 from harborline.operators.ordering import first_per_key, label_codes, running_totals
 from harborline.operators.series import over_rows, trailing
 from harborline.plans.catalog import QUERIES
@@ -109,6 +109,27 @@ def test_random_choices_do_not_depend_on_partitions(spark):
     assert sampling.sample_rows(df, ["k"], 100).exceptAll(sampling.sample_rows(df.repartition(9), ["k"], 100)).count() == 0
 
 
+def test_search_covers_the_whole_range_of_models(spark, monkeypatch):
+    df = spark.createDataFrame([(float(n % 7), float(n % 5), float(n % 7 + 1)) for n in range(200)], "a double, b double, y double")
+    seen, real = [], modeling.TrainValidationSplit
+
+    def recorded(**given):
+        grid = given["estimatorParamMaps"]
+        seen.append([{p.name: v for p, v in trial.items()} for trial in grid])
+        tiny = [{p: 2 if p.name in ("maxIter", "maxDepth") else v for p, v in trial.items()} for trial in grid[:2]]
+        return real(**{**given, "estimatorParamMaps": tiny})
+
+    monkeypatch.setattr(modeling, "TrainValidationSplit", recorded)
+    for _ in range(2):
+        assert modeling.predict(modeling.search_regression(df, ["a", "b"], "y"), df).count() == 200
+    assert len(seen[0]) == 20 and seen[0] == seen[1]
+    for name, least, most in (("maxIter", 50, 300), ("maxDepth", 3, 9), ("stepSize", 0.001, 0.1)):
+        drawn = [trial[name] for trial in seen[0]]
+        assert least <= min(drawn) and max(drawn) <= most
+        # The draws reach the upper and the lower part of the range.
+        assert max(drawn) > (least + most) / 2 > min(drawn)
+
+
 def test_nearest_vectors_with_many_queries(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERIES_PER_BLOCK", 4)
     rng = np.random.default_rng(1)
