@@ -1,9 +1,9 @@
 """The main text of web pages, by what a page does not share with the page of the nearest URL.
 
-A page is cut into lines, one per block of its markup. Within a host, pages are ordered by their URL path, and each page is
-paired with the neighbour whose path has the longest common start. Their lines are aligned by longest common subsequence, and the lines
-that both have are the site's frame and go. Two pages that share nearly everything are
-copies and say nothing about the frame, so the other neighbour is asked instead.
+A page is cut into lines, one per block of its markup. Within a host, pages are ordered by their URL path. Consecutive pages of equal content are copies
+and say nothing about the frame, so they are taken together, and each page is compared with the nearest page of other content on
+either side. Of the two, the one whose path has the longest common start decides: their lines are aligned by longest common subsequence, and the lines
+that both have are the site's frame and go. Where it shares nearly everything and the other side does not, it is taken for a copy with small changes, and the other decides.
 
 Two things are settled by the markup itself: what stands in an article or main element is content, also where another page
 repeats it, and what stands in menus, headers, footers, sidebars, notices, adverts, forms and comments goes also where no other page has it.
@@ -18,6 +18,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -28,7 +29,7 @@ from harborline.llm.common import on_workers
 # Keys of pages that are brought to the driver to cut the order into blocks (up to twice as many), and how many of them make a block.
 SAMPLE_KEYS = 16_384
 KEYS_PER_BLOCK = 16
-# Of a page's text, the share of characters from which a neighbour counts as a copy.
+# Of a page's text, the share of characters above which the page on the other side is preferred.
 COPY_SHARE = 0.8
 BATCH_CHARS = 8 << 20
 # Cells of the alignment table of two pages.
@@ -179,17 +180,45 @@ def against(page: list[tuple[str, str]], other: list[tuple[str, str]]) -> tuple[
     return shared, had / max(1, sum(len(text) for zone, text in page if zone != "f"))
 
 
-def main_text(page: list[tuple[str, str]], neighbours: list[list[tuple[str, str]]]) -> str:
-    """The content of ``page`` and its undecided lines without those that the first neighbour that is no copy also has."""
-    frame: set[int] = set()
-    for neighbour in neighbours if any(zone == "u" for zone, _ in page) else []:
-        shared, share = against(page, neighbour)
-        if share <= COPY_SHARE:
-            frame = shared
-            break
+def main_text(page: list[tuple[str, str]], compared: list[tuple[set[int], float]]) -> str:
+    """The content of ``page`` and its undecided lines that are no frame, by its comparisons with pages of other content, nearest first.
+
+    The first page that has at most COPY_SHARE of the text decides, else the first that does not have all of it. A page that has nothing of its own next
+    to two pages is frame where both agree; next to a single one it may as well be a part of it, and stays.
+    """
+    partial = sorted((c for c in compared if c[1] < 1), key=lambda c: c[1] > COPY_SHARE)
+    frame = partial[0][0] if partial else set.intersection(*[shared for shared, _ in compared]) if len(compared) > 1 else set()
     return "\n".join(text for n, (zone, text) in enumerate(page) if zone != "f" and n not in frame)
 
 
+def content_digest(page: list[tuple[str, str]]) -> bytes:
+    """Equal for pages that differ at most in marked frame; empty for a page that has nothing else."""
+    own = packed([line for line in page if line[0] != "f"])
+    return blake2b(own.encode("utf-8", "surrogatepass"), digest_size=16).digest() if own else b""
+
+
+class Run:
+    """Consecutive pages of a host that have the same content; they share their comparisons."""
+
+    def __init__(self, place: tuple, path: str, page: str) -> None:
+        self.place, self.path, self.page = place, path, page
+        self.last_path, self.last_page = path, page
+        self.rows: list[tuple] = []  # path, page_id, url
+
+    def texts(self, before: Run | None, after: Run | None) -> Iterator[tuple]:
+        """page_id, url and text of each page; ``before`` and ``after`` are the nearest pages of other content."""
+        page = unpacked(self.page)
+        sides = [(before.last_path, before.last_page)] if before else []
+        sides += [(after.path, after.page)] if after else []
+        compared = [against(page, unpacked(other)) for _, other in sides]
+        known: dict[tuple[int, ...], str] = {}
+        for path, page_id, url in self.rows:
+            order = tuple(sorted(range(len(sides)), key=lambda n: -len(commonprefix([sides[n][0], path]))))
+            if order not in known:
+                known[order] = main_text(page, [compared[n] for n in order])
+            yield page_id, url, known[order]
+
+
 def packed(page: list[tuple[str, str]]) -> str:
     return "\n".join(zone + text for zone, text in page)
 
@@ -218,32 +247,42 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             hosts, paths, numbers = (batch.column(n).to_pylist() for n in range(3))
             blocks = [bisect_right(cuts, k) for k in zip(hosts, paths, numbers)]
-            found = [packed(lines(page.as_py())) for page in batch.column(5)]
+            found = [lines(page.as_py()) for page in batch.column(5)]
+            digests = pa.array(map(content_digest, found), pa.binary())
             yield pa.record_batch(
-                [pa.array(blocks, pa.int32()), *batch.columns[:5], pa.array(found, pa.string())],
-                names=["block", "host", "path", "number", "page_id", "url", "lines"],
+                [pa.array(blocks, pa.int32()), *batch.columns[:5], digests, pa.array(map(packed, found), pa.string())],
+                names=["block", "host", "path", "number", "page_id", "url", "digest", "lines"],
             )
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                columns = [batch.column(n).to_pylist() for n in (0, 1, 2, 4, 5)]
-                for *row, page in zip(*columns, batch.column(6)):
-                    yield (*row, unpacked(page.as_py()))
+    def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        before, run = None, None
+        for batch in batches:
+            columns = [batch.column(n).to_pylist() for n in (0, 1, 2, 4, 5, 6)]
+            for block, host, path, page_id, url, digest, page in zip(*columns, batch.column(7)):
+                if not digest:
+                    yield page_id, url, ""
+                    continue
+                place = (block, host, digest)
+                if run is None or run.place != place:
+                    following = Run(place, path, page.as_py())
+                    if run is not None:
+                        yield from run.texts(before, following if run.place[:2] == place[:2] else None)
+                        before = run if run.place[:2] == place[:2] else None
+                        run.rows = []
+                    run = following
+                run.last_path, run.last_page = path, page.as_py()
+                run.rows.append((path, page_id, url))
+        if run is not None:
+            yield from run.texts(before, None)
 
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
-        before, row = None, None
-        for after in rows_and_none(rows()):
-            if row is not None:
-                near = [r for r in (before, after) if r is not None and r[:2] == row[:2]]
-                near.sort(key=lambda r: -len(commonprefix([r[2], row[2]])))
-                text = main_text(row[5], [r[5] for r in near])
-                out.append((row[3], row[4], text, len(text)))
-                held += len(text)
-                if held >= BATCH_CHARS:
-                    yield as_batch(out)
-                    out, held = [], 0
-            before, row = row, after
+        for page_id, url, text in texts(batches):
+            out.append((page_id, url, text, len(text)))
+            held += len(text) + 100
+            if held >= BATCH_CHARS:
+                yield as_batch(out)
+                out, held = [], 0
         if out:
             yield as_batch(out)
 
@@ -251,11 +290,7 @@ def extract(pages: DataFrame) -> DataFrame:
         kinds = zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int64()))
         return pa.record_batch([pa.array(c, k) for c, k in kinds], names=["page_id", "url", "text", "n_chars"])
 
-    cut_pages = keyed.mapInArrow(cut, "block int, host string, path string, number bigint, page_id bigint, url string, lines string")
-    ordered = cut_pages.repartition("block").sortWithinPartitions("block", *key, "lines")
+    cut_pages = keyed.mapInArrow(cut, "block int, host string, path string, number bigint, page_id bigint, url string, digest binary, lines string")
+    ordered = cut_pages.repartition("block").sortWithinPartitions("block", *key, "digest", "lines")
     return ordered.mapInArrow(compare, "page_id bigint, url string, text string, n_chars bigint")
 
-
-def rows_and_none(rows: Iterable[tuple]) -> Iterator[tuple | None]:
-    yield from rows
-    yield None

@@ -82,6 +82,21 @@ def test_pages_with_an_article_are_compared_too(spark):
     assert got[9] == "The slogan\nStory 9 in a plain block\nTeaser\nElsewhere"
 
 
+def test_copies_and_heavy_frames(spark):
+    frame = "".join(f"<div>Part {n} of a heavy template that every page of the site has</div>" for n in range(9))
+    story = {n: f"<div>Story {n} that is told on one page alone, at some length</div>" for n in range(9)}
+    bodies = [story[0], *[story[1]] * 7, "", story[2]]
+    rows = [(n, f"http://copies.org/{n}", page(f"<div>Slogan</div>{body}<div class=ad>{n}</div>") if body else None) for n, body in enumerate(bodies)]
+    rows += [(100 + n, f"http://heavy.org/{n}", page(f"{frame}<div>Note {n}</div>")) for n in range(3)]
+    # A near copy on one side, another story on the other.
+    rows += [(200 + n, f"http://near.org/{n}", page(f"<div>Slogan</div>{story[s]}<div>{n} views</div>")) for n, s in enumerate((3, 3, 4))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    told = {n: story[n][5:-6] for n in story}
+    assert [got[n] for n in range(10)] == [told[0], *[told[1]] * 7, "", told[2]]
+    assert [got[100 + n] for n in range(3)] == [f"Note {n}" for n in range(3)]
+    assert got[201] == f"{told[3]}\n1 views" and got[202] == f"{told[4]}\n2 views"
+
+
 def test_longest_common_lines(monkeypatch):
     rng = np.random.default_rng(2)
 
