@@ -19,6 +19,8 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import groupby
+from operator import itemgetter
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -227,11 +229,42 @@ def unpacked(page: str) -> list[tuple[str, str]]:
     return [(line[0], line[1:]) for line in page.split("\n")] if page else []
 
 
+def ends_of(rows: Iterable[tuple]) -> list[tuple[tuple, tuple]]:
+    """First and last row of the first two and the last two runs of equal host and digest; ``rows``: host, path, number, digest."""
+    kept: list[tuple[tuple, tuple]] = []
+    for row in rows:
+        if kept and (kept[-1][1][0], kept[-1][1][3]) == (row[0], row[3]):
+            kept[-1] = (kept[-1][0], row)
+        else:
+            kept.append((row, row))
+            if len(kept) > 4:
+                del kept[2]
+    return kept
+
+
+def borders(runs: dict[int, list[tuple[tuple, tuple]]]) -> dict[tuple, list[int]]:
+    """The rows that other blocks need, with those blocks: the nearest of the same host and other content before and after each block."""
+    def other(mine: tuple, following: Iterable[tuple]) -> tuple | None:
+        found = next((row for row in following if (row[0], row[3]) != (mine[0], mine[3])), None)
+        return found if found and found[0] == mine[0] else None
+
+    copies: dict[tuple, list[int]] = {}
+    order = sorted(runs)
+    for n, block in enumerate(order):
+        after = (first for b in order[n + 1:] for first, _ in runs[b][:2])
+        before = (last for b in reversed(order[:n]) for _, last in reversed(runs[b][-2:]))
+        for row in (other(runs[block][-1][1], after), other(runs[block][0][0], before)):
+            if row:
+                copies.setdefault(row, []).append(block)
+    return copies
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages`` (page_id, url, html).
 
     Null html has no text. Pages without a URL are one host. Rows that tie in URL and id go by their lines. Pages are compared inside blocks of the order
-    of (host, path, id), which are cut at a hashed sample of the keys; a host may fill any number of blocks.
+    of (host, path, id), which are cut at a hashed sample of the keys; a host may fill any number of blocks. The nearest pages of other content beyond a cut
+    are copied into the block, so the cuts change no result; finding them takes one more pass over the pages.
     """
     on_workers(pages.sparkSession)
     url = F.coalesce("url", F.lit(""))
@@ -243,22 +276,51 @@ def extract(pages: DataFrame) -> DataFrame:
     sample = keyed.where(F.pmod(F.xxhash64(*key), F.lit(every)) == 0).select(*key).distinct().collect()
     cuts = sorted(tuple(r) for r in sample)[KEYS_PER_BLOCK::KEYS_PER_BLOCK]
 
+    def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = [bisect_right(cuts, k) for k in zip(*(batch.column(n).to_pylist() for n in range(3)))]
+            found = [content_digest(lines(page.as_py())) for page in batch.column(5)]
+            yield pa.record_batch([pa.array(blocks, pa.int32()), *batch.columns[:3], pa.array(found, pa.binary())], names=["block", *key, "digest"])
+
+    def ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((row[0], row[1:]) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)) if row[-1])
+        for block, of_block in groupby(rows, itemgetter(0)):
+            kept = ends_of(row for _, row in of_block)
+            columns = [[block] * len(kept), list(range(len(kept))), *zip(*[(*first, *last[1:3]) for first, last in kept])]
+            types = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, types)], names=["block", "nth", *key, "digest", "last_path", "last_number"])
+
+    copies: dict[tuple, list[int]] = {}
+    if cuts:
+        narrow = keyed.mapInArrow(digests, "block int, host string, path string, number bigint, digest binary")
+        narrow = narrow.repartition("block").sortWithinPartitions("block", *key, "digest")
+        # Four runs of each block come to the driver at most.
+        found = narrow.mapInArrow(ends, "block int, nth int, host string, path string, number bigint, digest binary, last_path string, last_number bigint").collect()
+        runs: dict[int, list[tuple]] = {}
+        for block, _, host_, path_, number, digest, last_path, last_number in sorted(found):
+            digest = bytes(digest)
+            runs.setdefault(block, []).append(((host_, path_, number, digest), (host_, last_path, last_number, digest)))
+        copies = borders(runs)
+
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, numbers = (batch.column(n).to_pylist() for n in range(3))
-            blocks = [bisect_right(cuts, k) for k in zip(hosts, paths, numbers)]
+            keys = list(zip(*(batch.column(n).to_pylist() for n in range(3))))
             found = [lines(page.as_py()) for page in batch.column(5)]
-            digests = pa.array(map(content_digest, found), pa.binary())
+            held = [content_digest(page) for page in found]
+            places = [(n, bisect_right(cuts, k), False) for n, k in enumerate(keys)]
+            places += [(n, block, True) for n, k in enumerate(keys) for block in copies.get((*k, held[n]), ())]
+            at = pa.array([n for n, _, _ in places], pa.int64())
+            columns = [*batch.columns[:5], pa.array(held, pa.binary()), pa.array(map(packed, found), pa.string())]
             yield pa.record_batch(
-                [pa.array(blocks, pa.int32()), *batch.columns[:5], digests, pa.array(map(packed, found), pa.string())],
-                names=["block", "host", "path", "number", "page_id", "url", "digest", "lines"],
+                [pa.array([b for _, b, _ in places], pa.int32()), *[c.take(at) for c in columns], pa.array([c for _, _, c in places], pa.bool_())],
+                names=["block", "host", "path", "number", "page_id", "url", "digest", "lines", "copied"],
             )
 
     def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         before, run = None, None
         for batch in batches:
             columns = [batch.column(n).to_pylist() for n in (0, 1, 2, 4, 5, 6)]
-            for block, host, path, page_id, url, digest, page in zip(*columns, batch.column(7)):
+            for block, host, path, page_id, url, digest, page, copied in zip(*columns, batch.column(7), batch.column(8).to_pylist()):
                 if not digest:
                     yield page_id, url, ""
                     continue
@@ -271,7 +333,8 @@ def extract(pages: DataFrame) -> DataFrame:
                         run.rows = []
                     run = following
                 run.last_path, run.last_page = path, page.as_py()
-                run.rows.append((path, page_id, url))
+                if not copied:
+                    run.rows.append((path, page_id, url))
         if run is not None:
             yield from run.texts(before, None)
 
@@ -290,7 +353,7 @@ def extract(pages: DataFrame) -> DataFrame:
         kinds = zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int64()))
         return pa.record_batch([pa.array(c, k) for c, k in kinds], names=["page_id", "url", "text", "n_chars"])
 
-    cut_pages = keyed.mapInArrow(cut, "block int, host string, path string, number bigint, page_id bigint, url string, digest binary, lines string")
+    cut_pages = keyed.mapInArrow(cut, "block int, host string, path string, number bigint, page_id bigint, url string, digest binary, lines string, copied boolean")
     ordered = cut_pages.repartition("block").sortWithinPartitions("block", *key, "digest", "lines")
     return ordered.mapInArrow(compare, "page_id bigint, url string, text string, n_chars bigint")
 

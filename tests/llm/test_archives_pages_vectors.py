@@ -97,6 +97,21 @@ def test_copies_and_heavy_frames(spark):
     assert got[201] == f"{told[3]}\n1 views" and got[202] == f"{told[4]}\n2 views"
 
 
+def test_cuts_change_no_page_text(spark, monkeypatch):
+    def body(host, n):
+        story = 7 if host == "b.org" and 3 <= n < 15 else n
+        return f"<div>The slogan of {host}</div><div>Story {story} of {host}, told at some length</div>" if n % 5 != 4 or story == 7 else None
+
+    rows = [(100 * h + n, f"http://{host}/{n:02}", body(host, n)) for h, host in enumerate(("a.org", "b.org", "c.org")) for n in range(20)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = []
+    for keys in (1, 3, 16, 1000):
+        monkeypatch.setattr(html_text, "KEYS_PER_BLOCK", keys)
+        found.append(sorted((r.page_id, r.text) for r in html_text.extract(table).collect()))
+    assert all(f == found[0] for f in found) and len(found[0]) == len(rows)
+    assert [text for _, text in found[0]] == ["" if html is None else html[html.index("Story"):-6] for _, _, html in rows]
+
+
 def test_longest_common_lines(monkeypatch):
     rng = np.random.default_rng(2)
 
