@@ -56,16 +56,23 @@ TOKEN = re.compile(
     r"<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*|[^>]*)>",
     re.S | re.I,
 )
-MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+MARK = re.compile(r"\b(?:class|id|role)\Z", re.I)
+
+
+def marks(rest: str) -> str:
+    """The values of class, id and role among a start tag's attributes."""
+    if "=" not in rest:
+        return ""
+    return " ".join(value for name, *values in ATTRIBUTE.findall(rest) if MARK.search(name) and (value := next(filter(None, values), "")))
 
 
 @lru_cache(10_000)
-def inside(name: str, rest: str) -> str:
-    """What an element's start tag makes of its inside: f for frame, c for content, empty for what is around it."""
+def inside(name: str, marked: str) -> str:
+    """What an element's name and marks make of its inside: f for frame, c for content, empty for what is around it."""
     if name in CONTENT:
         return "c"
-    marks = " ".join(next(filter(None, m), "") for m in MARKS.findall(rest))
-    return "f" if name in FRAME or (name not in ("html", "body") and FRAME_WORDS.search(marks)) else ""
+    return "f" if name in FRAME or (name not in ("html", "body") and FRAME_WORDS.search(marked)) else ""
 
 
 def lines(page: str | None) -> list[tuple[str, str]]:
@@ -102,7 +109,7 @@ def lines(page: str | None) -> list[tuple[str, str]]:
             if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and open_elements[-1][0] == name:
                 open_elements.pop()
             if name in BLOCKS or name in FRAME:
-                zone, wanted = open_elements[-1][1], inside(name, token["rest"][:500])
+                zone, wanted = open_elements[-1][1], inside(name, marks(token["rest"]))
                 open_elements.append((name, wanted if wanted == "f" or (wanted and zone != "f") else zone))
     held.append(page[at:])
     close()

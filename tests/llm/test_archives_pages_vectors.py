@@ -112,6 +112,14 @@ def test_cuts_change_no_page_text(spark, monkeypatch):
     assert [text for _, text in found[0]] == ["" if html is None else html[html.index("Story"):-6] for _, _, html in rows]
 
 
+def test_marks_stand_anywhere_in_a_tag():
+    for long in ("style='" + "margin:0;" * 100 + "'", 'data-x="' + "y" * 493 + '"', "srcset=\"" + "/a?id=banner 2x, " * 60 + '"'):
+        for mark in ("class='teaser ad'", "id=sidebar", 'ROLE = "banner"', "class='" + "plain " * 200 + "cookie'"):
+            assert html_text.lines(f"<div {long} {mark}>frame</div><p>text") == [("f", "frame"), ("u", "text")]
+        # Words inside another attribute's value say nothing.
+        assert html_text.lines(f"<div {long} class=story hidden>text</div>") == [("u", "text")]
+
+
 def test_longest_common_lines(monkeypatch):
     rng = np.random.default_rng(2)
 
