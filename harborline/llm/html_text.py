@@ -14,8 +14,7 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left, bisect_right
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -23,6 +22,7 @@ from itertools import groupby
 from operator import itemgetter
 from os.path import commonprefix
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -34,7 +34,7 @@ KEYS_PER_BLOCK = 16
 # Of a page's text, the share of characters above which the page on the other side is preferred.
 COPY_SHARE = 0.8
 BATCH_CHARS = 8 << 20
-# Cells of the alignment table of two pages.
+# Cells of the alignment table that is held at once; it changes no length.
 LARGEST_TABLE = 4_000_000
 
 # Element names of HTML, and words that sites use for parts that are not content.
@@ -117,11 +117,7 @@ def lines(page: str | None) -> list[tuple[str, str]]:
 
 
 def shared_lines(mine: list[str], other: list[str]) -> set[int]:
-    """Numbers of my lines in a longest common subsequence with the other's.
-
-    Beyond LARGEST_TABLE, the n-th occurrence of a line only meets the other's n-th, which needs no table; it is
-    the same where no line repeats.
-    """
+    """Numbers of my lines in a longest common subsequence with the other's."""
     start = 0
     while start < min(len(mine), len(other)) and mine[start] == other[start]:
         start += 1
@@ -132,52 +128,52 @@ def shared_lines(mine: list[str], other: list[str]) -> set[int]:
     known = set(other[start:len(other) - end])
     # Only lines that both have can be shared.
     left = [n for n in range(start, len(mine) - end) if mine[n] in known]
-    wanted = {mine[n] for n in left}
-    right = [t for t in other[start:len(other) - end] if t in wanted]
-    if len(left) * len(right) > LARGEST_TABLE:
-        return shared | ascending(mine, left, right)
-    table = [[0] * (len(right) + 1)]
-    for n in left:
+    number: dict[str, int] = {}
+    x = [number.setdefault(mine[n], len(number)) for n in left]
+    y = [number[t] for t in other[start:len(other) - end] if t in number]
+    return shared | {left[n] for n in longest_common(x, y)}
+
+
+def longest_common(x: list[int], y: list[int]) -> list[int]:
+    """Places in ``x`` of a longest common subsequence.
+
+    Beyond LARGEST_TABLE cells, ``x`` is halved and ``y`` cut where the halves have most in common (Hirschberg), so memory stays linear.
+    """
+    if len(x) < 2 or len(x) * len(y) <= LARGEST_TABLE:
+        return from_table(x, y)
+    half, all_y = len(x) // 2, np.array(y, np.int64)
+    upto = common_lengths(x[:half], all_y)
+    since = common_lengths(x[:half - 1:-1], all_y[::-1])
+    at = int((upto + since[::-1]).argmax())
+    return longest_common(x[:half], y[:at]) + [half + n for n in longest_common(x[half:], y[at:])]
+
+
+def common_lengths(x: list[int], y: np.ndarray) -> np.ndarray:
+    """The length of a longest common subsequence of ``x`` and each start of ``y``."""
+    row = np.zeros(len(y) + 1, np.int64)
+    for value in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(y == value, row[:-1] + 1, 0)))
+    return row
+
+
+def from_table(x: list[int], y: list[int]) -> list[int]:
+    table = [[0] * (len(y) + 1)]
+    for value in x:
         row, above = [0], table[-1]
-        for j, text in enumerate(right):
-            row.append(above[j] + 1 if text == mine[n] else max(above[j + 1], row[j]))
+        for j, other in enumerate(y):
+            row.append(above[j] + 1 if other == value else max(above[j + 1], row[j]))
         table.append(row)
-    i, j = len(left), len(right)
+    found = []
+    i, j = len(x), len(y)
     while i and j:
-        if mine[left[i - 1]] == right[j - 1] and table[i][j] == table[i - 1][j - 1] + 1:
-            shared.add(left[i - 1])
+        if x[i - 1] == y[j - 1] and table[i][j] == table[i - 1][j - 1] + 1:
+            found.append(i - 1)
             i, j = i - 1, j - 1
         elif table[i - 1][j] >= table[i][j - 1]:
             i -= 1
         else:
             j -= 1
-    return shared
-
-
-def ascending(mine: list[str], left: list[int], right: list[str]) -> set[int]:
-    """Of equal lines paired by their number of occurrence, the most that stand in the same order on both sides."""
-    def numbered(texts: Iterable[str]) -> list[tuple[str, int]]:
-        seen: Counter[str] = Counter()
-        found = []
-        for text in texts:
-            found.append((text, seen[text]))
-            seen[text] += 1
-        return found
-
-    place = {key: n for n, key in enumerate(numbered(right))}
-    ends: list[int] = []  # the least last place of an ascending run of each length
-    runs: list[tuple[int, int]] = []  # of each pair: my line, the pair before it
-    last: list[int] = []
-    for n, key in zip(left, numbered(mine[m] for m in left)):
-        if key in place:
-            at = bisect_left(ends, place[key])
-            ends[at:at + 1], last[at:at + 1] = [place[key]], [len(runs)]
-            runs.append((n, last[at - 1] if at else -1))
-    found, at = set(), last[-1] if last else -1
-    while at >= 0:
-        n, at = runs[at]
-        found.add(n)
-    return found
+    return found[::-1]
 
 
 def against(page: list[tuple[str, str]], other: list[tuple[str, str]]) -> tuple[set[int], float]:

@@ -142,6 +142,19 @@ def test_longest_common_lines(monkeypatch):
         assert len(html_text.shared_lines(a, b)) == longest(a, b)
 
 
+def test_repeated_lines_of_long_pages(monkeypatch):
+    rng = np.random.default_rng(3)
+    pairs = [[["abcd"[i] for i in rng.integers(0, 4, rng.integers(0, 25))] for _ in range(2)] for _ in range(200)] + [[["b", "a"], ["a", "b", "a"]]]
+    exact = [len(html_text.shared_lines(a, b)) for a, b in pairs]
+    for cells in (-1, 20, 100):
+        monkeypatch.setattr(html_text, "LARGEST_TABLE", cells)
+        for (a, b), length in zip(pairs, exact):
+            shared = html_text.shared_lines(a, b)
+            rest = iter(b)
+            assert len(shared) == length and all(a[n] in rest for n in sorted(shared))
+    assert exact[-1] == 2
+
+
 def vectors(spark, n=700, size=16, seed=0):
     rng = np.random.default_rng(seed)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=size)]) for i in range(n)]
