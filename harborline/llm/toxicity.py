@@ -34,14 +34,14 @@ DEGREE = 2**DEGREE_DOUBLINGS
 LANDMARKS = 192
 PENALTY = 1.0
 ROUNDS = 3
-# The bound of the sample to fit on: rows per class, characters per text, sentences per text.
+# The bound of the sample to fit on: rows per class, characters per text.
 FIT_ROWS = 3000
 FIT_CHARS = 20_000
-FIT_SENTENCES = 12
 HELD_OUT_FOLDS = 5
 
-# Words a worker remembers, words and texts scored together; none changes a result.
+# Words a worker remembers, words and texts scored together, sentences fitted together; none changes a result.
 MEMORY_WORDS = 300_000
+BATCH_SENTENCES = 16_384
 BATCH_WORDS = 1_000
 BATCH_TEXTS = 64
 
@@ -199,9 +199,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray | None =
     weight = np.ones(len(toxic)) if weight is None else np.asarray(weight, float)
     document, label, said = [], [], []
     for n, text in enumerate(texts):
-        found = sentences(text)
-        found.sort(key=lambda s: zlib.crc32(" ".join(s).encode("utf-8", "replace")))
-        for s in found[:FIT_SENTENCES]:
+        for s in sentences(text):
             document.append(n)
             label.append(toxic[n])
             said.append(s)
@@ -219,16 +217,16 @@ def fit(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray | None =
     large = values > 1e-6
     root = vectors[:, large] / np.sqrt(values[large])
     starts = np.searchsorted(sentence, np.arange(len(said)))
-    features = np.empty((len(said), root.shape[1]), np.float32)
+    features = np.ones((len(said), root.shape[1] + 1), np.float32)  # the last column is for the offset
     for at in range(0, len(said), BATCH_WORDS):
         part = word[starts[at]:starts[at + BATCH_WORDS] if at + BATCH_WORDS < len(said) else len(word)]
         distinct, where = np.unique(part, return_inverse=True)
         near = landmarks.kernel([vocabulary[n] for n in distinct]).astype(np.float32)
-        features[at:at + BATCH_WORDS] = np.add.reduceat(near[where], starts[at:at + BATCH_WORDS] - starts[at]) @ root
+        features[at:at + BATCH_WORDS, :-1] = np.add.reduceat(near[where], starts[at:at + BATCH_WORDS] - starts[at]) @ root
     used, v = np.ones(len(said), bool), None
     for _ in range(ROUNDS):
-        v = support_vectors(features[used], label[used], v)
-        found = features @ v[:-1] + v[-1]
+        v = support_vectors(features, label, used, v)
+        found = products(features, v)
         worst = np.full(len(texts), -np.inf)
         np.maximum.at(worst, document, found)
         used = (label == 0) | (found > 0) | (found == worst[document])
@@ -263,19 +261,28 @@ def choose_landmarks(vocabulary: list[str], word: np.ndarray, document: np.ndarr
     return sorted({vocabulary[n] for n in [*telling, *others]}) or ["none"]
 
 
-def support_vectors(x: np.ndarray, label: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
-    """Weights and offset of a linear machine with squared hinge loss, both classes weighing the same, by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x), x.dtype)])
+def products(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``x @ v`` in double precision, without a copy of all of ``x``."""
+    return np.concatenate([np.empty(0), *[x[at:at + BATCH_SENTENCES] @ v for at in range(0, len(x), BATCH_SENTENCES)]])
+
+
+def support_vectors(x: np.ndarray, label: np.ndarray, used: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights and offset of a linear machine on the ``used`` rows with squared hinge loss, both classes weighing the same, by Newton steps."""
     sign = np.where(label > 0, 1.0, -1.0)
-    cost = PENALTY * len(x) / 2 / np.where(label > 0, (label > 0).sum(), (label == 0).sum())
+    cost = PENALTY * used.sum() / 2 / np.where(label > 0, (used & (label > 0)).sum(), (used & (label == 0)).sum())
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     v = np.zeros(x.shape[1]) if start is None else start
     for _ in range(12):
-        inside = sign * (x @ v) < 1
-        held = x[inside]
-        weighted = held.T * cost[inside].astype(x.dtype)
-        following = np.linalg.solve(ridge + weighted @ held, weighted @ sign[inside])
+        inside = np.flatnonzero(used & (sign * products(x, v) < 1))
+        left, right = ridge.copy(), np.zeros(len(v))
+        for at in range(0, len(inside), BATCH_SENTENCES):
+            part = inside[at:at + BATCH_SENTENCES]
+            held = x[part]
+            weighted = held.T * cost[part].astype(x.dtype)
+            left += weighted @ held
+            right += weighted @ sign[part]
+        following = np.linalg.solve(left, right)
         done = np.abs(following - v).max() <= 1e-3 * np.abs(following).max()
         v = following
         if done:

@@ -214,6 +214,29 @@ def test_toxicity_on_held_out_rows(labelled):
     assert np.mean([s < 0.5 for s in good]) > 0.97
 
 
+def test_every_sentence_takes_part_in_the_fit():
+    rng = np.random.default_rng(4)
+
+    def plain():
+        return " ".join(["the", "of", "river", "stone", "garden", "window", "paper", "morning", "bread", "table"][i] for i in rng.integers(0, 10, 6))
+
+    def place(sentence):
+        return zlib.crc32(sentence.encode())
+
+    texts, toxic = [], []
+    while len(texts) < 60:
+        said = [plain() for _ in range(40)]
+        # The insult is none of the twelve sentences of least crc32.
+        if sorted([*said, "zorblak quimmp"], key=place).index("zorblak quimmp") < 12:
+            continue
+        toxic.append(len(texts) % 2)
+        texts.append(". ".join([*said, "zorblak quimmp"] if toxic[-1] else said))
+    model = toxicity.fit(texts, np.array(toxic))
+    assert ((model.score(texts) >= 0.5) == np.array(toxic)).all()
+    bad, good = model.score(["zorblak quimmp", "river stone"])
+    assert bad > 0.5 > good
+
+
 def test_gapped_insults(labelled):
     model = toxicity.fit_on(*labelled)
     bad = ["you are an idiot", "you are an i.d.i.o.t", "such a l-o-s-e-r", "s t u p i d people", "pathetic### trash***", "worthlesss"]
