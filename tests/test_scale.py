@@ -109,6 +109,17 @@ def test_random_choices_do_not_depend_on_partitions(spark):
     assert sampling.sample_rows(df, ["k"], 100).exceptAll(sampling.sample_rows(df.repartition(9), ["k"], 100)).count() == 0
 
 
+def test_samples_are_full_where_a_key_has_many_rows(spark):
+    # Key 0 has nearly all rows; with some seeds its one draw lies above the threshold.
+    df = spark.range(4000).select(F.greatest(F.col("id") - 3000, F.lit(0)).alias("k"), "id")
+    wide = spark.range(4000).select(F.lit("one").alias("k"), "id")
+    for seed in range(4):
+        assert sampling.sample_rows(df, ["k"], 500, seed).count() == 500
+        assert sampling.sample_rows(wide, ["k"], 500, seed).count() == 500
+    want = df.withColumn("u", scenario.uniform(1, "k")).orderBy("u", "k").limit(500).groupBy("k").count()
+    assert sampling.sample_rows(df, ["k"], 500, 1).groupBy("k").count().exceptAll(want).count() == 0
+
+
 def test_search_covers_the_whole_range_of_models(spark, monkeypatch):
     df = spark.createDataFrame([(float(n % 7), float(n % 5), float(n % 7 + 1)) for n in range(200)], "a double, b double, y double")
     seen, real = [], modeling.TrainValidationSplit
