@@ -7,10 +7,9 @@ until it is empty. Every Arrow batch is then encoded by the sentencepiece librar
 
 from __future__ import annotations
 
-import re
 import struct
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
@@ -18,19 +17,23 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame
 
 from harborline.llm.common import on_workers
+from harborline.llm.words import by_bytes
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-# Segments and parts that one Python worker remembers, and the longest; none changes a result.
-MEMORY = 250_000
-LONGEST_REMEMBERED = 48
-# Rows that are encoded, checked and handed on together.
-ROWS = 512
+# Characters of segments that one Python worker remembers; forgetting them changes no result.
+MEMORY = 4_000_000
+# Segments of up to so many characters merge side by side, in tables of these widths; longer ones by themselves.
+WIDTHS = (8, 12, 16, 24, 32)
+# Bytes of text that are encoded and checked together.
+CHUNK_BYTES = 4 << 20
+NO_PLACE = np.iinfo("i4").max
 
 # Field numbers and types of the public model format.
 MODEL_PIECES, MODEL_TRAINER, MODEL_NORMALIZER = 1, 2, 3
@@ -73,25 +76,6 @@ def fields(data: memoryview) -> Iterator[tuple[int, int | memoryview]]:
             at += size
 
 
-class Memory(dict):
-    """Remembers what ``find`` gave for short keys; of more than ``MEMORY`` keys it keeps those asked for since it was last full."""
-
-    def __init__(self, find: Callable[[str], bytes]):
-        super().__init__()
-        self.find, self.earlier = find, {}
-
-    def __missing__(self, key: str) -> bytes:
-        found = self.earlier.get(key)
-        if found is None:
-            found = self.find(key)
-        if len(key) <= LONGEST_REMEMBERED:
-            if len(self) >= MEMORY:
-                self.earlier = dict(self)
-                self.clear()
-            self[key] = found
-        return found
-
-
 class Agenda:
     """Encoder of one merge-type model."""
 
@@ -100,8 +84,7 @@ class Agenda:
             self.proto = file.read()
         self.library = sentencepiece.SentencePieceProcessor(model_proto=self.proto)
         self.ids: dict[str, int] = {}
-        # A piece's place on the agenda: the negative score, so that the best score comes first.
-        self.cost: dict[str, float] = {}
+        scores: dict[str, float] = {}
         byte_ids, trainer, normalizer, self.unknown, n = {}, {}, {}, 0, 0
         for field, value in fields(memoryview(self.proto)):
             if field == MODEL_PIECES:
@@ -114,7 +97,7 @@ class Agenda:
                 elif kind in (USER_DEFINED, UNUSED):
                     raise ValueError("models with user-defined or unused pieces are not supported")
                 elif kind == NORMAL:
-                    self.ids[text], self.cost[text] = n, -struct.unpack("<f", piece.get(PIECE_SCORE, bytes(4)))[0]
+                    self.ids[text], scores[text] = n, struct.unpack("<f", piece.get(PIECE_SCORE, bytes(4)))[0]
                 n += 1
             elif field == MODEL_TRAINER:
                 trainer = dict(fields(value))
@@ -122,75 +105,185 @@ class Agenda:
                 normalizer = dict(fields(value))
         if trainer.get(TRAINER_MODEL_TYPE) != MERGE_MODEL:
             raise ValueError("the agenda is for merge-type models")
+        # Pieces of equal score share a place in the order, best first.
+        order = {score: n for n, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.place = {text: order[score] for text, score in scores.items()}
         self.byte_ids = [byte_ids[b] for b in range(256)] if len(byte_ids) == 256 else None
         # Only what plain models do is done here; other normalizers are the library's.
         self.plain = (
             not normalizer.get(NORMALIZER_CHARACTERS) and not trainer.get(TRAINER_SPACE_AS_SUFFIX)
             and normalizer.get(NORMALIZER_SPACE_IN_FRONT, 1) and not normalizer.get(NORMALIZER_SQUEEZE, 1) and normalizer.get(NORMALIZER_ESCAPE, 1)
         )
-        # Adjacent characters that no piece holds side by side are never merged over: texts may be cut between them.
-        self.joined = {pair for piece in self.ids for pair in map(add, piece, piece[1:])}
-        inner = any(b == SPACE != a for a, b in self.joined)
-        self.segments = re.compile(".+" if inner else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", re.DOTALL).findall
-        self.runs = re.compile(rf"{SPACE}*\w+|.", re.DOTALL).findall
-        self.parts = Memory(self.part)
-        self.seen = Memory(self.segment)
-
-    def normalize(self, text: str) -> str:
+        # Only where a piece has a space after another character do pairs cross from one word to the next.
+        self.joined_words = any(b == SPACE != a for piece in self.ids for a, b in zip(piece, piece[1:]))
+        self.seen: dict[str, bytes] = {}
+        self.held = 0
+        self.number_symbols()
+
+    def number_symbols(self) -> None:
+        """Numbers for pieces and for characters inside them, and a sorted table of the pairs that make a piece."""
+        self.symbols = [*self.ids, *sorted({c for piece in self.ids for c in piece} - self.ids.keys())]
+        number = {symbol: n for n, symbol in enumerate(self.symbols)}
+        self.character = np.arange(-1, -1 - 0x110000, -1, "i4")
+        for symbol, n in number.items():
+            if len(symbol) == 1:
+                self.character[ord(symbol)] = n
+        made = [
+            (self.key(number[piece[:n]], number[piece[n:]]), number[piece], self.place[piece])
+            for piece in self.ids for n in range(1, len(piece)) if piece[:n] in number and piece[n:] in number
+        ]
+        self.pair_keys, self.pair_pieces, self.pair_places = (np.array(c) for c in zip(*sorted(made)))
+        self.pair_places = self.pair_places.astype("i4")
+        # The id of each symbol, or -1 where the characters' bytes stand for it.
+        self.symbol_ids = np.array([self.ids.get(symbol, -1) for symbol in self.symbols], "i8")
+
+    def key(self, left, right):
+        """One number for a pair of symbols; characters outside the vocabulary (negative) have no pairs."""
+        if isinstance(left, int):
+            return (left + 1) * (len(self.symbols) + 1) + right + 1
+        return (np.maximum(left, -1).astype("i8") + 1) * (len(self.symbols) + 1) + np.maximum(right, -1) + 1
+
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of the pair table and whether the pairs are in it."""
+        keys = self.key(left, right)
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return at, self.pair_keys[at] == keys
+
+    def places(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        at, found = self.look_up(left, right)
+        return np.where(found, self.pair_places[at], NO_PLACE)
+
+    def normalize(self, texts: pa.StringArray) -> pa.StringArray:
+        """The texts as the model sees them, with blanks in place of its space sign."""
         if self.plain:
-            return SPACE + text.replace(" ", SPACE) if text else ""
-        return self.library.normalize(text)
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of ``text`` (none for null), unsigned little-endian with 32 bits each, without begin and end ids."""
-        return b"".join(map(self.seen.__getitem__, self.segments(self.normalize(text or ""))))
-
-    def segment(self, text: str) -> bytes:
-        return b"".join(map(self.parts.__getitem__, self.cut(text)))
-
-    def part(self, text: str) -> bytes:
-        return array("I", [i for symbol in self.merge(text) for i in self.ids_of(symbol)]).tobytes()
-
-    def cut(self, segment: str) -> list[str]:
-        """Runs of letters and single marks, put together again where a piece may hold both sides."""
-        parts = self.runs(segment)
-        for n in range(len(parts) - 1, 0, -1):
-            if parts[n - 1][-1] + parts[n][0] in self.joined:
-                parts[n - 1:n + 1] = [parts[n - 1] + parts[n]]
-        return parts
-
-    def ids_of(self, symbol: str) -> list[int]:
-        known = self.ids.get(symbol)
-        if known is not None:
-            return [known]
-        return [self.byte_ids[b] for b in symbol.encode()] if self.byte_ids else [self.unknown]
+            shown = pc.replace_substring(texts, SPACE, " ")
+            return pc.if_else(pc.equal(shown, ""), "", pc.binary_join_element_wise(" ", shown, ""))
+        return pa.array([self.library.normalize(t).replace(SPACE, " ") for t in texts.to_pylist()], pa.string())
+
+    def cut(self, texts: pa.StringArray) -> tuple[pa.Array, np.ndarray]:
+        """The segments of all texts, each a run of blanks with what follows, and how many of them end with each text."""
+        ends = np.frombuffer(texts.buffers()[1], "i4")[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", "u1")[ends[0]:ends[-1]]
+        ends = ends - ends[0]
+        first = np.zeros(len(data) + 1, bool)
+        if not self.joined_words:
+            blank = data == ord(" ")
+            first[:-1] = blank
+            first[1:-1] &= ~blank[:-1]
+        first[ends] = True
+        starts = np.flatnonzero(first)
+        segments = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts.astype("i4")), pa.py_buffer(data)])
+        return segments, np.searchsorted(starts, ends)
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls), one after the other, and where each text's end, from 0; without begin and end ids."""
+        segments, ends = self.cut(self.normalize(texts))
+        coded = segments.dictionary_encode()
+        distinct, code = [s.replace(" ", SPACE) for s in coded.dictionary.to_pylist()], coded.indices.to_numpy()
+        if self.held > MEMORY:
+            self.seen, self.held = {}, 0
+        fresh = list(set(distinct).difference(self.seen))
+        self.seen.update(zip(fresh, self.merge_all(fresh)))
+        self.held += sum(map(len, fresh))
+        ids = [self.seen[s] for s in distinct]
+        size = np.fromiter(map(len, ids), "i8", len(ids)) // 4
+        start = np.concatenate([[0], np.cumsum(size)])
+        upto = np.concatenate([[0], np.cumsum(size[code])])
+        # The ids of each segment from where those of its form are.
+        places = np.arange(upto[-1]) + np.repeat(start[code] - upto[:-1], size[code])
+        return np.frombuffer(b"".join(ids), "<i4")[places], upto[ends]
+
+    def ids_of(self, symbols: list[str]) -> bytes:
+        ids = []
+        for symbol in symbols:
+            known = self.ids.get(symbol)
+            if known is not None:
+                ids.append(known)
+            elif self.byte_ids:
+                ids += [self.byte_ids[b] for b in symbol.encode()]
+            else:
+                ids.append(self.unknown)
+        return array("I", ids).tobytes()
+
+    def merge_all(self, segments: list[str]) -> list[bytes]:
+        """The ids of each segment."""
+        if not segments:
+            return []
+        found = np.empty(len(segments), object)
+        table = np.searchsorted(WIDTHS, np.fromiter(map(len, segments), "i8", len(segments)))
+        for n, width in enumerate((*WIDTHS, 0)):
+            places = np.flatnonzero(table == n)
+            some = [segments[at] for at in places]
+            if some:
+                found[places] = self.merge_side_by_side(some, width) if width else [self.ids_of(self.merge(s)) for s in some]
+        return found.tolist()
+
+    def merge_side_by_side(self, segments: list[str], width: int) -> list[bytes]:
+        """The ids of short segments: each row of ``agenda`` has the score order of one segment's adjacent pairs, and all
+        rows merge their best pair (ties: the leftmost) at the same time until no row has one."""
+        left = np.fromiter(map(len, segments), "i8", len(segments))
+        symbols = self.character[np.array(segments, f"U{width}").view("u4").reshape(-1, width)]
+        columns = np.arange(width)
+        agenda = self.places(symbols[:, :-1], symbols[:, 1:])
+        agenda[columns[1:] >= left[:, None]] = NO_PLACE
+        # One column more, so that every symbol has a pair with what follows.
+        agenda = np.concatenate([agenda, np.full((len(agenda), 1), NO_PLACE, "i4")], axis=1)
+        final, open_ = np.empty_like(symbols), np.arange(len(segments))
+        while len(open_):
+            best = agenda.argmin(axis=1)
+            going = agenda[np.arange(len(open_)), best] != NO_PLACE
+            final[open_[~going]] = symbols[~going]
+            open_, symbols, agenda, best = open_[going], symbols[going], agenda[going], best[going]
+            rows = np.arange(len(open_))
+            at, _ = self.look_up(symbols[rows, best], symbols[rows, best + 1])
+            # What follows the pair moves one place to the left.
+            moved = np.minimum(columns + (columns > best[:, None]), width - 1)
+            symbols, agenda = np.take_along_axis(symbols, moved, axis=1), np.take_along_axis(agenda, moved, axis=1)
+            symbols[rows, best] = self.pair_pieces[at]
+            left[open_] -= 1
+            follows = best + 1 < left[open_]
+            after = self.places(symbols[rows, best], symbols[rows, np.minimum(best + 1, width - 1)])
+            agenda[rows, best] = np.where(follows, after, NO_PLACE)
+            led = np.flatnonzero(best)
+            agenda[led, best[led] - 1] = self.places(symbols[led, best[led] - 1], symbols[led, best[led]])
+        kept = columns < left[:, None]
+        ids = np.where(final >= 0, self.symbol_ids[np.maximum(final, 0)], -1)
+        flat, ends = ids[kept].astype("<u4").tobytes(), (np.cumsum(left) * 4).tolist()
+        found = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        for n in np.flatnonzero((kept & (ids < 0)).any(axis=1)).tolist():
+            found[n] = self.ids_of([self.symbols[s] if s >= 0 else chr(-1 - s) for s in final[n, :left[n]].tolist()])
+        return found
 
     def merge(self, text: str) -> list[str]:
         """The symbols of ``text`` that are left when the agenda is empty."""
-        cost = self.cost.get
-        agenda = [(c, n, n + 1, 2) for n, c in enumerate(map(cost, map(add, text, text[1:]))) if c is not None]
-        symbols, end = list(text), len(text)
-        before, after, sizes = list(range(-1, end)), list(range(1, end + 1)), [1] * end
+        place, end = self.place.get, len(text)
+        # The place in the score order of each symbol's pair with the next one; none if no piece, or if the symbol is gone.
+        pairs = [*map(place, map(add, text, text[1:])), None]
+        # Agenda entries order by the pair's place, then by position.
+        agenda = [p * end + n for n, p in enumerate(pairs) if p is not None]
+        symbols, before, after = list(text), list(range(-1, end)), list(range(1, end + 1))
         heapify(agenda)
         while agenda:
-            _, left, right, size = heappop(agenda)
-            # A pair one of whose symbols has merged since is stale; a symbol that merged into its neighbour has size 0.
-            if not sizes[left] or not sizes[right] or sizes[left] + sizes[right] != size:
+            first, left = divmod(heappop(agenda), end)
+            if pairs[left] != first:
                 continue
+            right = after[left]
             merged = symbols[left] = symbols[left] + symbols[right]
-            sizes[left], sizes[right] = size, 0
+            symbols[right] = pairs[right] = None
             right = after[left] = after[right]
             if right < end:
                 before[right] = left
-                c = cost(merged + symbols[right])
-                if c is not None:
-                    heappush(agenda, (c, left, right, size + sizes[right]))
-            right, left = left, before[left]
+                first = pairs[left] = place(merged + symbols[right])
+                if first is not None:
+                    heappush(agenda, first * end + left)
+            else:
+                pairs[left] = None
+            left = before[left]
             if left >= 0:
-                c = cost(symbols[left] + merged)
-                if c is not None:
-                    heappush(agenda, (c, left, right, sizes[left] + size))
-        return [s for s, size in zip(symbols, sizes) if size]
+                first = pairs[left] = place(symbols[left] + merged)
+                if first is not None:
+                    heappush(agenda, first * end + left)
+        return [s for s in symbols if s]
 
 
 @cache
@@ -211,29 +304,32 @@ def encode(docs: DataFrame, model: str | None = None, begin: bool = True, end: b
 
     def encode_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = agenda(model)
-        head = array("I", [own.library.bos_id()] if begin else []).tobytes()
-        tail = array("I", [own.library.eos_id()] if end else []).tobytes()
-        for batch in slices(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [head + own.encode(t) + tail for t in texts]
-            agrees = [None] * len(ids)
+        head, tail = [own.library.bos_id()] * begin, [own.library.eos_id()] * end
+        for batch in by_bytes(batches, 1, CHUNK_BYTES):
+            texts = batch.column(1).fill_null("")
+            ids, ends = with_ends(*own.encode(texts), head, tail)
+            agrees = pa.nulls(len(texts), pa.bool_())
             if check:
-                library = own.library.encode(texts, out_type=int, add_bos=begin, add_eos=end, num_threads=1)
-                agrees = [array("I", theirs).tobytes() == ours for theirs, ours in zip(library, ids)]
-            yield pa.record_batch([batch.column(0), id_lists(ids), pa.array(agrees, pa.bool_())], names=["doc_id", "ids", "agrees"])
+                library = own.library.encode(texts.to_pylist(), out_type=int, add_bos=begin, add_eos=end, num_threads=1)
+                agrees = pa.array(same_lists(ids, ends, library))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(ids))
+            yield pa.record_batch([batch.column(0), lists, agrees], names=["doc_id", "ids", "agrees"])
 
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(encode_batches, ENCODED)
 
 
-def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, ROWS):
-            yield batch.slice(start, ROWS)
+def with_ends(ids: np.ndarray, ends: np.ndarray, head: list[int], tail: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The same lists of ids with ``head`` before and ``tail`` after each."""
+    both, rows = np.array([*tail, *head], "i4"), len(ends) - 1
+    between = np.repeat(ends[1:-1], len(both))
+    middle = np.insert(ids, between, np.tile(both, max(rows - 1, 0)))
+    more = np.arange(rows + 1) * len(both)
+    return np.concatenate([head if rows else [], middle, tail if rows else []]).astype("i4"), ends + more
 
 
-def id_lists(ids: list[bytes]) -> pa.ListArray:
-    ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype("i4")
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+def same_lists(ids: np.ndarray, ends: np.ndarray, lists: list[list[int]]) -> list[bool]:
+    data = ids.tobytes()
+    return [data[4 * a:4 * b] == array("i", theirs).tobytes() for a, b, theirs in zip(ends.tolist(), ends[1:].tolist(), lists)]
 
 
 def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
@@ -246,7 +342,7 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
 
     def decode_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = agenda(model).library
-        for batch in slices(batches):
+        for batch in batches:
             texts = library.decode([ids or [] for ids in batch.column(1).to_pylist()], num_threads=1)
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "agrees", "text"])
 
