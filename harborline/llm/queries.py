@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from harborline.llm import archives, chat, html_text, mixing, near_dups, orc_ids, packing, repetition, sentence_pieces, toxicity, vantage, winnowing
+from harborline.llm import archives, chat, collocations, html_text, mixing, near_dups, orc_ids, packing, repetition, sentence_pieces, toxicity, vantage, winnowing
 from harborline.llm.common import read_table
 from harborline.llm.sql import SQL
 from harborline.session import fresh_path
@@ -61,11 +61,16 @@ def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_best_fit_packing, op3_chat_rotation, op4_source_mixing, op5_vantage_point_search, op6_warc_conversion,
         op7_probminhash_dedup, op8_page_differencing, op9_winnowing, op10_orc_token_ids, op11_word_runs, op12_sentence_pieces,
+        op13_phrase_collocations,
     )
 } | {"pipeline": corpus_pipeline.run}
 

@@ -49,4 +49,30 @@ times AS (SELECT doc_id, source, key, size, count(DISTINCT turn) AS times FROM r
 SELECT m.doc_id, CAST(m.size AS BIGINT) AS size, source_size, target, CAST(m.size * coalesce(times, 0) AS BIGINT) AS taken
 FROM measured m JOIN plan p ON m.source IS NOT DISTINCT FROM p.source
 LEFT JOIN times t ON m.source IS NOT DISTINCT FROM t.source AND m.key = t.key AND m.doc_id IS NOT DISTINCT FROM t.doc_id AND m.size = t.size""",
+    "op13_phrase_collocations": r"""
+WITH lowered AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM lowered),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+places AS (SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM words, (VALUES (1), (2), (3), (4), (5)) s(size)),
+counts AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f
+  FROM places GROUP BY ALL HAVING count(*) >= 100),
+split AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE size >= 2),
+parts AS (
+  SELECT lang, array_to_string(w[i:j], ' ') AS phrase, max(f) AS longer
+  FROM split, generate_series(1, 5) a(i), generate_series(1, 5) b(j) WHERE i < j AND j <= size AND j - i + 1 < size GROUP BY ALL),
+kept AS (SELECT s.* FROM split s LEFT JOIN parts p USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * f),
+cuts AS (SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest
+  FROM kept, generate_series(1, 4) c(k) WHERE k < size),
+scored AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, n,
+         (1000::HUGEINT * a::HUGEINT * n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+  FROM cuts c JOIN counts x ON c.lang = x.lang AND c.first = x.phrase JOIN counts y ON c.lang = y.lang AND c.rest = y.phrase
+  JOIN totals t ON c.lang = t.lang),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000""",
 }
