@@ -32,7 +32,7 @@ MEMORY = 4_000_000
 # Segments of up to so many characters merge side by side, in tables of these widths; longer ones by themselves.
 WIDTHS = (8, 12, 16, 24, 32)
 # Bytes of text that are encoded and checked together.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 NO_PLACE = np.iinfo("i4").max
 
 # Field numbers and types of the public model format.
@@ -301,21 +301,68 @@ def encode(docs: DataFrame, model: str | None = None, begin: bool = True, end: b
     """
     on_workers(docs.sparkSession)
     model = model or model_path()
+    return texts_of(docs).mapInArrow(lambda batches: encode_batches(batches, model, begin, end, check), ENCODED)
 
-    def encode_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = agenda(model)
-        head, tail = [own.library.bos_id()] * begin, [own.library.eos_id()] * end
-        for batch in by_bytes(batches, 1, CHUNK_BYTES):
-            texts = batch.column(1).fill_null("")
-            ids, ends = with_ends(*own.encode(texts), head, tail)
-            agrees = pa.nulls(len(texts), pa.bool_())
-            if check:
-                library = own.library.encode(texts.to_pylist(), out_type=int, add_bos=begin, add_eos=end, num_threads=1)
-                agrees = pa.array(same_lists(ids, ends, library))
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(ids))
-            yield pa.record_batch([batch.column(0), lists, agrees], names=["doc_id", "ids", "agrees"])
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(encode_batches, ENCODED)
+def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
+    """The texts of ``rows`` (doc_id, ids, agrees) by the library's decode: doc_id, ids, agrees, text.
+
+    Control ids vanish, bytes that are no UTF-8 become U+FFFD; null ids are no ids and give an empty text.
+    """
+    on_workers(rows.sparkSession)
+    model = model or model_path()
+    return rows.select("doc_id", "ids", "agrees").mapInArrow(lambda batches: decode_batches(batches, model), f"{ENCODED}, text string")
+
+
+def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """What encoding and decoding give for each row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, agrees.
+
+    The same as ``decode(encode(docs))`` with digests in place of ids and texts, in one pass, so that ids stay in the task.
+    """
+    on_workers(docs.sparkSession)
+    model = model or model_path()
+
+    def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return hash_batches(decode_batches(encode_batches(batches, model), model))
+
+    return texts_of(docs).mapInArrow(told, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, agrees boolean")
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
+
+
+def encode_batches(batches: Iterable[pa.RecordBatch], model: str, begin: bool = True, end: bool = True, check: bool = True) -> Iterator[pa.RecordBatch]:
+    own = agenda(model)
+    head, tail = [own.library.bos_id()] * begin, [own.library.eos_id()] * end
+    for batch in by_bytes(batches, 1, CHUNK_BYTES):
+        texts = batch.column(1).fill_null("")
+        ids, ends = with_ends(*own.encode(texts), head, tail)
+        agrees = pa.nulls(len(texts), pa.bool_())
+        if check:
+            library = own.library.encode(texts.to_pylist(), out_type=int, add_bos=begin, add_eos=end, num_threads=1)
+            agrees = pa.array(same_lists(ids, ends, library))
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(ids))
+        yield pa.record_batch([batch.column(0), lists, agrees], names=["doc_id", "ids", "agrees"])
+
+
+def decode_batches(batches: Iterable[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+    library = agenda(model).library
+    for batch in batches:
+        texts = library.decode([ids or [] for ids in batch.column(1).to_pylist()], num_threads=1)
+        yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "agrees", "text"])
+
+
+def hash_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column(1)
+        flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+        hashes = [sha256(np.ascontiguousarray(flat[a:b], "<u4")).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
+        texts = [sha256(text.encode()).hexdigest() for text in batch.column(3).to_pylist()]
+        yield pa.record_batch(
+            [batch.column(0), pa.array(np.diff(ends).astype("i8")), pa.array(hashes), pa.array(texts), batch.column(2)],
+            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"],
+        )
 
 
 def with_ends(ids: np.ndarray, ends: np.ndarray, head: list[int], tail: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -330,38 +377,3 @@ def with_ends(ids: np.ndarray, ends: np.ndarray, head: list[int], tail: list[int
 def same_lists(ids: np.ndarray, ends: np.ndarray, lists: list[list[int]]) -> list[bool]:
     data = ids.tobytes()
     return [data[4 * a:4 * b] == array("i", theirs).tobytes() for a, b, theirs in zip(ends.tolist(), ends[1:].tolist(), lists)]
-
-
-def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
-    """The texts of ``rows`` (doc_id, ids, agrees) by the library's decode: doc_id, ids, agrees, text.
-
-    Control ids vanish, bytes that are no UTF-8 become U+FFFD; null ids are no ids and give an empty text.
-    """
-    on_workers(rows.sparkSession)
-    model = model or model_path()
-
-    def decode_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = agenda(model).library
-        for batch in batches:
-            texts = library.decode([ids or [] for ids in batch.column(1).to_pylist()], num_threads=1)
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "agrees", "text"])
-
-    return rows.select("doc_id", "ids", "agrees").mapInArrow(decode_batches, f"{ENCODED}, text string")
-
-
-def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """What encoding and decoding give for each row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, agrees."""
-    decoded = decode(encode(docs, model), model)
-
-    def hash_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(1)
-            flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-            hashes = [sha256(np.ascontiguousarray(flat[a:b], "<u4")).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
-            texts = [sha256(text.encode()).hexdigest() for text in batch.column(3).to_pylist()]
-            yield pa.record_batch(
-                [batch.column(0), pa.array(np.diff(ends).astype("i8")), pa.array(hashes), pa.array(texts), batch.column(2)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"],
-            )
-
-    return decoded.mapInArrow(hash_batches, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, agrees boolean")
