@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from harborline.functions.columns import total_of
 from harborline.functions.quantiles import quantiles
-from harborline.operators.ordering import running_totals
+from harborline.operators.ordering import join_on, running_totals
 from harborline.session import durable
 
 
@@ -46,7 +46,7 @@ def box_stats(df: DataFrame, group: str, col: str, approximate: bool = False) ->
     """Five-number summary and mean of a column per group."""
     probs = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
     means = df.where(F.col(col).isNotNull()).groupBy(group).agg(F.avg(col).alias("mean"))
-    return quantiles(df, [group], col, probs, approximate).join(means, group)
+    return join_on(quantiles(df, [group], col, probs, approximate), means, [group])
 
 
 def above_quantile(df: DataFrame, col: str, q: float = 0.85) -> DataFrame:

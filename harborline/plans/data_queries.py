@@ -12,6 +12,7 @@ from harborline.plans.registry import add
 from harborline.plans.tables import Tables
 from harborline.session import fresh_path
 from harborline.sources import files, schemas
+from harborline.sources.versions import VersionedTable
 
 # Sources and sinks: a table is written to the shared folder and read back.
 
@@ -32,6 +33,29 @@ def _plain_times(df: DataFrame, cols: list[str]) -> DataFrame:
 
 SALES = "SELECT product_id, date, daily_sales, region FROM {v_sales}"
 add("scan_csv", lambda t: files.scan_csv(t.spark, _written(t, t.sales, "sales", files.sink_csv), schemas.TABLES["sales"]), SALES)
+
+
+def _torn_sales(df: DataFrame, path: str) -> None:
+    """The sales, and behind each sale of more than 40 units a line without its last two fields and one whose units are a word."""
+    line = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("product_id", "date", "daily_sales", "region")]
+    whole, torn, word = F.concat_ws(",", *line), F.concat_ws(",", *line[:2]), F.concat_ws(",", *line[:2], F.lit("many"), line[3])
+    more = F.when(F.col("daily_sales") > 40, F.array(whole, torn, word)).otherwise(F.array(whole))
+    df.select(F.explode(more).alias("product_id,date,daily_sales,region")).write.option("header", True).option("sep", "\u0001").csv(path)
+
+
+def _sales_and_quarantine(t: Tables) -> DataFrame:
+    good, bad = files.scan_csv_checked(t.spark, _written(t, t.sales, "sales", _torn_sales), schemas.TABLES["sales"])
+    day = F.split("text", ",")
+    torn = bad.select(day[0].alias("product_id"), day[1].cast("date").alias("date"), "reason")
+    return good.select("product_id", "date", F.lit(None).cast("string").alias("reason")).unionByName(torn)
+
+
+add(
+    "scan_csv_quarantine",
+    _sales_and_quarantine,
+    """SELECT product_id, date, NULL AS reason FROM {v_sales}
+UNION ALL SELECT product_id, date, unnest(['not 4 fields', 'daily_sales is no double']) FROM {v_sales} WHERE daily_sales > 40""",
+)
 add(
     "sink_csv",
     lambda t: files.scan_csv(
@@ -218,7 +242,13 @@ def _three_uploads(t: Tables) -> DataFrame:
     files.sink_csv(t.suppliers.withColumn("lead_time_days", F.lit(0.0)), f"{root}/first")
     files.sink_csv(t.suppliers.select(*t.suppliers.columns[::-1]), f"{root}/second")
     files.sink_csv(t["v_warehouses"], f"{root}/third")
-    return files.sync_latest(t.spark, root, schemas.TABLES["suppliers"], "suppliers").select(*t.suppliers.columns)
+    # The canonical table holds the first upload until the second one takes its place; a third look changes nothing.
+    table, schema = VersionedTable(t.spark, fresh_path(t.spark, "suppliers")), schemas.TABLES["suppliers"]
+    table.replace(files.scan_csv(t.spark, f"{root}/first", schema))
+    taken = table.sync_latest(root, schema, "suppliers")
+    if table.sync_latest(root, schema, "suppliers") != taken:
+        raise ValueError("the same upload was taken twice")
+    return table.read().select(*t.suppliers.columns)
 
 
 add("sync_latest", _three_uploads, "SELECT * FROM {v_suppliers}")
@@ -237,9 +267,17 @@ def _updates(t: Tables) -> DataFrame:
     return newest.unionByName(stale.withColumn("updated", F.lit("2024-01-02"))).unionByName(stale.withColumn("updated", F.lit(None).cast("string")))
 
 
+def _upserted(t: Tables) -> DataFrame:
+    """A table that is read and replaced by its own upsert."""
+    table = VersionedTable(t.spark, fresh_path(t.spark, "suppliers"))
+    table.replace(t.suppliers)
+    table.upsert(_updates(t), "supplier_id", {"lead_time_days": 7.0, "reliability_score": 90.0}, "updated")
+    return table.read()
+
+
 add(
     "upsert_by_key",
-    lambda t: files.upsert_by_key(t.suppliers, _updates(t), "supplier_id", {"lead_time_days": 7.0, "reliability_score": 90.0}, "updated"),
+    _upserted,
     """SELECT coalesce(n.id, s.supplier_id) AS supplier_id, coalesce(n.name, s.supplier_name) AS supplier_name, CASE WHEN n.id IS NULL THEN s.lead_time_days ELSE n.lead END AS lead_time_days,
   coalesce(s.reliability_score, 90) AS reliability_score FROM {v_suppliers} s FULL JOIN (SELECT CASE WHEN status = 'AT_RISK' THEN supplier_id ELSE 'N' || supplier_id END AS id,
     'New ' || supplier_name AS name, CASE WHEN delay_rate < 2e-1 THEN 7 ELSE lead_time_days END AS lead FROM {v_orm_suppliers} WHERE status <> 'ACTIVE') n ON s.supplier_id = n.id""",
@@ -247,10 +285,10 @@ add(
 
 
 def _replaced(t: Tables) -> DataFrame:
-    path = fresh_path(t.spark, "forecasts")
-    files.replace_all(t["v_orm_forecasts"].select("product_id", "predicted_demand"), path)
-    files.replace_all(t.forecast.select("product_id", "predicted_demand"), path)
-    return files.scan_parquet(t.spark, path)
+    table = VersionedTable(t.spark, fresh_path(t.spark, "forecasts"))
+    table.replace(t["v_orm_forecasts"].select("product_id", "predicted_demand"))
+    table.replace(t.forecast.select("product_id", "predicted_demand"))
+    return table.read()
 
 
 add("replace_all", _replaced, "SELECT product_id, predicted_demand FROM {d_forecast}", "predicted_demand")

@@ -12,6 +12,7 @@ from harborline.plans import jobs
 from harborline.plans.registry import add
 from harborline.plans.tables import SELLER_KEYS, Tables
 from harborline.session import fresh_path, stored
+from harborline.sources.versions import VersionedTable
 from harborline.streaming import stock
 
 TEST_FROM = date(1999, 1, 1)
@@ -19,10 +20,37 @@ TEST_FROM = date(1999, 1, 1)
 # Streams: the events are laid out as a folder of files, a stream runs over it to its end, its table is read.
 
 
-def _event_stream(t: Tables) -> DataFrame:
+def _event_records(t: Tables) -> str:
+    """The events as lines of JSON, and behind each event of quantity 0 or less a line that is torn in the middle."""
     folder = fresh_path(t.spark, "events")
-    t["v_live"].withColumn("timestamp", F.col("timestamp").cast("timestamp")).write.parquet(folder)
-    return stock.stream_source(t.spark, "parquet", path=folder)
+    line = F.to_json(F.struct("*"), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    torn = F.when(F.col("quantity") <= 0, line.substr(F.lit(1), F.length(line) - 12))
+    t["v_live"].select(F.explode(F.array_compact(F.array(line, torn))).alias("value")).write.text(folder)
+    return folder
+
+
+def _event_stream(t: Tables) -> DataFrame:
+    return stock.stream_source(t.spark, "text", path=_event_records(t))
+
+
+def _split_events(t: Tables) -> DataFrame:
+    """How many records of each change type are events, and how many are quarantined."""
+    spark, events, bad = t.spark, fresh_path(t.spark, "live"), fresh_path(t.spark, "quarantine")
+    records = spark.readStream.format("text").load(_event_records(t))
+    stock.events_and_quarantine(records, events, bad, fresh_path(spark, "progress")).awaitTermination()
+    good = spark.read.parquet(events).groupBy("change_type").agg(F.count("*").alias("records")).withColumn("reason", F.lit(None).cast("string"))
+    # A torn record still names its change type.
+    kind = F.regexp_extract("text", '"change_type":"([^"]*)"', 1)
+    torn = spark.read.parquet(bad).groupBy(kind.alias("change_type"), "reason").agg(F.count("*").alias("records"))
+    return good.unionByName(torn.select("change_type", "records", "reason"))
+
+
+def _window_table(t: Tables) -> DataFrame:
+    """All windows of the events, open ones too, from a table that every batch merged into."""
+    table = VersionedTable(t.spark, fresh_path(t.spark, "windows"))
+    stream = stock.stream_metrics(_event_stream(t), t.inventory)
+    stock.keep_windows(stream, table, stock.WINDOW_KEY, fresh_path(t.spark, "progress"), "stock").awaitTermination()
+    return table.read().withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
 def _finished(stream: DataFrame, *times: str) -> DataFrame:
@@ -45,22 +73,27 @@ FROM {v_live} l JOIN {v_inventory} i ON l.product_id = i.product_id WHERE i.curr
 add("stream_source", lambda t: _finished(_event_stream(t), "timestamp"), "SELECT * FROM {v_live}")
 add(
     "stream_metrics",
-    lambda t: _finished(stock.stream_metrics(_event_stream(t), t.inventory), "window_start", "window_end"),
+    _window_table,
     """SELECT w.*, i.current_stock / nullif(w.moving_avg_demand, 0) AS days_until_stockout, CASE WHEN i.current_stock / nullif(w.moving_avg_demand, 0) < 3 THEN 'CRITICAL'
     WHEN i.current_stock / nullif(w.moving_avg_demand, 0) <= 7 THEN 'WARNING' ELSE 'GOOD' END AS health_status FROM (
   SELECT date_trunc('day', l.timestamp) - k * INTERVAL 1 DAY AS window_start, date_trunc('day', l.timestamp) - k * INTERVAL 1 DAY + INTERVAL 7 DAY AS window_end, product_id, warehouse_id,
     avg(quantity) AS moving_avg_demand, stddev_samp(quantity) / nullif(avg(quantity), 0) AS demand_volatility FROM {v_live} l, (SELECT unnest(range(7)) AS k) GROUP BY 1, 2, 3, 4) w
-JOIN {v_inventory} i ON w.product_id = i.product_id WHERE w.window_end <= (SELECT max(timestamp) FROM {v_live}) - INTERVAL 1 DAY""",
+JOIN {v_inventory} i ON w.product_id = i.product_id""",
     "moving_avg_demand demand_volatility days_until_stockout",
 )
 add("stream_alerts", lambda t: _finished(stock.stream_alerts(_stock_stream(t), F.col("timestamp")), "timestamp"), LIVE_ALERTS, "inventory_days")
 add(
     "stream_dedup",
-    lambda t: _finished(stock.stream_dedup(stock.stream_alerts(_stock_stream(t), F.col("timestamp"))), "window_start", "window_end", "timestamp"),
-    f"""SELECT * FROM (SELECT date_trunc('day', timestamp) AS window_start, date_trunc('day', timestamp) + INTERVAL 1 DAY AS window_end, product_id, warehouse_id, alert_level, min(timestamp) AS timestamp,
-  arg_min(inventory_days, timestamp) AS inventory_days, arg_min(current_stock, timestamp) AS current_stock, count(*) AS repeats FROM ({LIVE_ALERTS}) GROUP BY 1, 2, 3, 4, 5)
-WHERE window_end <= (SELECT max(timestamp) FROM ({LIVE_ALERTS})) - INTERVAL 1 DAY""",
-    "inventory_days",
+    lambda t: _finished(stock.stream_dedup(stock.stream_alerts(_stock_stream(t), F.col("timestamp"))), "window_start", "window_end")
+    .select("window_start", "window_end", "product_id", "warehouse_id", "alert_level"),
+    f"""SELECT DISTINCT date_trunc('day', timestamp) AS window_start, date_trunc('day', timestamp) + INTERVAL 1 DAY AS window_end, product_id, warehouse_id, alert_level
+FROM ({LIVE_ALERTS})""",
+)
+add(
+    "stream_quarantine",
+    _split_events,
+    """SELECT change_type, count(*) AS records, NULL AS reason FROM {v_live} GROUP BY 1
+UNION ALL SELECT change_type, count(*), 'no event' FROM {v_live} WHERE quantity <= 0 GROUP BY 1""",
 )
 
 # Fits. Their results depend on Spark's ML library, so there is no SQL for them.

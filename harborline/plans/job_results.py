@@ -17,9 +17,14 @@ for _result, _operator in OVERVIEW.items():
         _query.sql, " ".join(_query.doubles), _query.digits,
     )
 
-_query = QUERIES["supplier_features"]
 add(
     "job_feature_tables_suppliers", lambda t: jobs.job_feature_tables(t.stored_sales, t.inventory, t.deliveries)["suppliers"],
+    """SELECT s.*, r.recent_90d_on_time_rate FROM {d_supplier_score} s LEFT JOIN {d_recent} r ON s.supplier_id = r.supplier_id""",
+    "avg_delay_days on_time_rate avg_defect_units total_spend avg_order_value recent_90d_on_time_rate supplier_risk_score", 4,
+)
+_query = QUERIES["demand_features"]
+add(
+    "job_feature_tables_demand", lambda t: jobs.job_feature_tables(t.brand_sales, t.inventory, t.deliveries)["demand"],
     _query.sql, " ".join(_query.doubles), _query.digits,
 )
 for _result in ("metrics", "importance"):

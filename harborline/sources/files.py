@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import re
+from datetime import datetime
 from functools import reduce
 from itertools import groupby
 
@@ -11,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from harborline.functions.columns import lenient_timestamp
-from harborline.operators.ordering import first_per_key
+from harborline.operators.ordering import first_per_key, join_on
 from harborline.sources.schemas import TableSpec, detect_dataset_type
 
+# Holds the text of a line or record that does not fit its schema.
+CORRUPT = "_corrupt_record"
 UPLOAD = r"^(.*)/[^/]*$"
 
 
@@ -53,6 +56,40 @@ def _typed(header: tuple[str, ...], known: dict[str, StructField]) -> StructType
     return StructType([known.get(c, StructField(c, StringType())) for c in header])
 
 
+def scan_csv_checked(spark: SparkSession, path: str, schema: StructType, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``scan_csv`` that fit, and a quarantine of those that do not: text, file, reason.
+
+    A line is quarantined if it has more or fewer fields than its header, or a value that does not fit its type, so every
+    line (blank ones and headers aside) is in exactly one of the two. Lines are parsed as text and in full, whatever columns
+    are asked for later.
+    """
+    known = {f.name: f for f in schema.fields}
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    good, bad = None, None
+    for header, paths in headers(spark, path, pattern).items():
+        typed = _typed(header, known)
+        lines = spark.read.text(paths).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"))
+        titles = F.from_csv("text", ", ".join(f"_{n} STRING" for n in range(len(header))))
+        is_header = F.array(*[titles[f"_{n}"] for n in range(len(header))]) == F.array(*[F.lit(c) for c in header])
+        lines = lines.where((F.trim("text") != "") & ~F.coalesce(is_header, F.lit(False)))
+        rows = lines.withColumn("row", F.from_csv("text", typed.add(CORRUPT, "string").toDDL(), options))
+        fits = rows.where(F.col(f"row.{CORRUPT}").isNull()).select(*[F.col(f"row.`{c}`").alias(c) for c in header])
+        torn = rows.where(F.col(f"row.{CORRUPT}").isNotNull()).select("text", "file", misfit(_typed(header, known)).alias("reason"))
+        good = fits if good is None else good.unionByName(fits, allowMissingColumns=True)
+        bad = torn if bad is None else bad.unionByName(torn)
+    if good is None:
+        return spark.createDataFrame([], schema), spark.createDataFrame([], "text string, file string, reason string")
+    return good, bad
+
+
+def misfit(schema: StructType) -> Column:
+    """Why the line ``text``, read as ``row``, is none of ``schema``: the count of its fields, or the fields that became NULL."""
+    plain = StructType([*(StructField(f.name, StringType()) for f in schema.fields), StructField(CORRUPT, StringType())])
+    fields = F.from_csv("text", plain.toDDL(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    wrong = [F.when(fields[f.name].isNotNull() & F.col("row")[f.name].isNull(), F.lit(f"{f.name} is no {f.dataType.simpleString()}")) for f in schema.fields]
+    return F.when(fields[CORRUPT].isNotNull(), F.lit(f"not {len(schema)} fields")).otherwise(F.concat_ws(", ", *wrong))
+
+
 def scan_csv_dates(spark: SparkSession, path: str, schema: StructType, date_cols: list[str]) -> DataFrame:
     """CSV whose date columns may hold anything: they are read as text and what is no date is NULL."""
     raw = StructType([StructField(f.name, StringType()) if f.name in date_cols else f for f in schema.fields])
@@ -118,6 +155,7 @@ def upsert_by_key(
 ) -> DataFrame:
     """Rows of ``target`` updated by key and rows with a new key added.
 
+    A NULL key is a key like any other: an update without a key goes to the rows without a key, or is added.
     If updates may repeat a key, ``newest`` names the column by which the last of them counts; an update without that date is the oldest, and updates
     of the same date go by their other columns. Without ``newest`` a repeated key is an error.
 
@@ -130,7 +168,7 @@ def upsert_by_key(
     else:
         many = updates.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
         alone = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("repeated key "), F.col(key).cast("string"), F.lit("; name the newest")))).otherwise(True)
-        updates = updates.join(many.where(alone.cast("boolean")).drop("_n"), key)
+        updates = join_on(updates, many.where(alone.cast("boolean")).drop("_n"), [key])
 
     def filled(name: str) -> Column:
         value = F.col(f"n.{name}")
@@ -140,8 +178,9 @@ def upsert_by_key(
         value = value.try_cast(wanted)
         return F.coalesce(value, F.lit(defaults[name]).cast(wanted)) if name in defaults else value
 
-    joined = target.alias("o").join(updates.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
-    is_new = F.col(f"n.{key}").isNotNull()
+    flagged = updates.withColumn("_update", F.lit(True))
+    joined = target.alias("o").join(flagged.alias("n"), F.col(f"o.{key}").eqNullSafe(F.col(f"n.{key}")), "full_outer")
+    is_new = F.col("n._update").isNotNull()
     out = []
     for name in target.columns:
         if name == key:
@@ -207,11 +246,10 @@ def workspace_catalog(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def sync_latest(spark: SparkSession, folder: str, schema: StructType, kind: str | None = None) -> DataFrame:
-    """The rows of the newest upload below ``folder``, of those whose header is of ``kind`` if given.
+def newest_upload(spark: SparkSession, folder: str, kind: str | None = None) -> tuple[str, datetime] | None:
+    """Path and time of the newest upload below ``folder``, of those whose header is of ``kind`` if given.
 
-    Each upload is a folder of part files. Only paths and times are listed to choose (the later path of equal times), and only the chosen
-    upload is read; an upload without rows can be the newest.
+    Each upload is a folder of part files. Only paths and times are listed to choose (the later path of equal times).
     """
     of_kind = None
     if kind:
@@ -222,7 +260,14 @@ def sync_latest(spark: SparkSession, folder: str, schema: StructType, kind: str
     if of_kind is not None:
         names = spark.createDataFrame([(n,) for n in sorted({n.removeprefix("file:").lstrip("/") for n in of_kind})], "name string")
         uploads = uploads.join(names, F.ltrim(F.regexp_replace("upload", "^file:", ""), F.lit("/")) == F.col("name"), "left_semi")
-    newest = uploads.agg(F.max(F.struct("modificationTime", "upload"))["upload"]).first()[0]
-    if newest is None:
-        return spark.createDataFrame([], schema)
-    return scan_csv(spark, newest, schema)
+    newest = uploads.agg(F.max(F.struct("modificationTime", "upload")).alias("newest")).first()["newest"]
+    return (newest["upload"], newest["modificationTime"]) if newest else None
+
+
+def sync_latest(spark: SparkSession, folder: str, schema: StructType, kind: str | None = None) -> DataFrame:
+    """The rows of the newest upload below ``folder`` (see ``newest_upload``); only that one is read, and it may have no rows.
+
+    ``versions.VersionedTable.sync_latest`` puts them in a table's place.
+    """
+    found = newest_upload(spark, folder, kind)
+    return scan_csv(spark, found[0], schema) if found else spark.createDataFrame([], schema)
