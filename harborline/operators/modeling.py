@@ -6,7 +6,7 @@ import math
 from random import Random
 
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,6 +20,8 @@ from harborline.operators.reports import churn_risk_tier
 from harborline.session import stored
 
 FOLD_ORDER = ["observation_date", "seller_id"]
+# Rows of one partition of the table that the trials of a search go over.
+TRIAL_ROWS = 250_000
 
 
 # Folds.
@@ -98,19 +100,25 @@ def drawn_trials(
 
 def search_regression(
     train: DataFrame, features: list[str], target: str, trials: int = 20, trees: tuple[int, int] = (50, 300), depths: tuple[int, int] = (3, 9),
-    rates: tuple[float, float] = (0.001, 0.1), shares: tuple[float, float] = (0.6, 1.0), parallelism: int = 4, seed: int = 42,
-) -> Model:
+    rates: tuple[float, float] = (0.001, 0.1), shares: tuple[float, float] = (0.6, 1.0), parallelism: int | None = None, seed: int = 42,
+) -> PipelineModel:
     """Of ``trials`` drawn from the ranges, the regression with the smallest RMSE on a fifth of the training rows.
 
-    ``shares``: of the rows for each tree and of the features for each split.
+    ``shares``: of the rows for each tree and of the features for each split. The features are assembled once, into a table
+    of few large partitions, as every level of every tree is a job over it; ``parallelism`` trials (default: one for each
+    core) go over it at the same time.
     """
-    pipeline = regression_pipeline(features, target, seed=seed)
-    grid = drawn_trials(pipeline.getStages()[-1], trials, trees, depths, rates, shares, seed)
+    vectors = Pipeline(stages=[filled(features), assembled(features, "features")]).fit(train)
+    table = stored(vectors.transform(train).select("features", F.col(target).cast("double").alias(target)), "search")
+    table = table.coalesce(-(-table.count() // TRIAL_ROWS) or 1)
+    # Trees are kept whole in memory; without checkpoints the trials write nothing between two of them.
+    booster = GBTRegressor(featuresCol="features", labelCol=target, seed=seed, checkpointInterval=-1)
     search = TrainValidationSplit(
-        estimator=pipeline, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=target, metricName="rmse"),
-        trainRatio=0.8, parallelism=parallelism, seed=seed,
+        estimator=booster, estimatorParamMaps=drawn_trials(booster, trials, trees, depths, rates, shares, seed),
+        evaluator=RegressionEvaluator(labelCol=target, metricName="rmse"), trainRatio=0.8, seed=seed,
+        parallelism=parallelism or min(trials, train.sparkSession.sparkContext.defaultParallelism),
     )
-    return search.fit(train)
+    return PipelineModel(stages=[*vectors.stages, search.fit(table).bestModel])
 
 
 def class_weight(df: DataFrame, label: str) -> DataFrame:
@@ -131,12 +139,38 @@ def fit_churn(train: DataFrame, features: list[str], label: str = "churned", ite
     return Pipeline(stages=stages).fit(weighted)
 
 
+def fit_boosted_churn(
+    train: DataFrame, features: list[str], label: str = "churned", order: list[str] | None = None, trees: int = 300, depth: int = 4, rate: float = 0.1,
+    blocks: int = 5, least_gain: float = 0.001, seed: int = 42,
+) -> PipelineModel:
+    """Boosted trees for churn that stop early; positives weigh as much as all negatives together.
+
+    The newest of ``blocks`` + 1 blocks of rows (by ``order``, as in ``fold_blocks``) is not fitted on: no tree is added any
+    more once the loss on it has not become smaller by ``least_gain`` of itself.
+    """
+    weighted = train.withColumn("_weight", F.when(F.col(label) == 1, class_weight(train, label).scalar()).otherwise(1.0))
+    judged = fold_blocks(weighted, order, blocks).withColumn("_judges", F.col("fold_block") == blocks).withColumn(label, F.col(label).cast("double"))
+    rows = stored(judged.drop("fold_block"), "boosting")
+    booster = GBTClassifier(
+        featuresCol="features", labelCol=label, weightCol="_weight", validationIndicatorCol="_judges", validationTol=least_gain,
+        maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, seed=seed, checkpointInterval=-1,
+    )
+    return Pipeline(stages=[filled(features), assembled(features, "features"), booster]).fit(rows.coalesce(-(-rows.count() // TRIAL_ROWS) or 1))
+
+
 def score_sellers(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Rows with churn probability and risk tier."""
     scored = without_filled(model.transform(df)).withColumn("churn_probability", vector_to_array("probability")[1])
     return churn_risk_tier(scored.drop("raw", "features", "rawPrediction", "probability", "prediction"))
 
 
+def churn_judgement(scored: DataFrame, label: str = "churned") -> DataFrame:
+    """One row of classification metrics and average precision of scored rows."""
+    kept = stored(scored, "scored")
+    precision = average_precision(kept, label, "churn_probability").scalar()
+    return classification_metrics(kept, label, "churn_probability").withColumn("ap", precision)
+
+
 def churn_weights(model: PipelineModel, features: list[str]) -> dict[str, float]:
     """Weight of one unit of each feature in the log-odds."""
     scaler, regression = model.stages[2], model.stages[3]

@@ -33,6 +33,30 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str | Column], to
     )
 
 
+def as_of(rows: DataFrame, steps: DataFrame, keys: list[str], on: str, found: str) -> DataFrame:
+    """Add ``found``: the row of ``steps`` (as a struct) with the same ``keys`` and the greatest ``on`` not above the row's own.
+
+    NULL if there is none. ``steps`` has each (keys, on) once and no NULL in ``on``; a row with a NULL in ``on`` finds nothing.
+    Both tables are range-partitioned together by key and place, so one key may hold any share of the rows; every partition
+    starts from the last step of the partitions before it.
+    """
+    step = F.struct(*[F.col(c) for c in steps.columns if c not in keys])
+    own = F.struct(*[F.col(c) for c in rows.columns if c not in keys])
+    both = rows.select(*keys, F.col(on).alias("_on"), F.lit(1).alias("_side"), own.alias("_row"), F.lit(None).cast(steps.select(step.alias("s")).schema["s"].dataType).alias("_step"))
+    both = both.unionByName(
+        steps.select(*keys, F.col(on).cast(rows.schema[on].dataType).alias("_on"), F.lit(0).alias("_side"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), step.alias("_step"))
+    )
+    placed = durable(both.repartitionByRange(*[F.col(k) for k in keys], F.col("_on")).withColumn("_part", F.spark_partition_id()))
+    # At most one row for each partition, and one more for each key.
+    last = placed.groupBy(*keys, "_part").agg(F.max_by("_step", F.when(F.col("_side") == 0, F.col("_on"))).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = last.select(*keys, "_part", F.last("_last", ignorenulls=True).over(before).alias("_start"))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_on", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    met = placed.withColumn("_met", F.last("_step", ignorenulls=True).over(inside)).where("_side = 1")
+    out = join_on(met, starts, [*keys, "_part"]).withColumn(found, F.when(F.col("_on").isNotNull(), F.coalesce("_met", "_start")))
+    return out.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns], found)
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on ``keys`` in which NULL equals NULL; the right side's keys are dropped."""
     if not keys:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from harborline.functions.columns import total_of
 from harborline.functions.quantiles import quantiles
-from harborline.operators.ordering import join_on, running_totals
+from harborline.operators.ordering import as_of, join_on, running_totals
 from harborline.session import durable
 
 
@@ -54,6 +54,42 @@ def above_quantile(df: DataFrame, col: str, q: float = 0.85) -> DataFrame:
     return df.where(F.col(col) > quantiles(df, [], col, {"cut": q}).scalar())
 
 
+def anomaly_tails(df: DataFrame, key: str, features: list[str]) -> DataFrame:
+    """The empirical distribution of each feature as steps: feature, value, below, upto, rows, skew.
+
+    ``below`` and ``upto`` count the rows with a smaller value and with one not greater. Written down, this is all that
+    later rows need to be scored (``tail_scores``).
+    """
+    table = durable(df.select(key, *[F.col(f).cast("double").alias(f) for f in features]))
+    counts = table.unpivot([key], features, "feature", "value").where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_totals(counts, ["feature"], ["value"], {"upto": F.col("_n")})
+    shape = table.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.skewness(f), F.lit(0.0)).alias(f"{f}_skew") for f in features])
+    skews = shape.select(F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.signum(F.col(f"{f}_skew")).alias("skew"), F.col("n").alias("rows")) for f in features
+    ])))
+    return ranked.join(skews, "feature").select("feature", "value", (F.col("upto") - F.col("_n")).alias("below"), "upto", "rows", "skew")
+
+
+def tail_scores(df: DataFrame, tails: DataFrame, key: str, features: list[str]) -> DataFrame:
+    """The outlier score of each row of ``df`` against fitted ``tails``: key, anomaly_score.
+
+    A value that the fit has seen has the probabilities of the fit. Any other one counts as one more row beside the fitted
+    ones, at its place between two steps, so that no probability is 0. A missing value adds nothing.
+    """
+    cells = df.select(key, *[F.col(f).cast("double").alias(f) for f in features]).unpivot([key], features, "feature", "value")
+    about = tails.groupBy("feature").agg(F.max("rows").alias("_rows"), F.max("skew").alias("_skew"))
+    met = as_of(cells, tails.select("feature", "value", "below", "upto"), ["feature"], "value", "step").join(about, "feature")
+    seen = F.col("step.value") == F.col("value")
+    upto = F.coalesce(F.col("step.upto"), F.lit(0))
+    left = F.when(seen, upto / F.col("_rows")).otherwise((upto + 1) / (F.col("_rows") + 1))
+    right = F.when(seen, (F.col("_rows") - F.col("step.below")) / F.col("_rows")).otherwise((F.col("_rows") - upto + 1) / (F.col("_rows") + 1))
+    present = F.col("value").isNotNull()
+    met = met.withColumns({"_left": F.when(present, -F.log(left)), "_right": F.when(present, -F.log(right))})
+    chosen = F.when(F.col("_skew") < 0, F.col("_left")).when(F.col("_skew") > 0, F.col("_right")).otherwise(F.col("_left") + F.col("_right"))
+    sums = [F.coalesce(F.sum(c), F.lit(0.0)) for c in (F.col("_left"), F.col("_right"), chosen)]
+    return met.groupBy(key).agg(F.greatest(*sums).alias("anomaly_score"))
+
+
 def anomaly_scores(
     df: DataFrame, key: str, features: list[str], contamination: float = 0.1, min_rows: int = 10
 ) -> DataFrame:

@@ -418,6 +418,30 @@ add(
     "anomaly_ratio",
 )
 
+SEEN_UNTIL = "1997-01-01"
+
+
+def _unseen_anomalies(t: Tables) -> DataFrame:
+    """The days from a date on, scored by the distribution of the days before it, which is kept as a table."""
+    daily = demand.daily_sales_stats(t.sales).withColumns({f: F.round(f, 6) for f in STATS})
+    kept = _written(t, stats.anomaly_tails(daily.where(F.col("date") < SEEN_UNTIL), "date", STATS), "tails", files.sink_parquet)
+    return stats.tail_scores(daily.where(F.col("date") >= SEEN_UNTIL), files.scan_parquet(t.spark, kept), "date", STATS)
+
+
+def _unseen_sql() -> str:
+    cells = " UNION ALL ".join(f"SELECT date, '{f}' AS feature, round(CAST({f} AS DOUBLE), 6) AS value FROM {{d_daily_stats}}" for f in STATS)
+    shape = " UNION ALL ".join(f"SELECT '{f}' AS feature, sign(coalesce(skewness({f}), 0)) AS skew FROM {{d_daily_stats}} WHERE date < DATE '{SEEN_UNTIL}'" for f in STATS)
+    return f"""WITH cells AS ({cells}), shape AS ({shape}),
+fitted AS (SELECT * FROM cells WHERE date < DATE '{SEEN_UNTIL}'), days AS (SELECT count(DISTINCT date) AS n FROM fitted),
+met AS (SELECT c.date, c.feature, c.value, count(*) FILTER (WHERE f.value < c.value) AS below, count(*) FILTER (WHERE f.value <= c.value) AS upto
+  FROM cells c JOIN fitted f ON c.feature = f.feature WHERE c.date >= DATE '{SEEN_UNTIL}' AND c.value IS NOT NULL GROUP BY ALL),
+tails AS (SELECT m.date, s.skew, -ln(CASE WHEN upto > below THEN upto / n ELSE (upto + 1) / (n + 1) END) AS l,
+  -ln(CASE WHEN upto > below THEN (n - below) / n ELSE (n - upto + 1) / (n + 1) END) AS r FROM met m JOIN shape s ON m.feature = s.feature, days)
+SELECT date, greatest(sum(l), sum(r), sum(CASE WHEN skew < 0 THEN l WHEN skew > 0 THEN r ELSE l + r END)) AS anomaly_score FROM tails GROUP BY 1"""
+
+
+add("anomaly_unseen", _unseen_anomalies, f"SELECT * FROM ({_unseen_sql()})", "anomaly_score")
+
 # Splits and samples: all choices follow from the seed and the row.
 
 UNIFORM = "(CAST('0x' || substr(md5('42:' || product_id || ':' || CAST(date AS VARCHAR) || ':' || region), 1, 8) AS BIGINT) + 5e-1) / 4294967296e0"

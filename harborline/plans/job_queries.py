@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from harborline import fixed_values as fixed
-from harborline.operators import demand, modeling, ordering, quality, sampling, sellers, supplier
+from harborline.operators import demand, modeling, ordering, quality, sampling, saved_models, sellers, supplier
 from harborline.plans import jobs
 from harborline.plans.registry import add
 from harborline.plans.tables import SELLER_KEYS, Tables
@@ -132,16 +132,25 @@ def _train_test(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def _churn_fit(t: Tables) -> DataFrame:
+    """The linear model and the boosted trees side by side on the test rows."""
     train, test = _train_test(t)
-    scored = stored(modeling.score_sellers(modeling.fit_churn(train, fixed.SELLER_FEATURES), test), "scored")
-    metrics = modeling.classification_metrics(scored, "churned", "churn_probability")
-    return metrics.withColumn("ap", modeling.average_precision(scored, "churned", "churn_probability").scalar())
+    fits = {"linear": modeling.fit_churn(train, fixed.SELLER_FEATURES), "boosted": modeling.fit_boosted_churn(train, fixed.SELLER_FEATURES)}
+    out = None
+    for name, model in fits.items():
+        trees = model.stages[-1].getNumTrees if name == "boosted" else None
+        row = modeling.churn_judgement(modeling.score_sellers(model, test)).select(F.lit(name).alias("model"), F.lit(trees).cast("int").alias("trees"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def _scored(t: Tables) -> DataFrame:
+    """The test rows, scored by a model that was saved and loaded again."""
     train, test = _train_test(t)
-    model = modeling.fit_churn(train, fixed.SELLER_FEATURES)
-    return modeling.score_sellers(model, test).select(*SELLER_KEYS, "churned", "revenue_at_risk_30d", "churn_probability", "risk_tier")
+    path, model = fresh_path(t.spark, "churn"), modeling.fit_churn(train, fixed.SELLER_FEATURES)
+    judged = modeling.churn_judgement(modeling.score_sellers(model, test))
+    saved_models.save_model(path, model, "churn, linear", train, fixed.SELLER_FEATURES, "churned", judged)
+    scored = modeling.score_sellers(saved_models.load_model(t.spark, path), test)
+    return scored.select(*SELLER_KEYS, "churned", "revenue_at_risk_30d", "churn_probability", "risk_tier")
 
 
 add("churn_model", _churn_fit)

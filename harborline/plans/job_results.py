@@ -27,5 +27,5 @@ add(
     "job_feature_tables_demand", lambda t: jobs.job_feature_tables(t.brand_sales, t.inventory, t.deliveries)["demand"],
     _query.sql, " ".join(_query.doubles), _query.digits,
 )
-for _result in ("metrics", "importance"):
+for _result in ("metrics", "importance", "scored", "average_precision"):
     add(f"job_seller_scoring_{_result}", lambda t, name=_result: jobs.job_seller_scoring(*_train_test(t))[name])

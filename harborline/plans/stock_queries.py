@@ -187,17 +187,17 @@ add(
 add(
     "join_reorder",
     lambda t: inventory.join_reorder(
-        t["v_orm_forecasts"], inventory.join_lead_time(t.deliveries.where(F.col("delay_days") > 5), t.suppliers)
+        t["v_orm_forecasts"], inventory.join_lead_time(t.deliveries, t.suppliers)
     ),
     """SELECT f.*, coalesce(l.lead, 7) AS supplier_lead_time FROM {v_orm_forecasts} f LEFT JOIN (SELECT d.product_id, avg(s.lead_time_days) AS lead
-  FROM {d_deliveries} d LEFT JOIN {v_suppliers} s ON d.supplier_id = s.supplier_id WHERE d.delay_days > 5 GROUP BY 1) l ON f.product_id = l.product_id""",
+  FROM {d_deliveries} d LEFT JOIN {v_suppliers} s ON d.supplier_id = s.supplier_id GROUP BY 1) l ON f.product_id = l.product_id""",
     "supplier_lead_time days_until_stockout",
 )
 add(
     "join_warehouse",
-    lambda t: warehouse.join_warehouse(t["v_warehouses"], t.inventory.where(F.col("current_stock") > 400)),
+    lambda t: warehouse.join_warehouse(t["v_warehouses"], t.inventory),
     """SELECT w.*, coalesce(s.n, 0) AS total_stock FROM {v_warehouses} w LEFT JOIN (SELECT warehouse_id, sum(current_stock) AS n FROM {v_inventory}
-  WHERE current_stock > 400 GROUP BY 1) s ON w.warehouse_id = s.warehouse_id""",
+  GROUP BY 1) s ON w.warehouse_id = s.warehouse_id""",
     "total_stock",
 )
 add(

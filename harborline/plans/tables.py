@@ -18,7 +18,9 @@ CHURN_WEIGHTS = {
     "rolling_30d_otd_rate": -0.8,
     "rolling_30d_avg_review": -0.2,
     "high_complaint_rate_30d": 0.9,
+    "revenue_at_risk_30d": 0.0001,
     "cancellation_rate_30d": 0.7,
+    "product_category_diversity": -0.05,
     "dispatch_time_p50_7d": 0.1,
     "seller_active_weeks": -0.25,
     "order_volume_slope": -1.5,
