@@ -1,17 +1,23 @@
 """Phrases that occur often, by dynamic itemset counting, and how closely their words belong together.
 
-The texts are dealt into shards that are scanned in turn, again and again. Single words are counted from the first shard
+The texts are dealt into shards that are scanned in turn, cycle after cycle. Single words are counted from the first shard
 on. A longer phrase is counted from the first scan on before which both phrases that lack its first or its last word had
 reached the threshold, through one full cycle of shards; so lengths are counted side by side and the scans end when no
-phrase is in its cycle. Counts are per shard and a shard counts once, so a phrase that is scanned too often stays right.
+phrase is in its cycle.
+
+Each scan writes the counts of its shard once. A phrase that occurs ``least`` times has at least ``least / shards`` of them in
+one shard, so only phrases that are that heavy in some shard are added up: after every scan over the shards where they are
+heavy (a phrase that reaches the threshold there is activated at once), at the end of every cycle over all shards, exactly.
+A shard that is scanned again gives the same counts again, so each phrase's count of a shard is taken once.
 
 Tasks learn which phrases have reached the threshold from a bit filter of bounded size. A bit that two phrases share
-makes a task count phrases that need not be counted; it changes no result, as counts themselves are kept by phrase.
+makes a task count phrases that need not be counted; it changes no result, as counts themselves are kept by phrase. From
+the third cycle on only stretches of text are scanned in which all pairs (then triples, and so on) have reached it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +39,13 @@ BITS_A_PHRASE = 16
 MOST_FILTER_BITS = 26
 SPOT_BITS = 30
 # Bytes of text that are counted together, and rows handed on together.
-CHUNK_BYTES = 16 << 20
-ROWS = 100_000
+CHUNK_BYTES = 8 << 20
+ROWS = 50_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 BYTES = byte_table(blanks=b" \t", breaks=b".,;:!?\n\x0b\x0c\r")
-COUNTED = "lang string, size int, phrase string, spot int, n bigint"
+# ``key``: language, tab, phrase; words hold no tabs. The key without a phrase counts all words of the language.
+COUNTED = "key string, n bigint"
 
 
 def spots(codes: np.ndarray) -> np.ndarray:
@@ -47,102 +54,145 @@ def spots(codes: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(64 - SPOT_BITS)).astype("i8")
 
 
+def hashes(texts: Iterable[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(t) for t in texts], "u8")
+
+
 class Filter:
     """Bits of the phrases that have reached the threshold, and of those that did so within the last cycle."""
 
     def __init__(self, power: int, reached: np.ndarray, recent: np.ndarray):
         self.power, self.reached, self.recent = power, reached, recent
 
-    def has(self, bits: np.ndarray, spot: np.ndarray) -> np.ndarray:
-        bit = spot >> (SPOT_BITS - self.power)
+    def has(self, bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        bit = spots(codes) >> (SPOT_BITS - self.power)
         return (bits[bit >> 6] >> (bit & 63).astype("u8")) & np.uint64(1) != 0
 
 
-def count_chunk(batch: pa.RecordBatch, singles: bool, known: Filter | None, longest: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of one chunk of (lang, text): single words if asked, and what the filter lets through."""
-    langs = batch.column(0).fill_null(NO_LANG).dictionary_encode()
-    code, forms, row, opens = cut_words(batch.column(1).fill_null(""), BYTES, lower_table())
-    if not len(code):
-        return
-    lang = langs.indices.to_numpy().astype("i8")[row]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, forms.to_pylist()), "u8", len(forms))
-    tongues = np.fromiter(map(xxhash.xxh64_intdigest, langs.dictionary.to_pylist()), "u8", len(langs.dictionary))
-
-    def rows(size: int, at: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows of the phrases of ``size`` words that stand at the places ``at``."""
+class Chunk:
+    """The words of some texts and, length by length, their phrases that a filter lets through."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.langs = batch.column(0).fill_null(NO_LANG).dictionary_encode()
+        self.code, self.forms, self.row, self.opens = cut_words(batch.column(1).fill_null(""), BYTES, lower_table())
+        self.lang = self.langs.indices.to_numpy().astype("i8")[self.row]
+        names = len(self.langs.dictionary)
+        word = self.code * names + self.lang
+        # Numbers of the (word, language) pairs that occur, through a table where that is not much larger than the texts.
+        if len(self.forms) * names <= 8 * len(word) + 1_000:
+            counts = np.bincount(word, minlength=len(self.forms) * names)
+            self.pairs = np.flatnonzero(counts)
+            number = np.zeros(len(counts), "i8")
+            number[self.pairs] = np.arange(len(self.pairs))
+            self.word, self.counts = number[word], counts[self.pairs]
+        else:
+            self.pairs, self.word, self.counts = np.unique(word, return_inverse=True, return_counts=True)
+        self.of_word = hashes(self.forms.to_pylist())[self.pairs // max(names, 1)]
+        self.codes = (hashes(self.langs.dictionary.to_pylist())[self.pairs % max(names, 1)] ^ self.of_word) * MIX
+
+    def lengths(self, known: Filter, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length from 2: the length, the places where both shorter phrases have reached the threshold, a number of
+        the phrase at each place, whether one of the two is recent, and a place for each number."""
+        at, ids, codes, size = np.arange(len(self.word)), self.word, self.codes, 1
+        while size < longest and len(at):
+            kept = known.has(known.reached, codes)[ids]
+            at, ids = at[kept], ids[kept]
+            recent = known.has(known.recent, codes)[ids]
+            # Phrases side by side overlap in all but their ends; single words must stand in one piece.
+            beside = at[1:] == at[:-1] + 1
+            if size == 1:
+                beside &= ~self.opens[at[1:]]
+            recent = (recent[1:] | recent[:-1])[beside]
+            at, size = at[:-1][beside], size + 1
+            coded = pa.array(ids[:-1][beside] * len(self.pairs) + self.word[at + size - 1]).dictionary_encode()
+            ids, keys = coded.indices.to_numpy().astype("i8"), coded.dictionary.to_numpy()
+            codes = (codes[keys // len(self.pairs)] ^ self.of_word[keys % len(self.pairs)]) * MIX
+            places = np.empty(len(keys), "i8")
+            places[ids] = at
+            yield size, at, ids, recent, places
+
+    def rows(self, size: int, at: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Counted rows of the phrases of ``size`` words that stand at the places ``at``."""
         for n in range(0, len(at), ROWS):
             some = at[n:n + ROWS]
-            words = [forms.take(pa.array(code[some + k])) for k in range(size)]
-            yield pa.record_batch(
-                [langs.dictionary.take(pa.array(lang[some])), pa.array(np.full(len(some), size, "i4")),
-                 pc.binary_join_element_wise(*words, " ") if size > 1 else words[0],
-                 pa.array(spots(codes[n:n + ROWS]).astype("i4")), pa.array(counts[n:n + ROWS])],
-                names=["lang", "size", "phrase", "spot", "n"],
-            )
-
-    def numbered(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers for equal keys, the distinct keys, and one place of each."""
-        coded = pa.array(keys).dictionary_encode()
-        ids = coded.indices.to_numpy().astype("i8")
-        places = np.empty(len(coded.dictionary), "i8")
-        places[ids] = at
-        return ids, coded.dictionary.to_numpy(), places
-
-    at = np.arange(len(code))
-    word, _, places = numbered(code * len(langs.dictionary) + lang, at)
-    of_word = hashes[code[places]]
-    codes = (tongues[lang[places]] ^ of_word) * MIX
-    if singles:
-        yield from rows(1, places, codes, np.bincount(word))
-        present, found = np.unique(lang, return_counts=True)
-        none = pa.array(np.zeros(len(found), "i4"))
-        yield pa.record_batch(
-            [langs.dictionary.take(pa.array(present)), none, pa.array([""] * len(found)), none, pa.array(found)],
-            names=["lang", "size", "phrase", "spot", "n"],
-        )
-    ids, size = word, 1
-    while known and size < longest:
-        spot = spots(codes)
-        kept = known.has(known.reached, spot)[ids]
-        at, ids = at[kept], ids[kept]
-        recent = known.has(known.recent, spot)[ids]
-        # Phrases side by side overlap in all but their ends; single words must stand in one piece.
-        beside = at[1:] == at[:-1] + 1
-        if size == 1:
-            beside &= ~opens[at[1:]]
-        recent = (recent[1:] | recent[:-1])[beside]
-        at, before = at[:-1][beside], codes
-        size += 1
-        ids, keys, places = numbered(ids[:-1][beside] * len(of_word) + word[at + size - 1], at)
-        codes = (before[keys // len(of_word)] ^ of_word[keys % len(of_word)]) * MIX
-        counts = np.bincount(ids[recent], minlength=len(keys))
-        some = counts > 0
-        yield from rows(size, places[some], codes[some], counts[some])
+            words = [self.forms.take(pa.array(self.code[some + k])) for k in range(size)]
+            phrase = pc.binary_join_element_wise(*words, " ") if size > 1 else words[0]
+            yield self.counted(self.lang[some], phrase, counts[n:n + ROWS])
+
+    def counted(self, lang: np.ndarray, phrase: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+        key = pc.binary_join_element_wise(self.langs.dictionary.take(pa.array(lang)), phrase, "\t")
+        return pa.record_batch([key, pa.array(counts.astype("i8"))], names=["key", "n"])
+
+
+def count_chunk(batch: pa.RecordBatch, singles: bool, known: Filter | None, longest: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases of one chunk of (lang, text): single words if asked, and what the filter lets through."""
+    chunk = Chunk(batch)
+    if singles and len(chunk.word):
+        places = np.empty(len(chunk.pairs), "i8")
+        places[chunk.word] = np.arange(len(chunk.word))
+        yield from chunk.rows(1, places, chunk.counts)
+        present, found = np.unique(chunk.lang, return_counts=True)
+        yield chunk.counted(present, pa.array([""] * len(present)), found)
+    for size, _, ids, recent, places in chunk.lengths(known, longest) if known else ():
+        counts = np.bincount(ids[recent], minlength=len(places))
+        yield from chunk.rows(size, places[counts > 0], counts[counts > 0])
 
 
 def scan(shard: DataFrame, singles: bool, known: Filter | None, longest: int) -> DataFrame:
-    """Counts of one shard's phrases, once per chunk: lang, size, phrase, spot, n; size 0 has the number of words."""
-    spark = shard.sparkSession
+    """Counts of one shard's phrases: key, n."""
+    return each_chunk(shard, known, lambda chunk, bits: count_chunk(chunk, singles, bits, longest), COUNTED).groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def each_chunk(
+    texts: DataFrame, known: Filter | None, make: Callable[[pa.RecordBatch, Filter | None], Iterator[pa.RecordBatch]], schema: str
+) -> DataFrame:
+    spark = texts.sparkSession
     on_workers(spark)
-    handed = spark.sparkContext.broadcast(known) if known else None
+    handed = spark.sparkContext.broadcast(known)
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in by_bytes(batches, 1, CHUNK_BYTES):
-            yield from count_chunk(chunk, singles, handed.value if handed else None, longest)
-
-    return shard.select("lang", "text").mapInArrow(count, COUNTED)
+            yield from make(chunk, handed.value)
+
+    return texts.mapInArrow(chunks, schema)
+
+
+def shrink_chunk(batch: pa.RecordBatch, known: Filter, size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows with only the stretches, one a line, whose phrases of ``size`` words have all reached the threshold and
+    that hold a longer phrase; rows without any are left out."""
+    chunk = Chunk(batch)
+    # Places of the phrases with one word more whose first and last ``size`` words have reached it.
+    at = next((at for n, at, *_ in chunk.lengths(known, size + 1) if n == size + 1), np.empty(0, "i8"))
+    inside = np.zeros(len(chunk.word) + 1, "i8")
+    np.add.at(inside, at, 1)
+    np.add.at(inside, at + size + 1, -1)
+    kept = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+    if not len(kept):
+        return
+    # A stretch ends before a word that no phrase holds together with the one before it.
+    joined = np.zeros(len(chunk.word) + 1, bool)
+    joined[(at[:, None] + np.arange(1, size + 1)).ravel()] = True
+    words, row = chunk.forms.take(pa.array(chunk.code[kept])), chunk.row[kept]
+    words = pc.binary_join_element_wise(pc.if_else(pa.array(joined[kept]), " ", "\n"), words, "")
+    rows, first = np.unique(row, return_index=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype("i4")), words)
+    yield pa.record_batch([batch.column(0).take(pa.array(rows)), pc.binary_join(lists, ""), batch.column(2).take(pa.array(rows))], names=["lang", "text", "shard"])
+
+
+def read_filter(reached: DataFrame, oldest: int, phrases: int) -> Filter:
+    """The filter of the phrases ``reached`` (key, since); ``recent`` are those since step ``oldest``."""
+    power = min(max(6, (phrases * BITS_A_PHRASE).bit_length()), MOST_FILTER_BITS)
 
+    def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(spots(key_codes(batch.column(0).to_pylist())) >> (SPOT_BITS - power)), batch.column(1)], names=["bit", "since"])
 
-def read_filter(counts: DataFrame, oldest: int, phrases: int) -> Filter:
-    """The filter of the phrases of ``counts`` that have reached the threshold, ``recent`` if not before step ``oldest``."""
-    power = min(max(6, (phrases * BITS_A_PHRASE).bit_length()), MOST_FILTER_BITS)
-    bit = F.shiftright("spot", SPOT_BITS - power)
-    one = F.expr("shiftleft(1L, bit & 63)")
+    on_workers(reached.sparkSession)
+    one = F.expr("shiftleft(1L, CAST(bit & 63 AS int))")
     # At most 2**20 rows, however many phrases there are.
     cells = (
-        counts.where("since IS NOT NULL AND size > 0").select(bit.alias("bit"), (F.col("since") >= oldest).alias("recent"))
-        .groupBy(F.shiftright("bit", 6).alias("cell"))
-        .agg(F.bit_or(one).alias("reached"), F.bit_or(F.when(F.col("recent"), one).otherwise(F.lit(0).cast("long"))).alias("recent"))
+        reached.select("key", "since").mapInArrow(bits, "bit bigint, since int").groupBy(F.shiftright("bit", 6).alias("cell"))
+        .agg(F.bit_or(one).alias("reached"), F.bit_or(F.when(F.col("since") >= oldest, one).otherwise(F.lit(0).cast("long"))).alias("recent"))
         .toArrow()
     )
     both = np.zeros((2, 1 << (power - 6)), "u8")
@@ -152,28 +202,56 @@ def read_filter(counts: DataFrame, oldest: int, phrases: int) -> Filter:
     return Filter(power, both[0], both[1])
 
 
-def merged(counts: DataFrame | None, found: DataFrame, step: int, shards: int, least: int) -> DataFrame:
-    """``counts`` with what the scan of one shard found.
-
-    ``seen`` has a bit for each shard that is in ``n``; ``last`` is the step that last met the phrase, ``since`` the one
-    that brought it to the threshold. A phrase below the threshold that a full cycle of steps has not met goes: its own cycle
-    is over, or has met nothing so far and will scan all shards. (The cycle of a phrase does not start when it is first met,
-    as the filter may let it through earlier.)
-    """
-    bit = 1 << (step % shards)
-    fresh = found.select("lang", "size", "phrase", "spot", F.lit(None).cast("long").alias("old"), F.lit(0).alias("seen"),
-                         F.lit(step).alias("last"), F.lit(None).cast("int").alias("since"), F.col("n").alias("new"))
-    if counts is not None:
-        fresh = counts.withColumnRenamed("n", "old").withColumn("new", F.lit(None).cast("long")).unionByName(fresh)
-    summed = fresh.groupBy("lang", "phrase", "size").agg(
-        F.max("spot").alias("spot"), F.sum("old").alias("old"), F.sum("new").alias("new"), F.bit_or("seen").alias("before"),
-        F.max("last").alias("last"), F.min("since").alias("since"),
-    )
-    counted = F.coalesce("old", F.lit(0)) + F.when(F.col("before").bitwiseAND(bit) != 0, 0).otherwise(F.coalesce("new", F.lit(0)))
-    seen = F.when(F.col("new").isNotNull(), F.col("before").bitwiseOR(F.lit(bit))).otherwise(F.col("before"))
-    after = summed.select("lang", "size", "phrase", "spot", counted.alias("n"), seen.alias("seen"), "last", "since")
-    after = after.withColumn("since", F.coalesce("since", F.when(F.col("n") >= least, F.lit(step))))
-    return after.where((F.col("size") == 0) | F.col("since").isNotNull() | (F.col("last") > step - shards))
+def key_codes(keys: list[str]) -> np.ndarray:
+    """The codes that chunks give to the phrases with these keys."""
+    found = np.empty(len(keys), "u8")
+    for n, key in enumerate(keys):
+        lang, _, phrase = key.rpartition("\t")
+        code = xxhash.xxh64_intdigest(lang)
+        for word in phrase.split(" "):
+            code = ((code ^ xxhash.xxh64_intdigest(word)) * int(MIX)) & 0xFFFFFFFFFFFFFFFF
+        found[n] = code
+    return found
+
+
+class Counting:
+    """The counts of all scans so far, in one folder a scan, heavy rows apart from light ones."""
+
+    def __init__(self, spark: SparkSession, least: int, shards: int):
+        self.spark, self.least, self.shards = spark, least, shards
+        self.heavy_count = -(-least // shards)
+        self.root, self.steps, self.reached = fresh_path(spark, "phrase-counts"), 0, None
+
+    def add(self, found: DataFrame) -> None:
+        heavy = found.withColumn("heavy", (F.col("n") >= self.heavy_count) | F.col("key").endswith("\t"))
+        heavy.write.partitionBy("heavy").parquet(f"{self.root}/step={self.steps}")
+        self.steps += 1
+
+    def rows(self, heavy: bool) -> DataFrame:
+        rows = self.spark.read.schema("key string, n bigint, step int, heavy boolean").parquet(self.root)
+        return rows.where(F.col("heavy") == heavy).select("key", "n", (F.col("step") % self.shards).alias("shard"))
+
+    @staticmethod
+    def totals(rows: DataFrame) -> DataFrame:
+        """Counts over all shards; scans of the same shard give the same count."""
+        once = rows.groupBy("key", "shard").agg(F.max("n").alias("n"))
+        return once.groupBy("key").agg(F.sum("n").alias("n"))
+
+    def exact(self) -> DataFrame:
+        """All phrases that are heavy somewhere, with their counts over all shards scanned."""
+        heavy = self.rows(True)
+        light = self.rows(False).join(heavy.select("key").distinct(), "key", "left_semi")
+        return self.totals(heavy.unionByName(light))
+
+    def settle(self, final: bool) -> DataFrame:
+        """``reached``: the phrases known to have reached the threshold, with the step that showed it."""
+        often = (self.exact() if final else self.totals(self.rows(True))).where((F.col("n") >= self.least) & ~F.col("key").endswith("\t"))
+        now = often.select("key", F.lit(self.steps - 1).alias("since"))
+        both = now if self.reached is None else now.unionByName(self.reached).groupBy("key").agg(F.min("since").alias("since"))
+        path = f"{self.root}-reached/{self.steps}"
+        both.write.parquet(path)
+        self.reached = self.spark.read.schema("key string, since int").parquet(path)
+        return self.reached
 
 
 def count_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, shards: int = SHARDS) -> DataFrame:
@@ -186,25 +264,31 @@ def count_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONG
     spark = docs.sparkSession
     dealt = fresh_path(spark, "phrase-shards")
     shard = F.pmod(F.xxhash64("text", "lang"), F.lit(shards)).cast("int")
-    docs.select("lang", "text", shard.alias("shard")).write.partitionBy("shard").parquet(dealt)
-    # Two places in turn: one is read while the other is written.
-    places, counts, known, step = [fresh_path(spark, "phrases") for _ in range(2)], None, None, 0
+    docs.select("lang", "text", shard.alias("shard")).write.partitionBy("shard").parquet(f"{dealt}/0")
+    texts, counting, known, step = f"{dealt}/0", Counting(spark, least, shards), None, 0
+    phrase = F.substring_index("key", "\t", -1)
+    size = F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.translate(phrase, " ", "")) + 1)
     while True:
-        texts = read_shard(spark, dealt, step % shards)
-        counts = merged(counts, scan(texts, step < shards, known, longest), step, shards, least)
-        counts.write.mode("overwrite").parquet(places[step % 2])
-        counts = spark.read.schema(counts.schema).parquet(places[step % 2])
+        counting.add(scan(read_shard(spark, texts, step % shards), step < shards, known, longest))
         step += 1
-        oldest = step - shards
-        reached = counts.where((F.col("size") > 0) & (F.col("size") < longest) & F.col("since").isNotNull())
-        phrases, recent = reached.agg(F.count("*"), F.count(F.when(F.col("since") >= oldest, 1))).first()
-        if step >= shards and not recent:
-            return counts.where(f"size = 0 OR n >= {least}").select("lang", "size", "phrase", "n")
-        known = read_filter(reached, oldest, phrases) if phrases else None
+        ended = step % shards == 0
+        extensible = counting.settle(ended).where(size < longest)
+        phrases, recent = extensible.agg(F.count("*"), F.count(F.when(F.col("since") >= step - shards, 1))).first()
+        if ended and not recent:
+            lang = F.expr("substring(key, 1, length(key) - length(substring_index(key, '\t', -1)) - 1)")
+            return counting.exact().where((size == 0) | (F.col("n") >= least)).select(lang.alias("lang"), size.cast("int").alias("size"), phrase.alias("phrase"), "n")
+        known = read_filter(extensible, step - shards, phrases) if phrases else None
+        cycle = step // shards
+        if ended and 2 <= cycle < longest and known:
+            # Phrases of ``cycle`` words have all had their cycle: what the filter does not have will not come.
+            before = spark.read.schema("lang string, text string, shard int").parquet(texts)
+            texts = f"{dealt}/{cycle}"
+            shrunk = each_chunk(before, known, lambda chunk, bits: shrink_chunk(chunk, bits, cycle), "lang string, text string, shard int")
+            shrunk.write.partitionBy("shard").parquet(texts)
 
 
 def read_shard(spark: SparkSession, path: str, shard: int) -> DataFrame:
-    return spark.read.schema("lang string, text string, shard int").parquet(path).where(F.col("shard") == shard)
+    return spark.read.schema("lang string, text string, shard int").parquet(path).where(F.col("shard") == shard).select("lang", "text")
 
 
 def words_of(phrase: str, first: str, size: str) -> str:

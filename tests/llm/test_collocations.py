@@ -108,12 +108,25 @@ def test_collocations(spark):
 
 
 def test_filter_lets_all_phrases_pass():
-    spot = np.array([0, 1, 5, (1 << 30) - 1, 123_456_789])
-    bits = np.zeros(1 << 4, "u8")
-    for s in spot >> 20:
+    codes = collocations.key_codes(["en\tone", "en\tone two", "fr\tone", "a\tb\tone two"])
+    bits = np.zeros(1 << 14, "u8")
+    for s in collocations.spots(codes) >> 10:
         bits[s >> 6] |= np.uint64(1 << int(s & 63))
-    known = collocations.Filter(10, bits, bits)
-    assert known.has(bits, spot).all() and not known.has(bits, np.array([1 << 29])).any()
+    known = collocations.Filter(20, bits, bits)
+    assert known.has(bits, codes).all() and not known.has(bits, collocations.key_codes(["de\tone", "en\ttwo one"])).any()
+
+
+def test_shrunk_texts_keep_what_can_be_longer():
+    kept = ["en\ta", "en\tb", "en\tc", "en\ta b", "en\tb c", "en\tc a"]
+    codes = collocations.key_codes(kept)
+    bits = np.zeros(1 << 20, "u8")
+    for s in collocations.spots(codes) >> 4:
+        bits[s >> 6] |= np.uint64(1 << int(s & 63))
+    texts = ["a b c x a b. b c a c b", "a b", None, "c a. b c a b c a", "c"]
+    batch = pa.record_batch([pa.array(["en"] * 5), pa.array(texts), pa.array([1] * 5, pa.int32())], names=["lang", "text", "shard"])
+    known = collocations.Filter(26, bits, bits)
+    got = [tuple(r.values()) for b in collocations.shrink_chunk(batch, known, 2) for r in b.to_pylist()]
+    assert got == [("en", "\na b c\nb c a", 1), ("en", "\nb c a b c a", 1)]
 
 
 def test_awkward_rows(awkward):
