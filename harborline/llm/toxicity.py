@@ -2,7 +2,8 @@
 
 The kernel compares two words by the three-letter subsequences they share, each occurrence weighted by DECAY to the
 number of letters it skips, within SPAN letters. A word with inserted or replaced characters therefore stays near the word
-it comes from, and marks between letters do not count at all. The normalised kernel to the power of DEGREE is again a kernel
+it comes from, and marks between letters do not count at all. The kernel, divided by the root of each word's squared weights
+(one for each occurrence), to the power of DEGREE is again a kernel
 and tells near words from words that merely share a syllable.
 
 Landmarks are words of labelled sentences: those that tell toxic documents best (log-likelihood ratio of their document
@@ -16,14 +17,16 @@ Fitting takes a bounded sample of labelled rows to the driver; scoring is one pa
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
+from array import array
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from harborline.llm.common import free_names, on_workers
 
@@ -34,9 +37,11 @@ DEGREE = 2**DEGREE_DOUBLINGS
 LANDMARKS = 192
 PENALTY = 1.0
 ROUNDS = 3
-# The bound of the sample to fit on: rows per class, characters per text.
+# The bound of the sample to fit on: rows per class, characters per text, and characters of all texts of a class together.
+# With about 60 characters a sentence and 0.8 kB for each of them, the fit holds less than 300 MB.
 FIT_ROWS = 3000
 FIT_CHARS = 20_000
+FIT_TOTAL = 8_000_000
 HELD_OUT_FOLDS = 5
 
 # Words a worker remembers, words and texts scored together, sentences fitted together; none changes a result.
@@ -197,39 +202,39 @@ def fit(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray | None =
     """A model from texts and their labels. ``weight``: how many rows each stands for. With one class it scores that class's share."""
     toxic = np.asarray(toxic, int)
     weight = np.ones(len(toxic)) if weight is None else np.asarray(weight, float)
-    document, label, said = [], [], []
+    # Words as numbers in plain arrays: the lists of a text's words live no longer than the loop over it.
+    document, sizes, word, number = array("i"), array("i"), array("i"), {}
     for n, text in enumerate(texts):
         for s in sentences(text):
             document.append(n)
-            label.append(toxic[n])
-            said.append(s)
-    document, label = np.array(document, int), np.array(label, int)
-    number: dict[str, int] = {}
-    word = np.array([number.setdefault(plain_word(w), len(number)) for s in said for w in s], int)
-    sentence = np.repeat(np.arange(len(said)), [len(s) for s in said])
+            sizes.append(len(s))
+            word.extend(number.setdefault(plain_word(w), len(number)) for w in s)
+    document, sizes, word = (np.frombuffer(a, "i4") if a else np.empty(0, "i4") for a in (document, sizes, word))
+    label, starts, spoken = toxic[document], np.cumsum(sizes) - sizes, len(sizes)
     vocabulary = list(number)
     if len(set(label.tolist())) < 2:
         model = Model(Landmarks(["none"]), np.zeros(1), 0.0)
         return constant(model, float(np.average(toxic, weights=weight)) if len(toxic) else 0.0)
-    landmarks = Landmarks(choose_landmarks(vocabulary, word, document[sentence], toxic))
+    landmarks = Landmarks(choose_landmarks(vocabulary, word, np.repeat(document, sizes), toxic))
     between = landmarks.kernel(landmarks.words)
     values, vectors = np.linalg.eigh((between + between.T) / 2)
     large = values > 1e-6
     root = vectors[:, large] / np.sqrt(values[large])
-    starts = np.searchsorted(sentence, np.arange(len(said)))
-    features = np.ones((len(said), root.shape[1] + 1), np.float32)  # the last column is for the offset
-    for at in range(0, len(said), BATCH_WORDS):
-        part = word[starts[at]:starts[at + BATCH_WORDS] if at + BATCH_WORDS < len(said) else len(word)]
+    features = np.ones((spoken, root.shape[1] + 1), np.float32)  # the last column is for the offset
+    for at in range(0, spoken, BATCH_WORDS):
+        part = word[starts[at]:starts[at + BATCH_WORDS] if at + BATCH_WORDS < spoken else len(word)]
         distinct, where = np.unique(part, return_inverse=True)
         near = landmarks.kernel([vocabulary[n] for n in distinct]).astype(np.float32)
         features[at:at + BATCH_WORDS, :-1] = np.add.reduceat(near[where], starts[at:at + BATCH_WORDS] - starts[at]) @ root
-    used, v = np.ones(len(said), bool), None
+    del vocabulary, number, word
+    used, v = np.ones(spoken, bool), None
     for _ in range(ROUNDS):
         v = support_vectors(features, label, used, v)
         found = products(features, v)
         worst = np.full(len(texts), -np.inf)
         np.maximum.at(worst, document, found)
         used = (label == 0) | (found > 0) | (found == worst[document])
+    del features
     model = Model(landmarks, root @ v[:-1], float(v[-1]))
     rows = np.concatenate([model.features(texts[at:at + BATCH_TEXTS]) for at in range(0, len(texts), BATCH_TEXTS)])
     model.mean, model.scale = rows.mean(0), rows.std(0) + 1e-9
@@ -245,9 +250,9 @@ def constant(model: Model, share: float) -> Model:
 
 def choose_landmarks(vocabulary: list[str], word: np.ndarray, document: np.ndarray, toxic: np.ndarray) -> list[str]:
     """The words that tell toxic documents best, and a hashed choice of the others; all have a subsequence."""
-    pairs = np.unique(np.stack([word, document]), axis=1)
-    bad = np.bincount(pairs[0], toxic[pairs[1]], len(vocabulary))
-    seen = np.bincount(pairs[0], minlength=len(vocabulary)).astype(float)
+    of_word, of_document = np.divmod(np.unique(word.astype("i8") * len(toxic) + document), len(toxic))
+    bad = np.bincount(of_word, toxic[of_document], len(vocabulary))
+    seen = np.bincount(of_word, minlength=len(vocabulary)).astype(float)
     n_bad, n_all = toxic.sum(), len(toxic)
     expected = seen * n_bad / n_all
 
@@ -255,7 +260,8 @@ def choose_landmarks(vocabulary: list[str], word: np.ndarray, document: np.ndarr
         return found * np.log(np.maximum(found, 1e-9) / np.maximum(due, 1e-9))
 
     ratio = part(bad, expected) + part(seen - bad, seen - expected) + part(n_bad - bad, n_bad - expected) + part(n_all - n_bad - seen + bad, n_all - n_bad - seen + expected)
-    has_one = np.bincount(subsequences(vocabulary)[0], minlength=len(vocabulary)) > 0
+    parts = [vocabulary[at:at + BATCH_WORDS] for at in range(0, len(vocabulary), BATCH_WORDS)]
+    has_one = np.concatenate([np.bincount(subsequences(part)[0], minlength=len(part)) > 0 for part in parts])
     telling = sorted(np.flatnonzero(has_one & (bad > expected)), key=lambda n: (-ratio[n], vocabulary[n]))[:LANDMARKS // 2]
     others = sorted(np.flatnonzero(has_one), key=lambda n: (zlib.crc32(vocabulary[n].encode("utf-8", "replace")), vocabulary[n]))[:LANDMARKS // 2]
     return sorted({vocabulary[n] for n in [*telling, *others]}) or ["none"]
@@ -308,11 +314,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_FOLDS == 0, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
+def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS, total: int = FIT_TOTAL) -> Model:
     """Fit on at most ``rows`` labelled rows of each class, chosen by a hash of their id, that are not held out.
 
-    A document with several labels is toxic if one says so. Rows without an id or a label, and texts of more than ``chars``
-    characters, do not take part in the fit.
+    A document with several labels is toxic if one says so. Rows without an id or a label, texts of more than ``chars``
+    characters, and the texts of a class from where they have more than ``total`` characters together, do not take part in the fit.
+    If that leaves no text of one class, there is a warning, and all documents get the same score.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -320,8 +327,13 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int
     chosen = [usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for c in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most twice ``rows``
     texts = docs.select("doc_id", "text").where(F.length("text") <= chars).join(ids, "doc_id")
-    sample = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").toPandas()
+    # At most twice ``rows`` rows, so this window is small.
+    upto = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    sample = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("upto", upto).where(F.col("upto") <= total)
+    sample = sample.drop("upto").orderBy("doc_id").toPandas()
     toxic = sample["toxic"].to_numpy()
+    if len(set(toxic.tolist())) < 2 <= len(totals):
+        warnings.warn("no text of one class is short enough to fit on; all documents get the same score", stacklevel=2)
     held = {c: max(1, int((toxic == c).sum())) for c in (0, 1)}
     return fit(sample["text"].tolist(), toxic, np.array([totals.get(c, 0) / held[c] for c in toxic]))
 

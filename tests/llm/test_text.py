@@ -260,3 +260,43 @@ def test_forgotten_words_score_the_same(labelled, monkeypatch):
     monkeypatch.setattr(toxicity, "BATCH_TEXTS", 3)
     model.known.clear()
     assert np.allclose(model.score(texts), want)
+
+
+def kernel_by_hand(a, b):
+    """The subsequence kernel of two words over the weights of all their occurrences, to its power, from the subsequences themselves."""
+    codes = toxicity.letter_codes()
+
+    def occurrences(word):
+        places = [(i, i + first, i + last) for i in range(len(word)) for first, last in toxicity.OFFSETS if i + last < len(word)]
+        return [(tuple(codes[ord(word[n])] for n in p), toxicity.DECAY ** (p[2] - p[0] - 2)) for p in places]
+
+    x, y = occurrences(a), occurrences(b)
+    lengths = [np.sqrt(sum(w * w for _, w in v)) for v in (x, y)]
+    return (sum(v * w for k, v in x for other, w in y if k == other) / (lengths[0] * lengths[1])) ** toxicity.DEGREE
+
+
+def test_kernel_by_hand():
+    words = ["idiot", "idxiot", "idioot", "stupid", "stone", "banana", "anan"]
+    got = toxicity.Landmarks(words).kernel(words)
+    assert np.allclose(got, [[kernel_by_hand(a, b) for b in words] for a in words], atol=1e-5)
+
+
+def test_nystrom_features_give_the_kernel_of_landmarks():
+    words = ["idiot", "stupid", "stone", "banana", "moron", "river"]
+    between = toxicity.Landmarks(words).kernel(words)
+    values, vectors = np.linalg.eigh((between + between.T) / 2)
+    root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
+    # On the landmarks themselves the approximation is exact.
+    assert np.allclose((between @ root) @ (between @ root).T, [[kernel_by_hand(a, b) for b in words] for a in words], atol=1e-5)
+
+
+def test_the_fit_is_bounded_and_says_when_it_has_nothing(labelled, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, weight: seen.append((texts, toxic)))
+    toxicity.fit_on(*labelled, total=20_000)
+    texts, toxic = seen[0]
+    for c in (0, 1):
+        held = [len(t) for t, label in zip(texts, toxic) if label == c]
+        assert 0 < sum(held) <= 20_000 and len(held) < (labelled[1].where(f'toxic = {c}').count())
+    with pytest.warns(UserWarning, match="no text of one class"):
+        toxicity.fit_on(*labelled, chars=0)
