@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from harborline.operators.ordering import join_on, running_totals
 
+# Rows of a key whose values one task may count in memory.
+FEW_ROWS = 1_000_000
+
+
+def many_rows(df: DataFrame, key: list[str]) -> DataFrame | None:
+    """The keys with more than FEW_ROWS rows, or None if there are none (one aggregate over ``df`` tells)."""
+    found = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW_ROWS).select(*key)
+    return None if found.isEmpty() else found
+
 
 def quantiles(
     df: DataFrame, by: list[str], value: str, probs: dict[str, float], approximate: bool = False

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from harborline.fixed_values import SELLER_FEATURES
 from harborline.functions.columns import elapsed_days, flag, whole_days
-from harborline.functions.quantiles import quantiles
+from harborline.functions.quantiles import many_rows, quantiles
 from harborline.operators.ordering import first_per_key
 
 POINT = ["seller_id", "observation_date"]
@@ -272,22 +272,30 @@ def trend_slopes(master: DataFrame, dates: DataFrame, approximate: bool = False)
 def _points(master: DataFrame, dates: DataFrame, approximate: bool) -> DataFrame:
     """One row per seller and date: trends, active weeks, dispatch time of the last week and 30-day figures.
 
-    One aggregate over the rows of the eight weeks gives the weekly volumes and reviews as columns; the
-    weekly medians of the dispatch time come from their own.
+    One aggregate over the rows of the eight weeks gives the weekly volumes, reviews and median dispatch times as columns. The
+    medians of sellers with very many rows are counted across tasks instead.
     """
-    weeks = eight_weeks(master, dates)
+    weeks, hot = eight_weeks(master, dates), None if approximate else many_rows(master, ["seller_id"])
+    waited = with_week(weeks).withColumn("_waited", F.when(F.col("dispatch_days") > 0, F.col("dispatch_days")))
+    if hot is not None:
+        flagged = hot.withColumn("_hot", F.lit(True))
+        waited = waited.join(flagged, "seller_id", "left").withColumn("_waited", F.when(F.col("_hot").isNull(), F.col("_waited"))).drop("_hot")
     week_sums = [
         F.expr(f"{agg}(CASE WHEN week_idx = {k} THEN {value} END)").alias(f"{name}{k}")
         for name, agg, value in (("_v", "count", "1"), ("_rs", "sum", "review_score"), ("_rn", "count", "review_score")) for k in WEEKS
     ]
-    main = with_week(weeks).groupBy(*POINT).agg(*week_sums, *[c.alias(n) for n, c in _recent_parts().items()])
-    dispatch = weekly_dispatch(weeks, approximate).groupBy(*POINT).agg(*_week_columns("y", "d"))
+    median = "percentile_approx(CASE WHEN week_idx = {k} THEN _waited END, 0.5, 100000)" if approximate else "percentile(CASE WHEN week_idx = {k} THEN _waited END, 0.5)"
+    medians = [F.expr(median.format(k=k)).alias(f"d{k}") for k in WEEKS]
+    main = waited.groupBy(*POINT).agg(*week_sums, *medians, *[c.alias(n) for n, c in _recent_parts().items()])
+    if hot is not None:
+        counted = weekly_dispatch(weeks.join(hot, "seller_id", "left_semi")).groupBy(*POINT).agg(*_week_columns("y", "_d"))
+        main = main.join(counted, POINT, "left").withColumns({f"d{k}": F.coalesce(f"d{k}", f"_d{k}") for k in WEEKS}).drop(*[f"_d{k}" for k in WEEKS])
     # All boundaries between weeks are at midnight, so the days on which anyone has a row tell the weeks present.
     days = master.groupBy(F.date_trunc("day", BOUGHT).cast("timestamp_ntz").alias(BOUGHT)).agg(
         F.coalesce(F.max(F.col("dispatch_days") > 0), F.lit(False)).alias("dispatched")
     )
     present = weeks_present(with_week(eight_weeks(days, dates)), any="true", disp="dispatched")
-    wide = main.join(dispatch, POINT, "left").join(present, "observation_date").withColumns({
+    wide = main.join(present, "observation_date").withColumns({
         "seller_active_weeks": F.expr(" + ".join(f"CAST(_v{k} > 0 AS BIGINT)" for k in WEEKS)),
         "_last_dispatch": F.col("d7"),
         "_any_dispatch": F.expr(f"coalesce({', '.join(f'd{k}' for k in WEEKS)}) IS NOT NULL"),

@@ -140,7 +140,7 @@ class Tables:
 
     @cached_property
     def weeks(self) -> DataFrame:
-        return sellers.eight_weeks(self.master, self.dates)
+        return sellers.eight_weeks(self.stored_master, self.dates)
 
     @cached_property
     def labels(self) -> DataFrame:
