@@ -38,6 +38,7 @@ NO_LANG = "und"
 BITS_A_PHRASE = 16
 MOST_FILTER_BITS = 26
 SPOT_BITS = 30
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Bytes of text that are counted together, and rows handed on together.
 CHUNK_BYTES = 8 << 20
 ROWS = 50_000
@@ -45,7 +46,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 BYTES = byte_table(blanks=b" \t", breaks=b".,;:!?\n\x0b\x0c\r")
 # ``key``: language, tab, phrase; words hold no tabs. The key without a phrase counts all words of the language.
-COUNTED = "key string, n bigint"
+COUNTED = "key string, spot int, n bigint"
 
 
 def spots(codes: np.ndarray) -> np.ndarray:
@@ -65,7 +66,10 @@ class Filter:
         self.power, self.reached, self.recent = power, reached, recent
 
     def has(self, bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        bit = spots(codes) >> (SPOT_BITS - self.power)
+        return self.has_spots(bits, spots(codes))
+
+    def has_spots(self, bits: np.ndarray, spot: np.ndarray) -> np.ndarray:
+        bit = spot.astype("i8") >> (SPOT_BITS - self.power)
         return (bits[bit >> 6] >> (bit & 63).astype("u8")) & np.uint64(1) != 0
 
 
@@ -90,9 +94,9 @@ class Chunk:
         self.of_word = hashes(self.forms.to_pylist())[self.pairs // max(names, 1)]
         self.codes = (hashes(self.langs.dictionary.to_pylist())[self.pairs % max(names, 1)] ^ self.of_word) * MIX
 
-    def lengths(self, known: Filter, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def lengths(self, known: Filter, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each length from 2: the length, the places where both shorter phrases have reached the threshold, a number of
-        the phrase at each place, whether one of the two is recent, and a place for each number."""
+        the phrase at each place, whether one of the two is recent, and for each number a place and the phrase's code."""
         at, ids, codes, size = np.arange(len(self.word)), self.word, self.codes, 1
         while size < longest and len(at):
             kept = known.has(known.reached, codes)[ids]
@@ -109,19 +113,19 @@ class Chunk:
             codes = (codes[keys // len(self.pairs)] ^ self.of_word[keys % len(self.pairs)]) * MIX
             places = np.empty(len(keys), "i8")
             places[ids] = at
-            yield size, at, ids, recent, places
+            yield size, at, ids, recent, places, codes
 
-    def rows(self, size: int, at: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(self, size: int, at: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Counted rows of the phrases of ``size`` words that stand at the places ``at``."""
         for n in range(0, len(at), ROWS):
             some = at[n:n + ROWS]
             words = [self.forms.take(pa.array(self.code[some + k])) for k in range(size)]
             phrase = pc.binary_join_element_wise(*words, " ") if size > 1 else words[0]
-            yield self.counted(self.lang[some], phrase, counts[n:n + ROWS])
+            yield self.counted(self.lang[some], phrase, codes[n:n + ROWS], counts[n:n + ROWS])
 
-    def counted(self, lang: np.ndarray, phrase: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    def counted(self, lang: np.ndarray, phrase: pa.Array, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         key = pc.binary_join_element_wise(self.langs.dictionary.take(pa.array(lang)), phrase, "\t")
-        return pa.record_batch([key, pa.array(counts.astype("i8"))], names=["key", "n"])
+        return pa.record_batch([key, pa.array(spots(codes).astype("i4")), pa.array(counts.astype("i8"))], names=["key", "spot", "n"])
 
 
 def count_chunk(batch: pa.RecordBatch, singles: bool, known: Filter | None, longest: int) -> Iterator[pa.RecordBatch]:
@@ -130,17 +134,18 @@ def count_chunk(batch: pa.RecordBatch, singles: bool, known: Filter | None, long
     if singles and len(chunk.word):
         places = np.empty(len(chunk.pairs), "i8")
         places[chunk.word] = np.arange(len(chunk.word))
-        yield from chunk.rows(1, places, chunk.counts)
+        yield from chunk.rows(1, places, chunk.codes, chunk.counts)
         present, found = np.unique(chunk.lang, return_counts=True)
-        yield chunk.counted(present, pa.array([""] * len(present)), found)
-    for size, _, ids, recent, places in chunk.lengths(known, longest) if known else ():
+        yield chunk.counted(present, pa.array([""] * len(present)), np.zeros(len(present), "u8"), found)
+    for size, _, ids, recent, places, codes in chunk.lengths(known, longest) if known else ():
         counts = np.bincount(ids[recent], minlength=len(places))
-        yield from chunk.rows(size, places[counts > 0], counts[counts > 0])
+        some = counts > 0
+        yield from chunk.rows(size, places[some], codes[some], counts[some])
 
 
 def scan(shard: DataFrame, singles: bool, known: Filter | None, longest: int) -> DataFrame:
-    """Counts of one shard's phrases: key, n."""
-    return each_chunk(shard, known, lambda chunk, bits: count_chunk(chunk, singles, bits, longest), COUNTED).groupBy("key").agg(F.sum("n").alias("n"))
+    """Counts of one shard's phrases: key, spot, n."""
+    return each_chunk(shard, known, lambda chunk, bits: count_chunk(chunk, singles, bits, longest), COUNTED).groupBy("key", "spot").agg(F.sum("n").alias("n"))
 
 
 def each_chunk(
@@ -179,19 +184,13 @@ def shrink_chunk(batch: pa.RecordBatch, known: Filter, size: int) -> Iterator[pa
     yield pa.record_batch([batch.column(0).take(pa.array(rows)), pc.binary_join(lists, ""), batch.column(2).take(pa.array(rows))], names=["lang", "text", "shard"])
 
 
-def read_filter(reached: DataFrame, oldest: int, phrases: int) -> Filter:
-    """The filter of the phrases ``reached`` (key, since); ``recent`` are those since step ``oldest``."""
-    power = min(max(6, (phrases * BITS_A_PHRASE).bit_length()), MOST_FILTER_BITS)
-
-    def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([pa.array(spots(key_codes(batch.column(0).to_pylist())) >> (SPOT_BITS - power)), batch.column(1)], names=["bit", "since"])
-
-    on_workers(reached.sparkSession)
-    one = F.expr("shiftleft(1L, CAST(bit & 63 AS int))")
+def read_filter(phrases: DataFrame, oldest: int, count: int) -> Filter:
+    """The filter of ``count`` ``phrases`` (spot, since); ``recent`` are those since step ``oldest``."""
+    power = min(max(6, (count * BITS_A_PHRASE).bit_length()), MOST_FILTER_BITS)
+    one = F.expr("shiftleft(1L, bit & 63)")
     # At most 2**20 rows, however many phrases there are.
     cells = (
-        reached.select("key", "since").mapInArrow(bits, "bit bigint, since int").groupBy(F.shiftright("bit", 6).alias("cell"))
+        phrases.select(F.shiftright("spot", SPOT_BITS - power).alias("bit"), "since").groupBy(F.shiftright("bit", 6).alias("cell"))
         .agg(F.bit_or(one).alias("reached"), F.bit_or(F.when(F.col("since") >= oldest, one).otherwise(F.lit(0).cast("long"))).alias("recent"))
         .toArrow()
     )
@@ -202,55 +201,59 @@ def read_filter(reached: DataFrame, oldest: int, phrases: int) -> Filter:
     return Filter(power, both[0], both[1])
 
 
-def key_codes(keys: list[str]) -> np.ndarray:
-    """The codes that chunks give to the phrases with these keys."""
-    found = np.empty(len(keys), "u8")
-    for n, key in enumerate(keys):
-        lang, _, phrase = key.rpartition("\t")
-        code = xxhash.xxh64_intdigest(lang)
-        for word in phrase.split(" "):
-            code = ((code ^ xxhash.xxh64_intdigest(word)) * int(MIX)) & 0xFFFFFFFFFFFFFFFF
-        found[n] = code
-    return found
-
-
 class Counting:
-    """The counts of all scans so far, in one folder a scan, heavy rows apart from light ones."""
+    """The counts of all scans so far, in one folder a scan; phrases that are heavy in a scan's shard once more in another."""
+
+    SCHEMA = "key string, spot int, n bigint, step int"
 
     def __init__(self, spark: SparkSession, least: int, shards: int):
         self.spark, self.least, self.shards = spark, least, shards
-        self.heavy_count = -(-least // shards)
-        self.root, self.steps, self.reached = fresh_path(spark, "phrase-counts"), 0, None
+        self.root, self.steps, self.reached, self.counts = fresh_path(spark, "phrase-counts"), 0, None, None
 
     def add(self, found: DataFrame) -> None:
-        heavy = found.withColumn("heavy", (F.col("n") >= self.heavy_count) | F.col("key").endswith("\t"))
-        heavy.write.partitionBy("heavy").parquet(f"{self.root}/step={self.steps}")
+        path = f"step={self.steps}"
+        found.write.parquet(f"{self.root}/all/{path}")
+        heavy = self.spark.read.schema("key string, spot int, n bigint").parquet(f"{self.root}/all/{path}")
+        heavy.where((F.col("n") >= -(-self.least // self.shards)) | F.col("key").endswith("\t")).write.parquet(f"{self.root}/heavy/{path}")
         self.steps += 1
 
-    def rows(self, heavy: bool) -> DataFrame:
-        rows = self.spark.read.schema("key string, n bigint, step int, heavy boolean").parquet(self.root)
-        return rows.where(F.col("heavy") == heavy).select("key", "n", (F.col("step") % self.shards).alias("shard"))
+    def rows(self, which: str) -> DataFrame:
+        rows = self.spark.read.schema(self.SCHEMA).parquet(f"{self.root}/{which}")
+        return rows.withColumn("shard", F.col("step") % self.shards).drop("step")
 
     @staticmethod
     def totals(rows: DataFrame) -> DataFrame:
         """Counts over all shards; scans of the same shard give the same count."""
-        once = rows.groupBy("key", "shard").agg(F.max("n").alias("n"))
-        return once.groupBy("key").agg(F.sum("n").alias("n"))
+        once = rows.groupBy("key", "spot", "shard").agg(F.max("n").alias("n"))
+        return once.groupBy("key", "spot").agg(F.sum("n").alias("n"))
 
     def exact(self) -> DataFrame:
-        """All phrases that are heavy somewhere, with their counts over all shards scanned."""
-        heavy = self.rows(True)
-        light = self.rows(False).join(heavy.select("key").distinct(), "key", "left_semi")
-        return self.totals(heavy.unionByName(light))
+        """Counts over all shards scanned: exact for phrases that are heavy somewhere, that is all that may have reached the
+        threshold. Rows that share no bit with such a phrase are left out before anything is shuffled."""
+        heavy = self.rows("heavy")
+        known = read_filter(heavy.select("spot", F.lit(0).alias("since")), 0, heavy.count())
+        handed = self.spark.sparkContext.broadcast(known)
+
+        def passing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(handed.value.has_spots(handed.value.reached, batch.column(1).to_numpy())))
+
+        on_workers(self.spark)
+        every = self.rows("all")
+        return self.totals(every.mapInArrow(passing, every.schema))
 
     def settle(self, final: bool) -> DataFrame:
         """``reached``: the phrases known to have reached the threshold, with the step that showed it."""
-        often = (self.exact() if final else self.totals(self.rows(True))).where((F.col("n") >= self.least) & ~F.col("key").endswith("\t"))
-        now = often.select("key", F.lit(self.steps - 1).alias("since"))
-        both = now if self.reached is None else now.unionByName(self.reached).groupBy("key").agg(F.min("since").alias("since"))
-        path = f"{self.root}-reached/{self.steps}"
+        totals = (self.exact() if final else self.totals(self.rows("heavy"))).where((F.col("n") >= self.least) | F.col("key").endswith("\t"))
+        if final:
+            path = f"{self.root}/exact/{self.steps}"
+            totals.write.parquet(path)
+            totals = self.counts = self.spark.read.schema(totals.schema).parquet(path)
+        now = totals.where(~F.col("key").endswith("\t")).select("key", "spot", F.lit(self.steps - 1).alias("since"))
+        both = now if self.reached is None else now.unionByName(self.reached).groupBy("key", "spot").agg(F.min("since").alias("since"))
+        path = f"{self.root}/reached/{self.steps}"
         both.write.parquet(path)
-        self.reached = self.spark.read.schema("key string, since int").parquet(path)
+        self.reached = self.spark.read.schema("key string, spot int, since int").parquet(path)
         return self.reached
 
 
@@ -262,6 +265,18 @@ def count_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONG
     each; other columns are left out; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    # Every scan writes what it finds, so the shuffle files of one scan need not be there in the next.
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return scan_cycles(docs, least, longest, shards)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def scan_cycles(docs: DataFrame, least: int, longest: int, shards: int) -> DataFrame:
+    """What ``count_phrases`` gives, scan by scan."""
+    spark = docs.sparkSession
     dealt = fresh_path(spark, "phrase-shards")
     shard = F.pmod(F.xxhash64("text", "lang"), F.lit(shards)).cast("int")
     docs.select("lang", "text", shard.alias("shard")).write.partitionBy("shard").parquet(f"{dealt}/0")
@@ -276,7 +291,7 @@ def count_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONG
         phrases, recent = extensible.agg(F.count("*"), F.count(F.when(F.col("since") >= step - shards, 1))).first()
         if ended and not recent:
             lang = F.expr("substring(key, 1, length(key) - length(substring_index(key, '\t', -1)) - 1)")
-            return counting.exact().where((size == 0) | (F.col("n") >= least)).select(lang.alias("lang"), size.cast("int").alias("size"), phrase.alias("phrase"), "n")
+            return counting.counts.select(lang.alias("lang"), size.cast("int").alias("size"), phrase.alias("phrase"), "n")
         known = read_filter(extensible, step - shards, phrases) if phrases else None
         cycle = step // shards
         if ended and 2 <= cycle < longest and known:

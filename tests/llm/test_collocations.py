@@ -107,18 +107,31 @@ def test_collocations(spark):
         assert sorted(map(tuple, got.collect())) == expected(rows, least, top)
 
 
+def phrase_codes(keys):
+    """The codes that chunks give to phrases, each from a text of its own."""
+    found = []
+    for key in keys:
+        lang, _, phrase = key.rpartition("\t")
+        everything = collocations.Filter(6, np.full(1, -1, "i8").view("u8"), np.full(1, -1, "i8").view("u8"))
+        chunk = collocations.Chunk(pa.record_batch([pa.array([lang]), pa.array([phrase])], names=["lang", "text"]))
+        size = len(phrase.split(" "))
+        lengths = {1: chunk.codes} | {n: codes for n, *_, codes in chunk.lengths(everything, 5)}
+        found.append(lengths[size][0])
+    return np.array(found, "u8")
+
+
 def test_filter_lets_all_phrases_pass():
-    codes = collocations.key_codes(["en\tone", "en\tone two", "fr\tone", "a\tb\tone two"])
+    codes = phrase_codes(["en\tone", "en\tone two", "fr\tone", "a\tb\tone two"])
     bits = np.zeros(1 << 14, "u8")
     for s in collocations.spots(codes) >> 10:
         bits[s >> 6] |= np.uint64(1 << int(s & 63))
     known = collocations.Filter(20, bits, bits)
-    assert known.has(bits, codes).all() and not known.has(bits, collocations.key_codes(["de\tone", "en\ttwo one"])).any()
+    assert known.has(bits, codes).all() and not known.has(bits, phrase_codes(["de\tone", "en\ttwo one"])).any()
 
 
 def test_shrunk_texts_keep_what_can_be_longer():
     kept = ["en\ta", "en\tb", "en\tc", "en\ta b", "en\tb c", "en\tc a"]
-    codes = collocations.key_codes(kept)
+    codes = phrase_codes(kept)
     bits = np.zeros(1 << 20, "u8")
     for s in collocations.spots(codes) >> 4:
         bits[s >> 6] |= np.uint64(1 << int(s & 63))
