@@ -349,7 +349,10 @@ def encode_batches(batches: Iterable[pa.RecordBatch], model: str, begin: bool =
 def decode_batches(batches: Iterable[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
     library = agenda(model).library
     for batch in batches:
-        texts = library.decode([ids or [] for ids in batch.column(1).to_pylist()], num_threads=1)
+        ids = batch.column(1)
+        flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
+        valid = ids.is_valid().to_pylist()
+        texts = library.decode([flat[a:b].tolist() if known else [] for a, b, known in zip(ends, ends[1:], valid)], num_threads=1)
         yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "agrees", "text"])
 
 
