@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,6 +17,12 @@ def rows_to_documents(df: DataFrame, source: str, key: str, n: int | None = None
     return rows.select(F.lit(source).alias("source"), F.col(key).alias("row_key"), F.to_json(F.struct(*df.columns)).alias("text"))
 
 
+def tables_to_documents(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """All rows of several result tables, each given with its key column, as documents."""
+    parts = [rows_to_documents(df, source, key).withColumn("row_key", F.col("row_key").cast("string")) for source, (df, key) in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from harborline import fixed_values as fixed
 from harborline.functions.columns import flag, lenient_date, total_of
+from harborline.session import stored
 
 
 def shipment_delay(shipments: DataFrame) -> DataFrame:
@@ -39,8 +40,8 @@ def supplier_performance(shipments: DataFrame) -> DataFrame:
     return supplier_status(totals.withColumn("reliability_score", share).withColumn("delay_rate", 100 - share))
 
 
-def supplier_features(shipments: DataFrame) -> DataFrame:
-    return shipments.groupBy("supplier_id").agg(
+def _feature_columns() -> list[Column]:
+    return [
         F.count("shipment_id").alias("total_shipments"),
         F.avg("delay_days").alias("avg_delay_days"),
         F.max("delay_days").alias("max_delay_days"),
@@ -48,7 +49,11 @@ def supplier_features(shipments: DataFrame) -> DataFrame:
         F.avg("defective_units").alias("avg_defect_units"),
         F.sum("total_cost").alias("total_spend"),
         F.avg("total_cost").alias("avg_order_value"),
-    )
+    ]
+
+
+def supplier_features(shipments: DataFrame) -> DataFrame:
+    return shipments.groupBy("supplier_id").agg(*_feature_columns())
 
 
 def supplier_recent(shipments: DataFrame, date: str = "order_date", days: int = 90) -> DataFrame:
@@ -58,9 +63,14 @@ def supplier_recent(shipments: DataFrame, date: str = "order_date", days: int =
     return recent.agg(F.avg(F.col("on_time").cast("int")).alias(f"recent_{days}d_on_time_rate"))
 
 
-def supplier_feature_table(shipments: DataFrame, date: str = "order_date") -> DataFrame:
-    """All supplier features with the recent on-time rate, score and tier."""
-    return supplier_risk_score(supplier_features(shipments).join(supplier_recent(shipments, date), "supplier_id", "left"))
+def supplier_feature_table(shipments: DataFrame, date: str = "order_date", days: int = 90) -> DataFrame:
+    """All supplier features with the recent on-time rate, score and tier.
+
+    The shipments are aggregated once; the result, one row per supplier, is stored, as the score reads it for its maxima too.
+    """
+    recent = F.col(date) >= F.date_sub(total_of(shipments, F.max(date)), days)
+    rate = F.avg(F.when(recent, F.col("on_time").cast("int"))).alias(f"recent_{days}d_on_time_rate")
+    return supplier_risk_score(stored(shipments.groupBy("supplier_id").agg(*_feature_columns(), rate), "supplier-features"))
 
 
 def supplier_risk_score(features: DataFrame, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:

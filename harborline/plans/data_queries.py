@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from harborline import fixed_values as fixed
-from harborline.operators import demand, modeling, quality, retrieval, sampling, scenario, sellers, stats
+from harborline.operators import demand, inventory, modeling, quality, retrieval, sampling, scenario, sellers, stats
 from harborline.plans.registry import add
 from harborline.plans.tables import Tables
 from harborline.session import fresh_path
@@ -468,6 +468,31 @@ add(
 )
 
 
+# The result tables that questions are asked about, with the columns that go into a document.
+DOCUMENTS = {
+    "health": ("d_health", "product_id current_stock reorder_quantity health_status health_score"),
+    "reorder": ("d_reorder", "product_id warehouse_id reorder_quantity stockout_risk alert_message"),
+    "suppliers": ("d_performance", "supplier_id total_shipments on_time_shipments supplier_status"),
+    "warehouses": ("d_warehouses", "warehouse_id warehouse_location status"),
+    "forecast": ("d_forecast", "product_id warehouse_id current_stock"),
+}
+
+
+def _all_documents(t: Tables) -> DataFrame:
+    results = {"health": inventory.health_score(t.stored_reorder), "reorder": t.stored_reorder, "suppliers": t.performance, "warehouses": t.warehouses, "forecast": t.stored_forecast}
+    return retrieval.tables_to_documents({n: (results[n].select(*cols.split()), cols.split()[0]) for n, (_, cols) in DOCUMENTS.items()})
+
+
+add(
+    "rows_to_documents_all",
+    _all_documents,
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS source, {cols.split()[0]} AS row_key, CAST(json_object(" + ", ".join(f"'{c}', {c}" for c in cols.split()) + f") AS VARCHAR) AS text FROM {{{view}}}"
+        for n, (view, cols) in DOCUMENTS.items()
+    ),
+)
+
+
 def _label_examples(t: Tables) -> DataFrame:
     """One question per label: its first vector."""
     return t["embeddings"].groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).select(F.col("label").alias("query_id"), "embedding")

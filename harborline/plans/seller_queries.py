@@ -105,16 +105,16 @@ add(
 )
 WINDOW = "rolling_30d_otd_rate rolling_30d_avg_review high_complaint_rate_30d revenue_at_risk_30d cancellation_rate_30d"
 add("seller_window_aggs", lambda t: sellers.seller_window_aggs(t.weeks), "SELECT * FROM {d_window_aggs}", WINDOW)
-add("seller_tenure", lambda t: sellers.seller_tenure(t.master, t.weeks.select(*SELLER_KEYS).distinct()), "SELECT * FROM {d_tenure}")
+add("seller_tenure", lambda t: sellers.seller_tenure(t.stored_master, t.weeks.select(*SELLER_KEYS).distinct()), "SELECT * FROM {d_tenure}")
 add("seller_dispatch_p50_7d", lambda t: sellers.seller_dispatch_p50(t.weeks), "SELECT * FROM {d_p50}", "dispatch_time_p50_7d")
 add("seller_active_weeks", lambda t: sellers.seller_active_weeks(t.weeks), "SELECT * FROM {d_active_weeks}")
 add("active_sellers", lambda t: sellers.active_sellers(t.master, t.dates), "SELECT * FROM {d_active}")
 add(
     "anti_survivors",
-    lambda t: sellers.anti_survivors(sellers.active_sellers(t.master, t.dates), sellers.future_sellers(t.master, t.dates)),
+    lambda t: sellers.anti_survivors(sellers.active_sellers(t.stored_master, t.dates), sellers.future_sellers(t.stored_master, t.dates)),
     "SELECT seller_id, observation_date FROM {d_active} EXCEPT SELECT seller_id, observation_date FROM {d_future}",
 )
-add("churn_labels", lambda t: sellers.churn_labels(t.master, t.dates), "SELECT * FROM {d_labels}")
+add("churn_labels", lambda t: sellers.churn_labels(t.stored_master, t.dates), "SELECT * FROM {d_labels}")
 add(
     "weekly_fill",
     lambda t: sellers.weekly_fill(sellers.weekly_dispatch(t.weeks), True, 0.0),
@@ -211,11 +211,14 @@ add(
     "SELECT feature, avg(abs(contribution)) AS importance FROM {d_contributions} GROUP BY 1",
     "importance",
 )
+# Numbers of the sentences are told apart from their words: two engines may round a last digit differently.
+NUMBER = r"-?\d+\.\d\d"
 add(
     "attribution_explain",
-    lambda t: modeling.attribution_explain(t.contributions, SELLER_KEYS).drop("text"),
-    """SELECT seller_id, observation_date, rank, feature, CASE WHEN contribution > 0 THEN 'INCREASES' ELSE 'DECREASES' END AS direction, abs(contribution) AS amount FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY seller_id, observation_date ORDER BY abs(contribution) DESC, feature) AS INT) AS rank FROM {d_contributions}) WHERE rank <= 5""",
+    lambda t: modeling.attribution_explain(t.contributions, SELLER_KEYS).withColumn("text", F.regexp_replace("text", NUMBER, "#")),
+    """SELECT *, feature || ' = # -> ' || direction || ' by #' AS text FROM (
+  SELECT seller_id, observation_date, rank, feature, CASE WHEN contribution > 0 THEN 'INCREASES' ELSE 'DECREASES' END AS direction, abs(contribution) AS amount FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY seller_id, observation_date ORDER BY abs(contribution) DESC, feature) AS INT) AS rank FROM {d_contributions}) WHERE rank <= 5)""",
     "amount",
 )
 add(

@@ -304,20 +304,22 @@ add(
 )
 add(
     "global_risk_summary",
-    lambda t: reports.global_risk_summary(t.spark, t.health, t.performance, t.warehouses, t.cost),
+    lambda t: reports.global_risk_summary(
+        t.spark, inventory.health_score(t.stored_reorder), t.performance, t.warehouses, inventory.cost_impact(t.stored_forecast)
+    ),
     """SELECT (SELECT count(*) FROM {d_health} WHERE health_status = 'CRITICAL') AS critical_products, (SELECT count(*) FROM {d_performance} WHERE supplier_status = 'CRITICAL') AS unreliable_suppliers,
   (SELECT count(*) FROM {d_warehouses} WHERE status = 'HIGH') AS overloaded_warehouses, (SELECT count(*) FROM {d_cost} WHERE total_cost_impact > 500) AS high_cost_products""",
 )
 add(
     "kpi_summary",
-    lambda t: reports.kpi_summary(t.forecast, t.reorder),
+    lambda t: reports.kpi_summary(t.stored_forecast, t.stored_reorder),
     """SELECT count(DISTINCT product_id) AS total_products, (SELECT count(DISTINCT product_id) FROM {d_reorder} WHERE stockout_risk) AS at_risk,
   avg(inventory_days) AS avg_inventory_days, (SELECT sum(reorder_quantity) FROM {d_reorder}) AS total_reorder_qty FROM {d_forecast}""",
     "avg_inventory_days total_reorder_qty",
 )
 add(
     "executive_summary",
-    lambda t: reports.executive_summary(t.health, t.cost),
+    lambda t: reports.executive_summary(inventory.health_score(t.stored_reorder), inventory.cost_impact(t.stored_forecast)),
     """SELECT count(*) AS total_products, count(*) FILTER (WHERE health_status = 'CRITICAL') AS critical, count(*) FILTER (WHERE health_status = 'WARNING') AS warning,
   avg(health_score) AS avg_health_score, (SELECT sum(total_cost_impact) FROM {d_cost}) AS total_exposure FROM {d_health}""",
     "avg_health_score total_exposure", 4,

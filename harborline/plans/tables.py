@@ -99,6 +99,15 @@ class Tables:
     def reorder(self) -> DataFrame:
         return inventory.reorder_plan(self.forecast, self.shipments, self.suppliers)
 
+    @cached_property
+    def stored_forecast(self) -> DataFrame:
+        """The forecast as a table, for summaries that read several results made from it."""
+        return stored(self.forecast, "forecast")
+
+    @cached_property
+    def stored_reorder(self) -> DataFrame:
+        return stored(inventory.reorder_plan(self.stored_forecast, self.shipments, self.suppliers), "reorder")
+
     @cached_property
     def health(self) -> DataFrame:
         return inventory.health_score(self.reorder)
