@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from harborline.llm.common import on_workers
 from harborline.llm.tokens import encoder, vocabulary_path
+from harborline.llm.words import by_bytes, with_ends
 
 END_ID = 1
 ROW_GROUP = 1_000
 STRIPE_BYTES = 32 << 20
-# Ids per Arrow batch that a task hands on.
-BATCH_IDS = 2_000_000
+# Bytes of text that a task encodes and hands on together.
+CHUNK_BYTES = 4 << 20
 
 FILE_SCHEMA = "doc_id bigint, first_id bigint, n_tokens bigint, ids array<int>"
 
@@ -36,29 +37,15 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
     on_workers(docs.sparkSession)
     vocabulary = vocabulary or vocabulary_path()
 
-    def batches(found: list[tuple[int | None, int, bytes]]) -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(f[2] for f in found), "<i4")
-        sizes = np.array([len(f[2]) // 4 for f in found], "i8")
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype("i4")
-        return pa.record_batch(
-            [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array(sizes),
-             pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))],
-            names=["doc_id", "first_id", "n_tokens", "ids"],
-        )
-
     def encode(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end, before, found, held = encoder(vocabulary), np.array([end_id], "<u4").tobytes(), 0, [], 0
-        for batch in rows:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.encode(text.as_py()) + end
-                found.append((doc_id, before, ids))
-                before += len(ids) // 4
-                held += len(ids) // 4
-                if held >= BATCH_IDS:
-                    yield batches(found)
-                    found, held = [], 0
-        if found:
-            yield batches(found)
+        words, before = encoder(vocabulary), 0
+        for batch in by_bytes(rows, 1, CHUNK_BYTES):
+            ids, ends = with_ends(*words.encode_all(batch.column(1).fill_null("")), [], [end_id])
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(ids))
+            yield pa.record_batch(
+                [batch.column(0).cast(pa.int64()), pa.array(before + ends[:-1]), pa.array(np.diff(ends)), lists], names=["doc_id", "first_id", "n_tokens", "ids"]
+            )
+            before += int(ends[-1])
 
     # The texts are ranged before they are encoded: ranging looks at its input twice.
     ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -21,9 +21,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from harborline.llm.common import on_workers
 from harborline.llm.tokens import encoder, vocabulary_path
+from harborline.llm.words import by_bytes, with_ends
 from harborline.session import stored
 
 CAPACITY = 2048
+# Bytes of text that a task encodes together.
+CHUNK_BYTES = 4 << 20
 END_ID = 0
 # Groups into which the pieces of one length are dealt for ranking, so that a frequent length is no single task.
 RANK_BLOCKS = 1024
@@ -40,17 +43,21 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     vocabulary = vocabulary or vocabulary_path()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end, step = encoder(vocabulary), np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.encode(text.as_py()) + end
-                rows += [
-                    (doc_id, at // step, at // 4, min(step, len(ids) - at) // 4, zlib.crc32(ids[at:at + step])) for at in range(0, len(ids), step)
-                ]
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        words = encoder(vocabulary)
+        for batch in by_bytes(batches, 1, CHUNK_BYTES):
+            ids, ends = with_ends(*words.encode_all(batch.column(1).fill_null("")), [], [end_id])
+            size = np.diff(ends)
+            count = -(-size // capacity)
+            row = np.repeat(np.arange(len(size)), count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            start = piece * capacity
+            length = np.minimum(capacity, size[row] - start)
+            data, at = memoryview(ids.tobytes()), 4 * (ends[row] + start)
+            crcs = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+            yield pa.record_batch(
+                [batch.column(0).cast(pa.int64()).take(pa.array(row)), pa.array(piece.astype("i4")), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECE_SCHEMA)
 

@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from harborline.llm.common import on_workers
-from harborline.llm.words import by_bytes
+from harborline.llm.words import by_bytes, spread, with_ends
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -185,13 +185,8 @@ class Agenda:
         fresh = list(set(distinct).difference(self.seen))
         self.seen.update(zip(fresh, self.merge_all(fresh)))
         self.held += sum(map(len, fresh))
-        ids = [self.seen[s] for s in distinct]
-        size = np.fromiter(map(len, ids), "i8", len(ids)) // 4
-        start = np.concatenate([[0], np.cumsum(size)])
-        upto = np.concatenate([[0], np.cumsum(size[code])])
-        # The ids of each segment from where those of its form are.
-        places = np.arange(upto[-1]) + np.repeat(start[code] - upto[:-1], size[code])
-        return np.frombuffer(b"".join(ids), "<i4")[places], upto[ends]
+        ids, upto = spread([self.seen[s] for s in distinct], code)
+        return ids, upto[ends]
 
     def ids_of(self, symbols: list[str]) -> bytes:
         ids = []
@@ -368,15 +363,6 @@ def hash_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def with_ends(ids: np.ndarray, ends: np.ndarray, head: list[int], tail: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The same lists of ids with ``head`` before and ``tail`` after each."""
-    both, rows = np.array([*tail, *head], "i4"), len(ends) - 1
-    between = np.repeat(ends[1:-1], len(both))
-    middle = np.insert(ids, between, np.tile(both, max(rows - 1, 0)))
-    more = np.arange(rows + 1) * len(both)
-    return np.concatenate([head if rows else [], middle, tail if rows else []]).astype("i4"), ends + more
-
-
 def same_lists(ids: np.ndarray, ends: np.ndarray, lists: list[list[int]]) -> list[bool]:
     data = ids.tobytes()
     return [data[4 * a:4 * b] == array("i", theirs).tobytes() for a, b, theirs in zip(ends.tolist(), ends[1:].tolist(), lists)]

@@ -7,8 +7,12 @@ from functools import cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer, pre_tokenizers
 
+from harborline.llm.words import byte_table, cut_words, spread
+
+BLANKS = byte_table(blanks=b" \n", breaks=b"")
 VOCABULARY = "word_bpe_49k.json"
 # Forms and lower-case letter runs that one Python worker remembers, and the longest; none changes a result.
 MEMORY_FORMS = 250_000
@@ -79,6 +83,12 @@ class WordEncoder(dict):
             return b""
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
+    def encode_all(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls), one after the other, and where each text's begin and end. Each distinct word is looked up once."""
+        code, forms, row, _ = cut_words(texts, BLANKS)
+        ids, upto = spread([self[word] for word in forms.to_pylist()], code)
+        return ids, upto[np.searchsorted(row, np.arange(len(texts) + 1))]
+
 
 @cache
 def encoder(path: str) -> WordEncoder:

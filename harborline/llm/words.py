@@ -64,6 +64,8 @@ def by_bytes(batches: Iterable[pa.RecordBatch], text: int, size: int) -> Iterato
     """The same rows in batches of about ``size`` bytes of text (one row at least)."""
     held, waiting = 0, []
     for batch in batches:
+        if not batch.num_rows:
+            continue
         lengths = np.diff(np.frombuffer(batch.column(text).buffers()[1], "i4")[batch.column(text).offset:][:batch.num_rows + 1]).astype("i8")
         upto, first = np.cumsum(lengths), 0
         while first < batch.num_rows:
@@ -81,3 +83,21 @@ def by_bytes(batches: Iterable[pa.RecordBatch], text: int, size: int) -> Iterato
 
 def together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.record_batch([pa.concat_arrays([b.column(n) for b in batches]) for n in range(batches[0].num_columns)], names=batches[0].schema.names)
+
+
+def spread(parts: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids (four bytes each) of ``parts[code[0]]``, ``parts[code[1]]``, ... one after the other, and where each begins and ends."""
+    size = np.fromiter(map(len, parts), "i8", len(parts)) // 4
+    start = np.concatenate([[0], np.cumsum(size)])
+    upto = np.concatenate([[0], np.cumsum(size[code])])
+    places = np.arange(upto[-1]) + np.repeat(start[code] - upto[:-1], size[code])
+    return np.frombuffer(b"".join(parts), "<i4")[places], upto
+
+
+def with_ends(ids: np.ndarray, ends: np.ndarray, head: list[int], tail: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The same lists of ids (list n from ``ends[n]`` to ``ends[n + 1]``) with ``head`` before and ``tail`` after each."""
+    both, rows = np.array([*tail, *head], "i4"), len(ends) - 1
+    between = np.repeat(ends[1:-1], len(both))
+    middle = np.insert(ids, between, np.tile(both, max(rows - 1, 0)))
+    more = np.arange(rows + 1) * len(both)
+    return np.concatenate([head if rows else [], middle, tail if rows else []]).astype("i4"), ends + more

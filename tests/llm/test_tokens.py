@@ -4,6 +4,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -26,6 +27,13 @@ def test_words_encode_like_whole_texts(text):
     assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ENCODER.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("aAéÉ ,.'!\nſİΣ<|>0９\t", max_size=20), min_size=1, max_size=8))
+def test_texts_encode_together_as_one_by_one(texts):
+    ids, ends = ENCODER.encode_all(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [ENCODER.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_forgetting_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(tokens, "MEMORY_FORMS", 2)
     monkeypatch.setattr(tokens, "MEMORY_RUNS", 2)
