@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from harborline.operators.ordering import running_totals
 from harborline.operators.reports import churn_risk_tier
-from harborline.session import stored
+from harborline.session import stored, with_checkpoints
 
 FOLD_ORDER = ["observation_date", "seller_id"]
 # Rows of one partition of the table that the trials of a search go over.
 TRIAL_ROWS = 250_000
+# Trees after which boosting writes its rows down: every tree adds to their lineage.
+TREES_A_CHECKPOINT = 50
 
 
 # Folds.
@@ -108,11 +110,11 @@ def search_regression(
     of few large partitions, as every level of every tree is a job over it; ``parallelism`` trials (default: one for each
     core) go over it at the same time.
     """
+    with_checkpoints(train.sparkSession)
     vectors = Pipeline(stages=[filled(features), assembled(features, "features")]).fit(train)
     table = stored(vectors.transform(train).select("features", F.col(target).cast("double").alias(target)), "search")
     table = table.coalesce(-(-table.count() // TRIAL_ROWS) or 1)
-    # Trees are kept whole in memory; without checkpoints the trials write nothing between two of them.
-    booster = GBTRegressor(featuresCol="features", labelCol=target, seed=seed, checkpointInterval=-1)
+    booster = GBTRegressor(featuresCol="features", labelCol=target, seed=seed, checkpointInterval=TREES_A_CHECKPOINT)
     search = TrainValidationSplit(
         estimator=booster, estimatorParamMaps=drawn_trials(booster, trials, trees, depths, rates, shares, seed),
         evaluator=RegressionEvaluator(labelCol=target, metricName="rmse"), trainRatio=0.8, seed=seed,
@@ -150,10 +152,11 @@ def fit_boosted_churn(
     """
     weighted = train.withColumn("_weight", F.when(F.col(label) == 1, class_weight(train, label).scalar()).otherwise(1.0))
     judged = fold_blocks(weighted, order, blocks).withColumn("_judges", F.col("fold_block") == blocks).withColumn(label, F.col(label).cast("double"))
+    with_checkpoints(train.sparkSession)
     rows = stored(judged.drop("fold_block"), "boosting")
     booster = GBTClassifier(
         featuresCol="features", labelCol=label, weightCol="_weight", validationIndicatorCol="_judges", validationTol=least_gain,
-        maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, seed=seed, checkpointInterval=-1,
+        maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, seed=seed, checkpointInterval=TREES_A_CHECKPOINT,
     )
     return Pipeline(stages=[filled(features), assembled(features, "features"), booster]).fit(rows.coalesce(-(-rows.count() // TRIAL_ROWS) or 1))
 

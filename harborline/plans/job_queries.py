@@ -180,10 +180,8 @@ add(
 )
 add(
     "job_feature_tables",
-    lambda t: jobs.job_feature_tables(t.stored_sales, t.inventory, t.deliveries)["inventory"].select(
-        "product_id", "avg_demand_30d", "demand_std", "days_of_stock", "stockout_risk", "overstock_ratio", "annual_holding_cost"
-    ),
-    "SELECT product_id, avg_demand_30d, demand_std, days_of_stock, stockout_risk, overstock_ratio, annual_holding_cost FROM {d_stock_risk}",
+    lambda t: jobs.job_feature_tables(t.stored_sales, t.inventory, t.deliveries)["inventory"],
+    "SELECT * FROM {d_stock_risk}",
     "avg_demand_30d demand_std days_of_stock stockout_risk overstock_ratio annual_holding_cost", 4,
 )
 

@@ -66,10 +66,15 @@ def durable(df: DataFrame) -> DataFrame:
     Needed where a plan reads one result twice and both reads must see the very same rows in the very
     same partitions (range partitioning samples, so a second run may cut elsewhere).
     """
-    spark = df.sparkSession
+    with_checkpoints(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def with_checkpoints(spark: SparkSession) -> SparkSession:
+    """The session with a folder for checkpoints, which iterative fits cut their lineage with."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    return spark
 
 
 def stored(df: DataFrame, name: str, *order: str) -> DataFrame:
