@@ -38,6 +38,8 @@ NO_LANG = "und"
 BITS_A_PHRASE = 16
 MOST_FILTER_BITS = 26
 SPOT_BITS = 30
+# Languages up to which their word counts are handed to every task.
+MOST_LANGS = 100_000
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Bytes of text that are counted together, and rows handed on together.
 CHUNK_BYTES = 8 << 20
@@ -327,6 +329,9 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, top: int = TOP) -> D
     cuts = phrases.join(longer, held, "left_anti").select("lang", "phrase", "a", "size", F.explode(F.expr("sequence(1, size - 1)")).alias("cut"))
     cuts = cuts.withColumn("left", F.expr(words_of("phrase", "1", "cut"))).withColumn("right", F.expr(words_of("phrase", "cut + 1", "size - cut")))
     sizes = counts.where("size = 0").select("lang", "n")
+    # One row for each language: few enough for every task, so candidates need not be shuffled by language to meet them.
+    if sizes.count() <= MOST_LANGS:
+        sizes = F.broadcast(sizes)
     lefts = counts.where("size > 0").select("lang", F.col("phrase").alias("left"), F.col("n").alias("l"))
     rights = counts.where("size > 0").select("lang", F.col("phrase").alias("right"), F.col("n").alias("r"))
     # Counts have at most 16 digits, so 38 digits hold each product.
