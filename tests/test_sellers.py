@@ -122,3 +122,28 @@ def test_range_join_equals_brute_force(spark):
                 if lo <= ts and (ts <= hi if closed else ts < hi):
                     want.add((i, d))
         assert got == want
+
+
+def test_dataset_leaves_sellers_together(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = sellers.seller_dataset(t.seller_rows, t.dates)._jdf.queryExecution().executedPlan().toString()
+    # No row is shuffled by seller and date, and neither medians nor categories are collected for a group.
+    assert "hashpartitioning(seller_id" in plan and "ObjectHashAggregate" not in plan
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(seller_id" in line and "observation_date" in line]
+
+
+def test_sellers_with_very_many_rows_get_the_same_figures(spark, table, dates, monkeypatch):
+    rows = [row("hot", d * 0.25, dispatch=d % 7 - 1.0, category="abc"[d % 3], review=d % 5 + 1.0) for d in range(-40, 230)]
+    rows += [row("few", d, category=None, dispatch=d / 4) for d in (50, 33, 31, 30, 6, 5, 1)] + [row(None, 3)]
+    master, days = table(MASTER, *rows), [T, T - timedelta(days=31)]
+    dates = sellers.observation_dates_on(spark, *days)
+    usual = sorted(sellers.seller_dataset(master, dates).collect())
+    slopes = sorted(sellers.trend_slopes(master, dates).collect(), key=repr)
+    monkeypatch.setattr("harborline.functions.quantiles.FEW_ROWS", 100)
+    assert len(sellers.hot_sellers(master).collect()) == 1
+    apart = sorted(sellers.seller_dataset(master, dates).collect())
+    assert len(usual) == 4 and [r[:4] for r in usual] == [r[:4] for r in apart]
+    assert all(tuple(a)[4:] == pytest.approx(tuple(b)[4:]) for a, b in zip(usual, apart))
+    assert all(tuple(a)[2:] == pytest.approx(tuple(b)[2:]) for a, b in zip(slopes, sorted(sellers.trend_slopes(master, dates).collect(), key=repr)))
+    few = next(r for r in usual if r.seller_id == "few" and r.observation_date == T)
+    assert (few.dispatch_time_p50_7d, few.product_category_diversity) == (1.25, 0)
