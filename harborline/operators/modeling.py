@@ -13,10 +13,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import TrainValidationSplit
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from harborline.operators.ordering import running_totals
-from harborline.operators.reports import churn_risk_tier
+from harborline.operators.reports import by_record, churn_risk_tier
 from harborline.session import stored, with_checkpoints
 
 FOLD_ORDER = ["observation_date", "seller_id"]
@@ -249,20 +249,25 @@ def average_precision(df: DataFrame, label: str, p: str) -> DataFrame:
 
 # Attribution of a linear model.
 
-def feature_attribution(df: DataFrame, keys: list[str], weights: dict[str, float]) -> DataFrame:
-    """What each feature adds to a row's score compared with a row of mean values: weight * (value - mean).
+def attributed(df: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Add ``contributions``: what each feature adds to the row's score compared with a row of mean values, weight * (value - mean).
 
-    ``df`` is read twice, once for the means.
+    ``df`` is read twice, once for the means. The few features of a row stay in the row, so ranking them needs no shuffle.
     """
     means = df.agg(F.struct(*[F.avg(f).alias(f) for f in weights]).alias("m")).scalar()
-    rows = [
+    parts = [
         F.struct(
             F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
             (w * (F.col(f) - F.col("_means")[f])).alias("contribution"),
         )
         for f, w in weights.items()
     ]
-    return df.withColumn("_means", means).select(*keys, F.inline(F.array(*rows)))
+    return df.withColumn("_means", means).withColumn("contributions", F.array(*parts)).drop("_means")
+
+
+def feature_attribution(df: DataFrame, keys: list[str], weights: dict[str, float]) -> DataFrame:
+    """The contributions of ``attributed`` as rows of their own."""
+    return attributed(df, weights).select(*keys, F.inline("contributions"))
 
 
 def attribution_importance(contributions: DataFrame) -> DataFrame:
@@ -270,9 +275,14 @@ def attribution_importance(contributions: DataFrame) -> DataFrame:
 
 
 def attribution_explain(contributions: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
-    """The ``k`` features that move each row most, as sentences. A row has few features, so its window is small."""
+    """The ``k`` features that move each row most, as sentences, from rows that are ``attributed`` or from rows of contributions."""
+    ranked = F.transform("contributions", lambda c: F.struct(
+        F.abs(c["contribution"]).isNull().alias("n"), (~F.isnan(c["contribution"])).alias("o"), (-F.abs(c["contribution"])).alias("s"),
+        c["feature"].alias("feature"), c["value"].alias("value"), c["contribution"].alias("contribution"),
+    ))
+    first = by_record(contributions, keys).select(*keys, F.posexplode(F.slice(F.sort_array(ranked), 1, k)).alias("_pos", "_c"))
+    rows = first.select(*keys, (F.col("_pos") + 1).alias("rank"), "_c.feature", "_c.value", "_c.contribution")
     size = F.abs("contribution")
-    w = Window.partitionBy(*keys).orderBy(F.desc(size), "feature")
     direction = F.when(F.col("contribution") > 0, "INCREASES").otherwise("DECREASES")
 
     def two_digits(c: Column) -> Column:
@@ -281,6 +291,4 @@ def attribution_explain(contributions: DataFrame, keys: list[str], k: int = 5) -
     text = F.concat(
         F.col("feature"), F.lit(" = "), two_digits(F.col("value")), F.lit(" -> "), direction, F.lit(" by "), two_digits(size)
     )
-    return contributions.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
-        *keys, "rank", "feature", direction.alias("direction"), size.alias("amount"), text.alias("text")
-    )
+    return rows.select(*keys, "rank", "feature", direction.alias("direction"), size.alias("amount"), text.alias("text"))

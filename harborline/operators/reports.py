@@ -189,22 +189,33 @@ def critical_impact(scored: DataFrame) -> DataFrame:
     )
 
 
+def by_record(contributions: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per record with its ``contributions`` as an array; rows that have it stay as they are, unshuffled."""
+    if "contributions" in contributions.columns:
+        return contributions
+    return contributions.groupBy(*keys).agg(F.collect_list(F.struct("feature", "value", "contribution")).alias("contributions"))
+
+
 def top_drivers(contributions: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
     """Per record the ``k`` features that push its risk up most, largest first, as an array of structs.
 
-    A record has one row per model feature, so its array is short.
+    A record has one contribution per model feature, so its array is short. Attributed records keep their other columns.
     """
-    ranked = F.struct(
-        (-F.col("contribution")).alias("o"), F.col("feature").alias("feature"), F.col("value").alias("value"),
-        F.col("contribution").alias("shap_impact"),
+    rising = F.transform(F.filter("contributions", lambda c: c["contribution"] > 0), lambda c: F.struct(
+        (-c["contribution"]).alias("o"), c["feature"].alias("feature"), c["value"].alias("value"), c["contribution"].alias("shap_impact"),
+    ))
+    picked = F.transform(
+        F.slice(F.sort_array(rising), 1, k),
+        lambda d: F.struct(d["feature"].alias("feature"), d["value"].alias("value"), d["shap_impact"].alias("shap_impact")),
     )
-    collected = contributions.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("contribution") > 0, ranked))).alias("_all"))
-    picked = F.transform(F.slice("_all", 1, k), lambda d: F.struct(d["feature"].alias("feature"), d["value"].alias("value"), d["shap_impact"].alias("shap_impact")))
-    return collected.select(*keys, picked.alias("top_drivers"))
+    return by_record(contributions, keys).withColumn("top_drivers", picked).drop("contributions")
 
 
-def seller_risk_profiles(scored: DataFrame, drivers: DataFrame) -> DataFrame:
-    """The nested record of a scored seller: key figures, metrics and drivers."""
+def seller_risk_profiles(scored: DataFrame, drivers: DataFrame | None = None) -> DataFrame:
+    """The nested record of a scored seller: key figures, metrics and drivers.
+
+    Without ``drivers`` the scored rows carry their own ``top_drivers``, and nothing is joined.
+    """
     keys = ["seller_id", "observation_date"]
     metrics = F.struct(
         F.col("orders_30d").cast("double").alias("orders_30d"),
@@ -212,7 +223,7 @@ def seller_risk_profiles(scored: DataFrame, drivers: DataFrame) -> DataFrame:
         F.col("rolling_30d_avg_review").alias("review_score"),
         F.col("dispatch_delay_slope").alias("dispatch_delay_slope"),
     )
-    return scored.join(drivers, keys, "left").select(
+    return (scored if drivers is None else scored.join(drivers, keys, "left")).select(
         *keys, "seller_state", "churn_probability", "risk_tier",
         F.col("revenue_at_risk_30d").alias("revenue_at_risk"),
         (F.col("churned") == 1).alias("actual_churn"),

@@ -72,14 +72,15 @@ def job_seller_scoring(train: DataFrame, test: DataFrame, iterations: int = 100)
     features = fixed.SELLER_FEATURES
     model = modeling.fit_churn(train, features, iterations=iterations)
     scored = stored(modeling.score_sellers(model, test), "scored")
-    contributions = modeling.feature_attribution(scored, SELLER_KEYS, modeling.churn_weights(model, features))
-    drivers = reports.top_drivers(contributions, SELLER_KEYS)
+    weights = modeling.churn_weights(model, features)
+    contributions = modeling.feature_attribution(scored, SELLER_KEYS, weights)
+    drivers = reports.top_drivers(modeling.attributed(scored, weights), SELLER_KEYS)
     return {
         "scored": scored,
         "metrics": modeling.classification_metrics(scored, "churned", "churn_probability"),
         "average_precision": modeling.average_precision(scored, "churned", "churn_probability"),
         "importance": modeling.attribution_importance(contributions),
-        "profiles": reports.seller_risk_profiles(scored, drivers),
+        "profiles": reports.seller_risk_profiles(drivers),
     }
 
 

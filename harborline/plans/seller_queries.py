@@ -215,7 +215,7 @@ add(
 NUMBER = r"-?\d+\.\d\d"
 add(
     "attribution_explain",
-    lambda t: modeling.attribution_explain(t.contributions, SELLER_KEYS).withColumn("text", F.regexp_replace("text", NUMBER, "#")),
+    lambda t: modeling.attribution_explain(t.attributed, SELLER_KEYS).withColumn("text", F.regexp_replace("text", NUMBER, "#")),
     """SELECT *, feature || ' = # -> ' || direction || ' by #' AS text FROM (
   SELECT seller_id, observation_date, rank, feature, CASE WHEN contribution > 0 THEN 'INCREASES' ELSE 'DECREASES' END AS direction, abs(contribution) AS amount FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY seller_id, observation_date ORDER BY abs(contribution) DESC, feature) AS INT) AS rank FROM {d_contributions}) WHERE rank <= 5)""",
@@ -223,7 +223,7 @@ add(
 )
 add(
     "top_drivers",
-    lambda t: reports.top_drivers(t.contributions, SELLER_KEYS).select(
+    lambda t: reports.top_drivers(t.attributed, SELLER_KEYS).select(
         *SELLER_KEYS, F.posexplode_outer("top_drivers").alias("place", "d")
     ).select(*SELLER_KEYS, "place", "d.feature", "d.value", "d.shap_impact"),
     """SELECT k.seller_id, k.observation_date, CAST(d.rank - 1 AS INT) AS place, d.feature, d.value, d.contribution AS shap_impact FROM (SELECT DISTINCT seller_id, observation_date FROM {d_contributions}) k

@@ -173,9 +173,14 @@ class Tables:
     def contributions(self) -> DataFrame:
         return modeling.feature_attribution(self.stored_dataset, SELLER_KEYS, CHURN_WEIGHTS)
 
+    @cached_property
+    def attributed(self) -> DataFrame:
+        """The dataset with the contributions of every row in the row, for what ranks them."""
+        return modeling.attributed(self.stored_dataset, CHURN_WEIGHTS)
+
     @cached_property
     def profiles(self) -> DataFrame:
-        return reports.seller_risk_profiles(self.scored, reports.top_drivers(self.contributions, SELLER_KEYS))
+        return reports.seller_risk_profiles(reports.top_drivers(modeling.attributed(self.scored, CHURN_WEIGHTS), SELLER_KEYS))
 
     # A forecast to be judged: the mean of the last seven rows as the prediction.
 

@@ -199,3 +199,20 @@ def test_latest_of_rows_that_share_a_date(table):
     for order in ("region", "-roll_30_mean"):
         shuffled = seen.orderBy(F.expr(order)).coalesce(1)
         assert [tuple(r)[2:] for r in join_inventory_demand(stock, shuffled).collect()] == [(2.0, 2.0)]
+
+
+def test_features_of_a_row_are_ranked_in_the_row(spark):
+    from harborline.operators import reports
+
+    weights = {"x": 2.0, "y": -1.0, "z": 0.5}
+    df = spark.createDataFrame([("a", 1.0, 4.0, None), ("b", 5.0, 4.0, 2.0), ("c", 3.0, -8.0, 8.0)], "id string, x double, y double, z double")
+    rows, records = modeling.feature_attribution(df, ["id"], weights), modeling.attributed(df, weights)
+    for found, same in (
+        (modeling.attribution_explain(records, ["id"], 2), modeling.attribution_explain(rows, ["id"], 2)),
+        (reports.top_drivers(records, ["id"], 2).select("id", "top_drivers"), reports.top_drivers(rows, ["id"], 2)),
+    ):
+        assert sorted(found.collect()) == sorted(same.collect()) and found.columns == same.columns
+        assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.id, r["rank"]): (r.feature, r.direction, r.amount) for r in modeling.attribution_explain(records, ["id"], 2).collect()}
+    assert got[("a", 1)] == ("x", "DECREASES", 4.0) and got[("a", 2)] == ("y", "DECREASES", 4.0) and got[("c", 1)] == ("y", "INCREASES", 8.0)
+    assert {r.id: [d.feature for d in r.top_drivers] for r in reports.top_drivers(records, ["id"], 2).collect()} == {"a": [], "b": ["x"], "c": ["y", "z"]}
