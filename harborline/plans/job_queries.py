@@ -66,6 +66,18 @@ def _stock_stream(t: Tables) -> DataFrame:
     return _event_stream(t).join(stock_now, "product_id").withColumn("inventory_days", days)
 
 
+def _alert_table(t: Tables) -> DataFrame:
+    """One row for each alert that the stream lets out, with the earliest of its window and how often it came."""
+    alerts = stock.stream_alerts(_stock_stream(t), F.col("timestamp"))
+    let_out = _finished(stock.stream_dedup(alerts)).select(*stock.ALERT_KEY)
+    table = VersionedTable(t.spark, fresh_path(t.spark, "alerts"))
+    stock.keep_windows(stock.alert_repeats(alerts), table, stock.ALERT_KEY, fresh_path(t.spark, "progress"), "alerts").awaitTermination()
+    if table.version() is None:  # no event, so no batch
+        return t.spark.createDataFrame([], stock.alert_repeats(alerts).schema)
+    found = ordering.join_on(table.read(), let_out, stock.ALERT_KEY)
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end", "timestamp")})
+
+
 LIVE_ALERTS = """SELECT l.product_id, l.warehouse_id, i.current_stock, round_even(i.current_stock / nullif(l.quantity, 0), 2) AS inventory_days,
   CASE WHEN i.current_stock / nullif(l.quantity, 0) < 3 THEN 'CRITICAL' ELSE 'WARNING' END AS alert_level, l.timestamp
 FROM {v_live} l JOIN {v_inventory} i ON l.product_id = i.product_id WHERE i.current_stock / nullif(l.quantity, 0) <= 7"""
@@ -84,10 +96,12 @@ JOIN {v_inventory} i ON w.product_id = i.product_id""",
 add("stream_alerts", lambda t: _finished(stock.stream_alerts(_stock_stream(t), F.col("timestamp")), "timestamp"), LIVE_ALERTS, "inventory_days")
 add(
     "stream_dedup",
-    lambda t: _finished(stock.stream_dedup(stock.stream_alerts(_stock_stream(t), F.col("timestamp"))), "window_start", "window_end")
-    .select("window_start", "window_end", "product_id", "warehouse_id", "alert_level"),
-    f"""SELECT DISTINCT date_trunc('day', timestamp) AS window_start, date_trunc('day', timestamp) + INTERVAL 1 DAY AS window_end, product_id, warehouse_id, alert_level
-FROM ({LIVE_ALERTS})""",
+    _alert_table,
+    f"""SELECT date_trunc('day', timestamp) AS window_start, date_trunc('day', timestamp) + INTERVAL 1 DAY AS window_end, product_id, warehouse_id, alert_level,
+  min(timestamp) AS timestamp, first(inventory_days ORDER BY timestamp, inventory_days, current_stock) AS inventory_days,
+  first(current_stock ORDER BY timestamp, inventory_days, current_stock) AS current_stock, count(*) AS repeats
+FROM ({LIVE_ALERTS}) GROUP BY 1, 2, 3, 4, 5""",
+    "inventory_days",
 )
 add(
     "stream_quarantine",

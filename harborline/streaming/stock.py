@@ -14,6 +14,7 @@ from harborline.sources.versions import VersionedTable
 # Sources whose records hold JSON text in the column ``value``.
 RECORDS = ("kafka", "text")
 WINDOW_KEY = ["window_start", "product_id", "warehouse_id"]
+ALERT_KEY = ["window_start", "product_id", "warehouse_id", "alert_level"]
 
 
 def stream_source(spark: SparkSession, fmt: str, **options: str) -> DataFrame:
@@ -105,12 +106,26 @@ def stream_dedup(alerts: DataFrame, size: str = "1 day", late: str = "1 day") ->
     """
     windowed = typed(alerts).withColumn("_window", F.window("timestamp", size))
     windowed = windowed.select(F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end"), *typed(alerts).columns)
-    keys = ["product_id", "warehouse_id", "alert_level", "window_start"]
+    keys = ALERT_KEY
     if windowed.isStreaming:
         return windowed.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(keys)
     return windowed.dropDuplicates(keys)
 
 
+def alert_repeats(alerts: DataFrame, size: str = "1 day", late: str = "1 day") -> DataFrame:
+    """The earliest alert of each product, warehouse and level in every window of time, and how many there were.
+
+    Works on streams and tables. On a stream use update mode (``keep_windows``, by ``ALERT_KEY``): every batch brings the
+    windows that it changed, open ones too.
+    """
+    grouped = typed(alerts).withWatermark("timestamp", late).groupBy(F.window("timestamp", size), "product_id", "warehouse_id", "alert_level")
+    first = F.min(F.struct("timestamp", "inventory_days", "current_stock")).alias("first")
+    return grouped.agg(first, F.count(F.lit(1)).alias("repeats")).select(
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "product_id", "warehouse_id", "alert_level",
+        "first.timestamp", "first.inventory_days", "first.current_stock", "repeats",
+    )
+
+
 def keep_windows(stream: DataFrame, table: VersionedTable, key: list[str], checkpoint: str, name: str, every: str | None = None) -> StreamingQuery:
     """Keep a keyed table of a stream's windows up to date, open ones included: every batch merges the windows that it changed.
 

@@ -163,3 +163,22 @@ def test_the_first_alert_comes_out_at_once(spark, tmp_path):
     assert seen == [[1.0], [1.0, 5.0], [1.0, 3.0, 5.0]]
     alerts = spark.read.schema(schema).parquet(str(tmp_path / "in"))
     assert stock.stream_dedup(alerts).count() == 3 and stock.stream_dedup(alerts).columns[:2] == ["window_start", "window_end"]
+
+
+def test_repeats_of_alerts_are_counted_with_the_earliest(spark, tmp_path):
+    schema = "timestamp timestamp, product_id string, warehouse_id string, alert_level string, inventory_days double, current_stock double"
+    batches = [
+        [(datetime(2024, 1, 1, 8), "a", "W1", "CRITICAL", 1.0, 1.0), (datetime(2024, 1, 1, 9), None, "W1", "WARNING", 5.0, 5.0)],
+        [(datetime(2024, 1, 1, 7), "a", "W1", "CRITICAL", 2.0, 4.0), (datetime(2024, 1, 1, 7), "a", "W1", "CRITICAL", 2.5, 3.0)],
+        [(datetime(2024, 1, 2, 7), "a", "W1", "CRITICAL", 3.0, 3.0)],
+    ]
+    table = versions.VersionedTable(spark, str(tmp_path / "alerts"))
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = stock.alert_repeats(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        stock.keep_windows(stream, table, stock.ALERT_KEY, str(tmp_path / "at"), "alerts").awaitTermination()
+    got = {(r.window_start.day, r.product_id, r.alert_level): (r.timestamp.day, r.timestamp.hour, r.inventory_days, r.current_stock, r.repeats) for r in table.read().collect()}
+    # The last window is there although nothing came after it.
+    assert got == {(1, "a", "CRITICAL"): (1, 7, 2.0, 4.0, 3), (1, None, "WARNING"): (1, 9, 5.0, 5.0, 1), (2, "a", "CRITICAL"): (2, 7, 3.0, 3.0, 1)}
+    batch = stock.alert_repeats(spark.read.schema(schema).parquet(str(tmp_path / "in")))
+    assert sorted(batch.collect(), key=repr) == sorted(table.read().select(*batch.columns).collect(), key=repr)
