@@ -10,9 +10,9 @@ from harborline.operators.ordering import join_on, running_totals
 FEW_ROWS = 1_000_000
 
 
-def many_rows(df: DataFrame, key: list[str]) -> DataFrame | None:
-    """The keys with more than FEW_ROWS rows, or None if there are none (one aggregate over ``df`` tells)."""
-    found = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW_ROWS).select(*key)
+def many_rows(df: DataFrame, key: list[str], few: int | None = None) -> DataFrame | None:
+    """The keys with more than ``few`` rows (FEW_ROWS), or None if there are none (one aggregate over ``df`` tells)."""
+    found = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (FEW_ROWS if few is None else few)).select(*key)
     return None if found.isEmpty() else found
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from harborline.functions.quantiles import many_rows
+
 BLOCK_ROWS = 1_000_000
 
 
@@ -41,14 +43,36 @@ def over_rows(
 ) -> DataFrame:
     """Add window columns that read at most ``lookback`` rows before the current one.
 
-    A series is cut into blocks of ``block_rows`` consecutive rows, and each block also gets copies of the
-    ``lookback`` rows before it. Windows then run per key and block and the copies are dropped again, so
-    the result equals that of one window per key however many rows one key has. ``make`` gets the window
-    and returns the new columns; all of them share one sort. ``pos`` may be used in them.
+    A series of up to ``block_rows`` rows has one window, after one shuffle by key. A longer one is cut into blocks of
+    so many consecutive rows, and each block also gets copies of the ``lookback`` rows before it. Windows then run per key
+    and block and the copies are dropped again, so the result equals that of one window per key however many rows one
+    key has. ``make`` gets the window and returns the new columns; all of them share one sort. ``pos`` may be used in
+    them. ``df`` is read once more to count the rows of its keys.
     """
     whole = [*keys] or ["_all"]
     rows = df if keys else df.withColumn("_all", F.lit(0))
     order = [date, *[c for c in tiebreak if c in df.columns]]
+    hot = many_rows(rows.select(*whole), whole, block_rows)
+    if hot is None:
+        return _over_whole(rows, whole, order, make, df.columns)
+    short, long = (rows.join(F.broadcast(hot), whole, kind) for kind in ("left_anti", "left_semi"))
+    return _over_whole(short, whole, order, make, df.columns).unionByName(_over_blocks(long, whole, date, order, lookback, make, block_rows, df.columns))
+
+
+def _over_whole(rows: DataFrame, keys: list[str], order: list[str], make: Callable[[WindowSpec], dict[str, Column]], columns: list[str]) -> DataFrame:
+    """One window for each key; undated rows come last, rows without a key belong to no series."""
+    for key in keys:
+        rows = rows.where(F.col(key).isNotNull())
+    window = Window.partitionBy(*keys).orderBy(F.col(order[0]).asc_nulls_last(), *order[1:])
+    placed = rows.withColumn("pos", F.row_number().over(window))
+    new = make(window)
+    return placed.select("*", *[c.alias(n) for n, c in new.items()]).select(*columns, *new)
+
+
+def _over_blocks(
+    rows: DataFrame, whole: list[str], date: str, order: list[str], lookback: int, make: Callable[[WindowSpec], dict[str, Column]], block_rows: int,
+    columns: list[str],
+) -> DataFrame:
     placed = with_position(rows, whole, date, order)
     own = F.floor((F.col("pos") - 1) / block_rows)
     last = F.floor((F.least(F.col("pos") + lookback, F.col("series_rows")) - 1) / block_rows)
@@ -56,7 +80,7 @@ def over_rows(
     window = Window.partitionBy(*whole, "_block").orderBy("pos")
     new = make(window)
     out = copies.select("*", *[c.alias(n) for n, c in new.items()]).where(F.col("_block") == F.col("_own"))
-    return out.select(*df.columns, *new)
+    return out.select(*columns, *new)
 
 
 def trailing(window: WindowSpec, rows: int, before: int = 0) -> WindowSpec:

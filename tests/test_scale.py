@@ -171,3 +171,20 @@ def test_columns_are_pruned_and_filters_pushed(spark):
     plan = QUERIES["supplier_performance"].run(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     scan = next(line for line in plan.splitlines() if "FileScan parquet" in line)
     assert "l_extendedprice" not in scan and "l_quantity" not in scan
+
+
+def test_short_series_are_shuffled_once(spark):
+    rows = [(k, f"2024-01-{d:02d}" if d else None, "r", float(d * v)) for k, v in (("a", 1), ("b", 2), (None, 3)) for d in range(0, 20)]
+    sales = spark.createDataFrame(rows, "product_id string, date string, region string, daily_sales double").withColumn("date", F.col("date").cast("date"))
+    # "a" is shorter, so "b" alone is cut into blocks of 12.
+    sales = sales.where("product_id IS NULL OR product_id = 'b' OR day(date) < 10")
+
+    def columns(w):
+        return {"n": F.count("daily_sales").over(trailing(w, 3)), "m": F.sum("daily_sales").over(trailing(w, 3)), "at": F.col("pos")}
+
+    def found(block_rows):
+        return over_rows(sales, ["product_id"], "date", 2, columns, ("region",), block_rows)
+
+    assert found(100)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(found(100).collect(), key=repr) == sorted(found(12).collect(), key=repr) == sorted(found(4).collect(), key=repr)
+    assert {r.product_id for r in found(100).collect()} == {"a", "b"} and found(100).where("date IS NULL").first().at == 20
