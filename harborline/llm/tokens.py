@@ -15,7 +15,7 @@ from harborline.llm.words import byte_table, cut_words, spread
 BLANKS = byte_table(blanks=b" \n", breaks=b"")
 VOCABULARY = "word_bpe_49k.json"
 # Forms and lower-case letter runs that one Python worker remembers, and the longest; none changes a result.
-MEMORY_FORMS = 250_000
+MEMORY_FORMS = 100_000
 MEMORY_RUNS = 500_000
 LONGEST_REMEMBERED = 32
 # Below this all letters are their own NFC form and have simple lower-case forms.
@@ -75,6 +75,23 @@ class WordEncoder(dict):
                 self.runs[small] = found
         return found + mark if mark else found
 
+    def parts(self, forms: list[str]) -> list[bytes]:
+        """The ids of each form. Runs of plain letters are remembered in lower case only, with or without a mark; other forms as they are."""
+        runs, marks, out = self.runs, self.marks, []
+        for word in forms:
+            mark = marks.get(word[-1:])
+            letters = word[:-1] if mark else word
+            if letters and (letters.isascii() or max(letters) < PLAIN_LETTERS_END):
+                found = runs.get(letters.lower())
+                if found is not None:
+                    out.append(found + mark if mark else found)
+                    continue
+                if letters.isalpha():
+                    out.append(self.find(word))
+                    continue
+            out.append(self[word])
+        return out
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -86,7 +103,7 @@ class WordEncoder(dict):
     def encode_all(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (no nulls), one after the other, and where each text's begin and end. Each distinct word is looked up once."""
         code, forms, row, _ = cut_words(texts, BLANKS)
-        ids, upto = spread([self[word] for word in forms.to_pylist()], code)
+        ids, upto = spread(self.parts(forms.to_pylist()), code)
         return ids, upto[np.searchsorted(row, np.arange(len(texts) + 1))]
 
 

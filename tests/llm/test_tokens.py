@@ -150,3 +150,12 @@ def test_orc_files_have_bloom_filters(spark, awkward, tmp_path):
     data = b"".join(p.read_bytes() for p in (tmp_path / "ids").glob("*.orc"))
     assert data.startswith(b"ORC") and len(data) > 0
     assert sum(1 for _ in (tmp_path / "ids").glob("*.orc")) >= 1
+
+
+def test_forms_of_plain_letters_are_remembered_in_lower_case_only():
+    words = tokens.WordEncoder(tokens.vocabulary_path())
+    forms = ["", " ", ".", "House", "house", "HOUSE.", "house,", "Año", "AÑO!", "Kelvin", "kelvin", "İstanbul", "a1", "x" * 50, "ы", "don't", "é", "..", "ẞ", "ß"]
+    for _ in range(2):
+        assert words.parts(forms) == [words.whole(form) for form in forms]
+    assert {"house", "año", "kelvin"} <= set(words.runs)
+    assert not {"House", "house", "HOUSE.", "house,", "Año", "AÑO!", "kelvin"} & set(words)
