@@ -46,10 +46,12 @@ def cut_words(texts: pa.StringArray, table: np.ndarray, shown: np.ndarray | None
     edge[ends] = True
     starts = np.flatnonzero(inside[1:] & (edge | ~inside[:-1]))
     stops = np.flatnonzero(inside[:-1] & (edge | ~inside[1:]))
-    row = np.searchsorted(ends, starts, "right") - 1
-    broken = np.concatenate([[0], np.cumsum(kind == BREAK)])[starts]
+    row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, ends)))
     opens = np.ones(len(starts), bool)
-    opens[1:] = (broken[1:] != broken[:-1]) | (row[1:] != row[:-1])
+    opens[1:] = row[1:] != row[:-1]
+    if (table == BREAK).any():
+        broken = np.concatenate([[0], np.cumsum(kind == BREAK)])[starts]
+        opens[1:] |= broken[1:] != broken[:-1]
     # Words and the gaps after them, in turn.
     cuts = np.empty(2 * len(starts) + 1, "i4")
     cuts[0:-1:2], cuts[1::2], cuts[-1] = starts, stops, len(data)
