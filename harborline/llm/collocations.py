@@ -234,15 +234,11 @@ class Counting:
         threshold. Rows that share no bit with such a phrase are left out before anything is shuffled."""
         heavy = self.rows("heavy")
         known = read_filter(heavy.select("spot", F.lit(0).alias("since")), 0, heavy.count())
-        handed = self.spark.sparkContext.broadcast(known)
-
-        def passing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(handed.value.has_spots(handed.value.reached, batch.column(1).to_numpy())))
-
-        on_workers(self.spark)
-        every = self.rows("all")
-        return self.totals(every.mapInArrow(passing, every.schema))
+        # One row with all cells of the filter, so that rows are compared where they are read and only those that pass are copied.
+        cells = pa.table({"cells": pa.array([known.reached.view("i8")], pa.list_(pa.int64()))})
+        bit = F.shiftright("spot", SPOT_BITS - known.power)
+        passes = F.getbit(F.get("cells", F.shiftright(bit, 6)), bit.bitwiseAND(63)) == 1
+        return self.totals(self.rows("all").join(F.broadcast(self.spark.createDataFrame(cells)), passes).drop("cells"))
 
     def settle(self, final: bool) -> DataFrame:
         """``reached``: the phrases known to have reached the threshold, with the step that showed it."""
