@@ -63,19 +63,22 @@ def master_build(
     What follows from an order alone is added to the orders. Both joins by order share one shuffle of the items; that by
     seller is the last, so that a stored master has the rows of a seller side by side.
     """
+    return delivery_flags(item_rows(orders, items, reviews, products, translation).join(sellers, "seller_id", "left"))
+
+
+def item_rows(orders: DataFrame, items: DataFrame, reviews: DataFrame, products: DataFrame, translation: DataFrame) -> DataFrame:
+    """The master without what is known about its sellers."""
     names = products.select("product_id", "product_category_name").join(translation, "product_category_name", "left")
-    joined = (
+    return (
         items.join(purchase_buckets(dispatch_intervals(orders)), "order_id", "left")
         .join(first_review(reviews), "order_id", "left")
         .join(names, "product_id", "left")
-        .join(sellers, "seller_id", "left")
     )
-    return delivery_flags(joined)
 
 
 def feature_rows(master: DataFrame) -> DataFrame:
-    """The columns that features and labels are made of."""
-    return master.select(*FEATURE_ROW)
+    """The columns that features and labels are made of, as far as they are there."""
+    return master.select(*[c for c in FEATURE_ROW if c in master.columns])
 
 
 def master_summary(master: DataFrame) -> DataFrame:
@@ -127,13 +130,16 @@ def window_range_join(
     return placed.join(F.broadcast(targets), "_bucket").where(inside).drop("_bucket")
 
 
-def _by_seller(master: DataFrame, hot: DataFrame | None) -> list[DataFrame]:
+def _by_seller(master: DataFrame, hot: DataFrame | None, names: DataFrame | None = None) -> list[DataFrame]:
     """The rows with those of a seller in one task, so that windows and aggregates of sellers and dates follow without another
-    shuffle; the rows of ``hot`` sellers, if there are any, apart and left where they are."""
+    shuffle; the rows of ``hot`` sellers, if there are any, apart and left where they are. Rows without the columns of their
+    sellers meet the ``names`` there, once for each name of the seller."""
     if hot is None:
-        return [master.repartition("seller_id")]
-    few = F.broadcast(hot)
-    return [master.join(few, "seller_id", "left_anti").repartition("seller_id"), master.join(few, "seller_id", "left_semi")]
+        parts = [master.repartition("seller_id")]
+    else:
+        few = F.broadcast(hot)
+        parts = [master.join(few, "seller_id", "left_anti").repartition("seller_id"), master.join(few, "seller_id", "left_semi")]
+    return parts if names is None else [rows.join(names.select("seller_id"), "seller_id", "left") for rows in parts]
 
 
 def _since(days: int) -> Column:
@@ -189,9 +195,13 @@ def seller_window_aggs(weeks: DataFrame, zero_otd_is_one: bool = True) -> DataFr
     return parts.select(*POINT, *_recent_features(zero_otd_is_one))
 
 
-def seller_tenure(master: DataFrame, points: DataFrame) -> DataFrame:
-    """State and completed days since the first order, for the given sellers and dates."""
-    first = master.groupBy("seller_id").agg(F.min(BOUGHT).alias("_first"), F.max("seller_state").alias("seller_state"))
+def seller_tenure(master: DataFrame, points: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """State and completed days since the first order, for the given sellers and dates; the state from ``names``, if given."""
+    state = F.max("seller_state").alias("seller_state")
+    if names is None:
+        first = master.groupBy("seller_id").agg(F.min(BOUGHT).alias("_first"), state)
+    else:
+        first = master.groupBy("seller_id").agg(F.min(BOUGHT).alias("_first")).join(names.groupBy("seller_id").agg(state), "seller_id", "left")
     days = whole_days("_first", F.col("observation_date").cast("timestamp_ntz"))
     return points.join(first, "seller_id").withColumn("seller_tenure_days", days).drop("_first")
 
@@ -336,7 +346,9 @@ def _approximate_figures(waited: DataFrame) -> DataFrame:
     return waited.groupBy(*POINT).agg(*_week_sums(), *medians, *[c.alias(n) for n, c in _recent_parts().items()])
 
 
-def _points(master: DataFrame, dates: DataFrame, approximate: bool, hot: DataFrame | None = None) -> DataFrame:
+def _points(
+    master: DataFrame, dates: DataFrame, approximate: bool, hot: DataFrame | None = None, names: DataFrame | None = None
+) -> DataFrame:
     """One row per seller and date: trends, active weeks, dispatch time of the last week and 30-day figures.
 
     One pass over the rows of the eight weeks gives the weekly volumes, reviews and median dispatch times as columns. The
@@ -348,7 +360,7 @@ def _points(master: DataFrame, dates: DataFrame, approximate: bool, hot: DataFra
     if approximate:
         main = _approximate_figures(waited(master))
     else:
-        together, *apart = _by_seller(master, hot)
+        together, *apart = _by_seller(master, hot, names)
         main = _ranked_figures(waited(together))
         for rows in apart:
             main = main.unionByName(_counted_figures(eight_weeks(rows, dates)))
@@ -381,10 +393,12 @@ def seller_features(master: DataFrame, dates: DataFrame, zero_otd_is_one: bool =
     return _features(master, dates, zero_otd_is_one, approximate, None if approximate else hot_sellers(master))
 
 
-def _features(master: DataFrame, dates: DataFrame, zero_otd_is_one: bool, approximate: bool, hot: DataFrame | None) -> DataFrame:
-    points = _points(master, dates, approximate, hot).withColumn("dispatch_time_p50_7d", F.coalesce("_last_dispatch", F.lit(0.0)))
+def _features(
+    master: DataFrame, dates: DataFrame, zero_otd_is_one: bool, approximate: bool, hot: DataFrame | None, names: DataFrame | None = None
+) -> DataFrame:
+    points = _points(master, dates, approximate, hot, names).withColumn("dispatch_time_p50_7d", F.coalesce("_last_dispatch", F.lit(0.0)))
     out = points.select(*POINT, *_recent_features(zero_otd_is_one), "dispatch_time_p50_7d", "seller_active_weeks", *TRENDS)
-    return seller_tenure(master, out).select(*POINT, "seller_state", *SELLER_FEATURES)
+    return seller_tenure(master, out, names).select(*POINT, "seller_state", *SELLER_FEATURES)
 
 
 # Labels.
@@ -416,7 +430,8 @@ def churn_labels(
 
 
 def _labels(
-    master: DataFrame, dates: DataFrame, hot: DataFrame | None, gap: int = 1, horizon: int = 45, days: int = 60, min_rows: int = 3
+    master: DataFrame, dates: DataFrame, hot: DataFrame | None, gap: int = 1, horizon: int = 45, days: int = 60, min_rows: int = 3,
+    names: DataFrame | None = None,
 ) -> DataFrame:
     t = F.col("observation_date").cast("timestamp_ntz")
     later = F.col(BOUGHT) >= t + F.expr(f"interval {gap} days")
@@ -426,7 +441,7 @@ def _labels(
         counts = around.groupBy(*POINT).agg(F.count_if(F.col(BOUGHT) <= t).alias("_before"), F.count_if(later).alias("_after"))
         return counts.where(F.col("_before") >= min_rows).select(*POINT, (F.col("_after") == 0).cast("int").alias("churned"))
 
-    together, *apart = _by_seller(master.select("seller_id", BOUGHT), hot)
+    together, *apart = _by_seller(master.select("seller_id", BOUGHT), hot, names)
     out = labelled(together)
     for rows in apart:
         out = out.unionByName(labelled(rows))
@@ -437,10 +452,14 @@ def labels_join_features(labels: DataFrame, features: DataFrame) -> DataFrame:
     return labels.join(features, POINT)
 
 
-def seller_dataset(master: DataFrame, dates: DataFrame) -> DataFrame:
-    """Features and label of every active seller at every observation date."""
+def seller_dataset(master: DataFrame, dates: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Features and label of every active seller at every observation date.
+
+    ``master`` may come without the columns of the sellers, as from ``item_rows``; then ``names`` are the sellers (seller_id,
+    seller_state), a stored table, as they are read three times. The shuffle by seller then serves for them, too.
+    """
     hot = hot_sellers(master)
-    return labels_join_features(_labels(master, dates, hot), _features(master, dates, True, False, hot))
+    return labels_join_features(_labels(master, dates, hot, names=names), _features(master, dates, True, False, hot, names))
 
 
 # Reports.

@@ -152,13 +152,23 @@ class Tables:
         """The columns of the master that features and labels read, as a table; they read it several times."""
         return stored(sellers.feature_rows(self.master), "seller-rows")
 
+    @cached_property
+    def seller_items(self) -> DataFrame:
+        """The same without the sellers' own, so that no row is shuffled by seller before features are made of it."""
+        inputs = self["v_orders"], self["v_items"], self["v_reviews"], self["v_products_cat"], self["v_translation"]
+        return stored(sellers.feature_rows(sellers.delivery_flags(sellers.item_rows(*inputs))), "seller-items")
+
+    @cached_property
+    def seller_names(self) -> DataFrame:
+        return stored(self["v_sellers"].select("seller_id", "seller_state"), "seller-names")
+
     @cached_property
     def weeks(self) -> DataFrame:
         return sellers.eight_weeks(self.stored_master, self.dates)
 
     @cached_property
     def dataset(self) -> DataFrame:
-        return sellers.seller_dataset(self.seller_rows, self.dates)
+        return sellers.seller_dataset(self.seller_items, self.dates, self.seller_names)
 
     @cached_property
     def stored_dataset(self) -> DataFrame:

@@ -147,3 +147,15 @@ def test_sellers_with_very_many_rows_get_the_same_figures(spark, table, dates, m
     assert all(tuple(a)[2:] == pytest.approx(tuple(b)[2:]) for a, b in zip(slopes, sorted(sellers.trend_slopes(master, dates).collect(), key=repr)))
     few = next(r for r in usual if r.seller_id == "few" and r.observation_date == T)
     assert (few.dispatch_time_p50_7d, few.product_category_diversity) == (1.25, 0)
+
+
+def test_sellers_are_met_where_their_rows_lie(spark, table, dates, monkeypatch):
+    rows = [row("twice", d, category="abc"[d % 3]) for d in (2, 9)] + [row("once", d) for d in (1, 8, 20)] + [row("none", d) for d in (3, 4, 5)] + [row(None, 3)]
+    items = table(MASTER, *rows).drop("seller_state")
+    # A seller with two states has each row twice, so two rows are enough to be active.
+    names = spark.createDataFrame([("twice", "RJ"), ("twice", "SP"), ("once", "MG"), (None, "BA")], "seller_id string, seller_state string")
+    want = sorted(sellers.seller_dataset(items.join(names, "seller_id", "left"), dates).collect())
+    assert [(r.seller_id, r.seller_state, r.orders_30d) for r in want] == [("none", None, 3), ("once", "MG", 3), ("twice", "SP", 4)]
+    assert sorted(sellers.seller_dataset(items, dates, names).collect()) == want
+    monkeypatch.setattr("harborline.functions.quantiles.FEW_ROWS", 2)
+    assert sorted(sellers.seller_dataset(items, dates, names).collect()) == want
