@@ -25,8 +25,8 @@ from harborline.llm.words import by_bytes, with_ends
 from harborline.session import stored
 
 CAPACITY = 2048
-# Bytes of text that a task encodes together.
-CHUNK_BYTES = 4 << 20
+# Bytes of text that a task encodes together; its arrays take about twenty times as much of the worker's memory.
+CHUNK_BYTES = 1 << 20
 END_ID = 0
 # Groups into which the pieces of one length are dealt for ranking, so that a frequent length is no single task.
 RANK_BLOCKS = 1024
@@ -43,25 +43,30 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     vocabulary = vocabulary or vocabulary_path()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(vocabulary)
-        for batch in by_bytes(batches, 1, CHUNK_BYTES):
-            ids, ends = with_ends(*words.encode_all(batch.column(1).fill_null("")), [], [end_id])
-            size = np.diff(ends)
-            count = -(-size // capacity)
-            row = np.repeat(np.arange(len(size)), count)
-            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            start = piece * capacity
-            length = np.minimum(capacity, size[row] - start)
-            data, at = memoryview(ids.tobytes()), 4 * (ends[row] + start)
-            crcs = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
-            yield pa.record_batch(
-                [batch.column(0).cast(pa.int64()).take(pa.array(row)), pa.array(piece.astype("i4")), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+        return cut_texts(batches, vocabulary, capacity, end_id)
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECE_SCHEMA)
 
 
+def cut_texts(batches: Iterable[pa.RecordBatch], vocabulary: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``pieces`` for batches of (doc_id, text), about ``CHUNK_BYTES`` of text at a time."""
+    words = encoder(vocabulary)
+    for batch in by_bytes(batches, 1, CHUNK_BYTES):
+        ids, ends = with_ends(*words.encode_all(batch.column(1).fill_null("")), [], [end_id])
+        size = np.diff(ends)
+        count = -(-size // capacity)
+        row = np.repeat(np.arange(len(size)), count)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        start = piece * capacity
+        length = np.minimum(capacity, size[row] - start)
+        data, at = memoryview(ids.tobytes()), 4 * (ends[row] + start)
+        crcs = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+        yield pa.record_batch(
+            [batch.column(0).cast(pa.int64()).take(pa.array(row)), pa.array(piece.astype("i4")), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())],
+            names=["doc_id", "piece", "start", "length", "ids_crc32"],
+        )
+
+
 @dataclass(frozen=True)
 class Run:
     """Pieces of one length, by rank: ``each`` of them in every sequence from ``first`` on, at ``offset`` and after."""

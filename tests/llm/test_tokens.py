@@ -1,6 +1,7 @@
 """Tokens, packing and ORC files against the tokenizers library and exhaustive packing."""
 
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -159,3 +160,19 @@ def test_forms_of_plain_letters_are_remembered_in_lower_case_only():
         assert words.parts(forms) == [words.whole(form) for form in forms]
     assert {"house", "año", "kelvin"} <= set(words.runs)
     assert not {"House", "house", "HOUSE.", "house,", "Año", "AÑO!", "kelvin"} & set(words)
+
+
+def test_packing_encodes_in_little_memory():
+    """A worker's arrays do not grow with the batch that Spark hands it."""
+    rng = np.random.default_rng(6)
+    words = ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(3000)]
+    texts = [" ".join(words[k] for k in rng.integers(0, 3000, 800)) for _ in range(1300)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    path = tokens.vocabulary_path()
+    list(packing.cut_texts([batch.slice(0, 200)], path, 2048, 0))
+    tracemalloc.start()
+    got = sum(sum(b.column(3).to_pylist()) for b in packing.cut_texts([batch], path, 2048, 0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == sum(len(tokens.encoder(path).encode(t)) // 4 + 1 for t in texts)
+    assert peak < 40 << 20
