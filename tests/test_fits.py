@@ -154,3 +154,13 @@ def test_training_days_score_as_in_the_fit(spark):
     odd = spark.createDataFrame([(1, 10.0, 0.01), (2, 1e9, 1e9), (3, None, None)], "day int, a double, b double")
     new = {r.day: r.anomaly_score for r in stats.tail_scores(odd, tails, "day", ["a", "b"]).collect()}
     assert new[2] > max(want.values()) > new[1] > 0 == new[3] and np.isfinite(list(new.values())).all()
+
+
+def test_a_search_writes_its_rows_down_every_few_trees(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(float(a), float(b), float(a + 0.1 * b)) for a, b in rng.random((60, 2))], "a double, b double, y double")
+    model = modeling.search_regression(df, ["a", "b"], "y", trials=1, trees=(12, 12), depths=(2, 2))
+    booster = model.stages[-1]
+    # Every job of a tree carries the trees since the rows were last written down.
+    assert booster.getNumTrees == 12 and booster.getOrDefault("checkpointInterval") <= 10
+    assert model.transform(df).count() == 60
