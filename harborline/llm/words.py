@@ -33,33 +33,48 @@ def lower_table() -> np.ndarray:
     return np.frombuffer(bytes(range(256)).lower(), "u1")
 
 
-def cut_words(texts: pa.StringArray, table: np.ndarray, shown: np.ndarray | None = None) -> Words:
-    """All words of ``texts`` (no nulls, less than 2 GB), cut at the bytes that ``table`` names; ``shown`` maps their bytes."""
+def buffers_of(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ``texts`` (no nulls, less than 2 GB) side by side, and where each text begins and ends."""
     ends = np.frombuffer(texts.buffers()[1], "i4")[texts.offset:texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", "u1")[ends[0]:ends[-1]]
-    ends = ends - ends[0]
-    kind = table[data]
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = kind == WORD
+    return np.frombuffer(texts.buffers()[2] or b"", "u1")[ends[0]:ends[-1]], ends - ends[0]
+
+
+def edges(word: np.ndarray, ends: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word begins and ends, and the row of its text. ``word`` tells the bytes of words, ``cut`` before which of them another begins."""
+    inside = np.zeros(len(word) + 2, bool)
+    inside[1:-1] = word
     # Texts stand side by side in the buffer, so a word also starts and ends where its text does.
-    edge = np.zeros(len(data) + 1, bool)
+    edge = np.zeros(len(word) + 1, bool)
+    if cut is not None:
+        edge[:-1] = cut
     edge[ends] = True
     starts = np.flatnonzero(inside[1:] & (edge | ~inside[:-1]))
     stops = np.flatnonzero(inside[:-1] & (edge | ~inside[1:]))
-    row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, ends)))
+    return starts, stops, np.repeat(np.arange(len(ends) - 1), np.diff(np.searchsorted(starts, ends)))
+
+
+def coded(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, pa.StringArray]:
+    """Each word's place among the distinct forms, and the forms; ``data`` has the bytes of the words alone."""
+    cuts = np.zeros(len(starts) + 1, "i4")
+    np.cumsum(stops - starts, out=cuts[1:])
+    found = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return found.indices.to_numpy().astype("i8"), found.dictionary
+
+
+def cut_words(texts: pa.StringArray, table: np.ndarray, shown: np.ndarray | None = None) -> Words:
+    """All words of ``texts`` (no nulls, less than 2 GB), cut at the bytes that ``table`` names; ``shown`` maps their bytes."""
+    data, ends = buffers_of(texts)
+    kind = table[data]
+    word = kind == WORD
+    starts, stops, row = edges(word, ends)
     opens = np.ones(len(starts), bool)
     opens[1:] = row[1:] != row[:-1]
     if (table == BREAK).any():
         broken = np.concatenate([[0], np.cumsum(kind == BREAK)])[starts]
         opens[1:] |= broken[1:] != broken[:-1]
-    # Words and the gaps after them, in turn.
-    cuts = np.empty(2 * len(starts) + 1, "i4")
-    cuts[0:-1:2], cuts[1::2], cuts[-1] = starts, stops, len(data)
-    if shown is not None:
-        data = shown[data]
-    both = pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
-    coded = both.dictionary_encode()
-    return Words(coded.indices.to_numpy()[::2].astype("i8"), coded.dictionary, row, opens)
+    data = data[word]
+    code, forms = coded(data if shown is None else shown[data], starts, stops)
+    return Words(code, forms, row, opens)
 
 
 def by_bytes(batches: Iterable[pa.RecordBatch], text: int, size: int) -> Iterator[pa.RecordBatch]:

@@ -176,3 +176,24 @@ def test_packing_encodes_in_little_memory():
     tracemalloc.stop()
     assert got == sum(len(tokens.encoder(path).encode(t)) // 4 + 1 for t in texts)
     assert peak < 40 << 20
+
+
+def test_words_of_known_pieces_take_no_full_way(library):
+    """Signs, digits, capitals and marks around known letters cost no run of the whole tokenizer for each word."""
+    letters, signs = ["House", "AÑO", "été", "x"], ["!!", "-", "@", "##", "7", "."]
+    texts = [" ".join(a + s + b + t for a in letters for s in signs for b in letters for t in signs)]
+    words = tokens.WordEncoder(tokens.vocabulary_path())
+    whole, full = words.whole, []
+    words.whole = lambda text: full.append(text) or whole(text)
+    ids, ends = words.encode_all(pa.array(texts))
+    assert ids.tolist() == library(texts[0]) and ends.tolist() == [0, len(ids)]
+    assert len(full) <= 30
+
+
+@pytest.mark.parametrize("first", [0, 0x80, 0x180, 0x250, 0x300, 0x2000])
+def test_characters_between_letters_digits_and_signs(library, first):
+    texts = [t for n in range(first, first + 0x80) for c in [chr(n)] for t in (f"a{c}b", f"A{c}", f"{c}Z1", f"{c}{c}!", f"É{c}é, x", f"1{c}'S")]
+    texts += ["", " ", "\n \n", "<|endoftext|>", "a<|ENDOFTEXT|>", "|endoftext|>", "don't", "d'é'LL"]
+    for some in (pa.array(texts), pa.array(texts).slice(5, 40), pa.array(["", " \n"]), pa.array([], pa.string())):
+        ids, ends = ENCODER.encode_all(some)
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [library(t) for t in some.to_pylist()]
