@@ -197,3 +197,11 @@ def test_characters_between_letters_digits_and_signs(library, first):
     for some in (pa.array(texts), pa.array(texts).slice(5, 40), pa.array(["", " \n"]), pa.array([], pa.string())):
         ids, ends = ENCODER.encode_all(some)
         assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [library(t) for t in some.to_pylist()]
+
+
+def test_capitals_and_marks_share_one_form():
+    code, forms, row = tokens.cut_forms(pa.array(["House house.", "", "HOUSE, été ÉTÉ!! a1", "it's It's"]))
+    shown = forms.take(pa.array(code)).to_pylist()
+    assert shown == ["house", "house", ".", "house", ",", "été", "été", "!!", "a", "1", "it's", "It's"]
+    assert row.tolist() == [0, 0, 0, 2, 2, 2, 2, 2, 2, 2, 3, 3]
+    assert sorted(forms.to_pylist()) == sorted(set(shown))
