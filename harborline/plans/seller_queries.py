@@ -25,7 +25,7 @@ MASTER = [
 ]
 INTERVALS = "dispatch_days delivery_days estimated_days delivery_delay_days"
 
-add("master_build", lambda t: t.master.select(*MASTER), f"SELECT {', '.join(MASTER)} FROM {{d_master}}", f"freight_value {INTERVALS}")
+add("master_build", lambda t: t.whole_master.select(*MASTER), f"SELECT {', '.join(MASTER)} FROM {{d_master}}", f"freight_value {INTERVALS}")
 add(
     "first_review",
     lambda t: sellers.first_review(t["v_reviews"]),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -132,11 +132,18 @@ class Tables:
 
     # Sellers.
 
+    @property
+    def _marketplace(self) -> list[DataFrame]:
+        return [self[n] for n in ("v_orders", "v_items", "v_sellers", "v_reviews", "v_products_cat", "v_translation")]
+
     @cached_property
     def master(self) -> DataFrame:
-        return sellers.master_build(
-            self["v_orders"], self["v_items"], self["v_sellers"], self["v_reviews"], self["v_products_cat"], self["v_translation"]
-        )
+        return sellers.master_build(*self._marketplace)
+
+    @cached_property
+    def whole_master(self) -> DataFrame:
+        """The same for what reads all columns; part of it is written down on the way, so that its shuffles do not add up."""
+        return sellers.master_build(*self._marketplace, keep=partial(stored, name="items"))
 
     @cached_property
     def dates(self) -> DataFrame:
@@ -145,7 +152,7 @@ class Tables:
     @cached_property
     def stored_master(self) -> DataFrame:
         """The master as a table, for what reads it several times."""
-        return stored(self.master, "master")
+        return stored(self.whole_master, "master")
 
     @cached_property
     def seller_rows(self) -> DataFrame:
@@ -156,15 +163,20 @@ class Tables:
     def seller_items(self) -> DataFrame:
         """The same without the sellers' own, so that no row is shuffled by seller before features are made of it."""
         inputs = self["v_orders"], self["v_items"], self["v_reviews"], self["v_products_cat"], self["v_translation"]
-        return stored(sellers.feature_rows(sellers.delivery_flags(sellers.item_rows(*inputs))), "seller-items")
+        return stored(sellers.feature_rows(sellers.item_rows(*inputs)), "seller-items")
 
     @cached_property
     def seller_names(self) -> DataFrame:
         return stored(self["v_sellers"].select("seller_id", "seller_state"), "seller-names")
 
+    def seller_columns(self, *cols: str) -> DataFrame:
+        """Seller, time of purchase and the given columns of the master, as a table; no other columns are shuffled for it."""
+        return stored(self.master.select("seller_id", sellers.BOUGHT, *cols), "seller-columns")
+
     @cached_property
     def weeks(self) -> DataFrame:
-        return sellers.eight_weeks(self.stored_master, self.dates)
+        """The master's rows for each date; not stored, so that only the columns that are asked for are shuffled."""
+        return sellers.eight_weeks(self.master, self.dates)
 
     @cached_property
     def dataset(self) -> DataFrame:

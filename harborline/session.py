@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,8 @@ SQL_SETTINGS = {
     # The JVM does not compile methods above 8000 bytes; run wide aggregates as several small ones instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
+# With this, a finished execution leaves no shuffle files behind.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str = "harborline", master: str | None = None, **settings: str) -> SparkSession:
@@ -81,6 +85,20 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def without_old_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, shuffle files go when what made them is written; otherwise they lie beside those of all later steps."""
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
+
+
 def stored(df: DataFrame, name: str, *order: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it from there.
 
@@ -88,5 +106,6 @@ def stored(df: DataFrame, name: str, *order: str) -> DataFrame:
     those columns, so a filter on them skips files.
     """
     path = fresh_path(df.sparkSession, name)
-    (df.repartitionByRange(*order) if order else df).write.parquet(path)
+    with without_old_shuffles(df.sparkSession):
+        (df.repartitionByRange(*order) if order else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

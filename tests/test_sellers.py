@@ -1,11 +1,13 @@
 """Hand-worked cases of the seller master, windows, labels and features."""
 
+import time
 from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from harborline.operators import sellers
+from harborline.plans.catalog import QUERIES
 from harborline.plans.tables import Tables
 
 T = date(2018, 3, 31)
@@ -159,3 +161,84 @@ def test_sellers_are_met_where_their_rows_lie(spark, table, dates, monkeypatch):
     assert sorted(sellers.seller_dataset(items, dates, names).collect()) == want
     monkeypatch.setattr("harborline.functions.quantiles.FEW_ROWS", 2)
     assert sorted(sellers.seller_dataset(items, dates, names).collect()) == want
+
+
+def shuffled(df):
+    """The keys and columns of the shuffles in a plan."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    keys = [line.split("hashpartitioning(")[1].split(", ENSURE")[0].split(", REPARTITION")[0] for line in lines if "Exchange hashpartitioning" in line]
+    return [[c.split("#")[0] for c in k.split(", ") if "#" in c] for k in keys]
+
+
+def test_wide_columns_are_shuffled_once(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = t.master._jdf.queryExecution().optimizedPlan().toString()
+        keys = shuffled(t.master)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Items meet their seller and product before anything of an order or review is with them, and its figures come after all joins.
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert [next(k for k in ("order_id", "product_id", "seller_id", "product_category_name") if k in line) for line in joins][:4] == [
+        "order_id", "order_id", "product_id", "seller_id"
+    ]
+    assert plan.index("dispatch_days") < plan.index("Join LeftOuter") and plan[plan.index("Join LeftOuter"):].count(" AS dispatch_days") == 0
+    assert keys.count(["seller_id"]) >= 1 and ["product_id"] in keys and ["order_id"] in keys
+
+
+def test_whole_master_written_on_the_way(spark, rows):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert t.whole_master.columns == t.master.columns and rows(t.whole_master, *t.master.columns) == rows(t.master, *t.master.columns)
+
+
+def test_per_seller_with_sellers_of_very_many_rows(spark, table, dates, rows, monkeypatch):
+    data = [row("hot", d * 0.25, dispatch=d % 7 - 1.0, category="abc"[d % 3], review=d % 5 + 1.0) for d in range(-40, 270)]
+    data += [row("few", d, category=None, dispatch=d / 4) for d in (50, 33, 31, 30, 6, 5, 1)] + [row(None, d) for d in (1, 2, 3, 3)]
+    master = table(MASTER, *data)
+    dates = sellers.observation_dates_on(spark, T, T - timedelta(days=31))
+    weeks = sellers.eight_weeks(master, dates)
+    whole = {
+        "p50": sellers.seller_dispatch_p50(weeks), "series": sellers.weekly_dispatch(weeks), "aggs": sellers.seller_window_aggs(weeks),
+        "gone": sellers.anti_survivors(sellers.active_sellers(master, dates), sellers.future_sellers(master, dates)),
+    }
+
+    def parts():
+        def weekly(figures, **more):
+            return lambda some: figures(sellers.eight_weeks(some, dates), **more)
+
+        return {
+            "p50": sellers.per_seller(master, weekly(sellers.seller_dispatch_p50, together=True), weekly(sellers.seller_dispatch_p50)),
+            "series": sellers.per_seller(master, weekly(sellers.weekly_dispatch, together=True), weekly(sellers.weekly_dispatch)),
+            "aggs": sellers.per_seller(master, weekly(sellers.seller_window_aggs)),
+            "gone": sellers.per_seller(master, lambda some: sellers.anti_survivors(sellers.active_sellers(some, dates), sellers.future_sellers(some, dates))),
+        }
+
+    want = {name: rows(df, *df.columns) for name, df in whole.items()}
+    assert len(want["p50"]) == 5 and len(want["gone"]) >= 1
+    for few in (1_000_000, 100):
+        monkeypatch.setattr("harborline.functions.quantiles.FEW_ROWS", few)
+        assert {name: rows(df, *whole[name].columns) for name, df in parts().items()} == want
+
+
+def test_trends_need_four_columns_of_the_master(table, dates, rows):
+    master = table(MASTER, *[row("a", d, dispatch=d / 3, review=float(d % 5 + 1)) for d in (50, 43, 30, 29, 5, 4)], row("b", 3, dispatch=None))
+    got = sellers.trend_slopes(master.select("seller_id", "order_purchase_timestamp", "dispatch_days", "review_score"), dates)
+    assert rows(got, *got.columns) == rows(sellers.seller_features(master, dates), *got.columns)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    from harborline.session import DROP_SHUFFLES, stored
+
+    marks = []
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("id").alias("n"))
+    set_before = spark.conf.get(DROP_SHUFFLES)
+    status = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = status.shuffleStatuses().size()
+    kept = stored(df, "marks")
+    for _ in range(50):
+        marks.append(status.shuffleStatuses().size())
+        if marks[-1] <= before:
+            break
+        time.sleep(0.1)
+    assert marks[-1] <= before and kept.count() == 7 and df.count() == 7 and spark.conf.get(DROP_SHUFFLES) == set_before
