@@ -242,3 +242,8 @@ def test_stored_tables_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert marks[-1] <= before and kept.count() == 7 and df.count() == 7 and spark.conf.get(DROP_SHUFFLES) == set_before
+
+
+def test_rows_of_eight_weeks_shuffle_no_other_columns(spark):
+    plan = QUERIES["window_range_join"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderdate" in plan and not [c for c in ("o_orderstatus", "l_tax", "n_name", "o_orderpriority") if c in plan]
