@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -103,8 +105,19 @@ add(
     lambda t: t.weeks.select(*ROW, "observation_date"),
     f"SELECT {ROW_SQL}, observation_date FROM {{d_weeks}}",
 )
+
+
+def _per_week(t: Tables, *cols: str, **figures: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Figures of sellers from their rows of eight weeks, with the given columns."""
+    def of_weeks(made: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        return lambda rows: made(sellers.eight_weeks(rows, t.dates))
+
+    return sellers.per_seller(t.seller_columns(*cols), **{name: of_weeks(made) for name, made in figures.items()})
+
+
+RECENT = ["order_status", "on_time", "review_score", "price", "product_category_name"]
 WINDOW = "rolling_30d_otd_rate rolling_30d_avg_review high_complaint_rate_30d revenue_at_risk_30d cancellation_rate_30d"
-add("seller_window_aggs", lambda t: sellers.seller_window_aggs(t.weeks), "SELECT * FROM {d_window_aggs}", WINDOW)
+add("seller_window_aggs", lambda t: _per_week(t, *RECENT, figures=sellers.seller_window_aggs), "SELECT * FROM {d_window_aggs}", WINDOW)
 add("seller_tenure", lambda t: sellers.seller_tenure(t.stored_master, t.weeks.select(*SELLER_KEYS).distinct()), "SELECT * FROM {d_tenure}")
 add("seller_dispatch_p50_7d", lambda t: sellers.seller_dispatch_p50(t.weeks), "SELECT * FROM {d_p50}", "dispatch_time_p50_7d")
 add("seller_active_weeks", lambda t: sellers.seller_active_weeks(t.weeks), "SELECT * FROM {d_active_weeks}")

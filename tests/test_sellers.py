@@ -192,6 +192,15 @@ def test_whole_master_written_on_the_way(spark, rows):
     assert t.whole_master.columns == t.master.columns and rows(t.whole_master, *t.master.columns) == rows(t.master, *t.master.columns)
 
 
+@pytest.mark.parametrize("name", [
+    "seller_window_aggs",
+])
+def test_seller_figures_shuffle_rows_by_seller_only(spark, name):
+    keys = shuffled(QUERIES[name].run(spark, "/root/testdata/sf0.001"))
+    # No row of eight weeks is shuffled; rows go to their seller once they are read, before they are there for each date.
+    assert ["seller_id"] in keys and not [k for k in keys if "seller_id" in k and "observation_date" in k]
+
+
 def test_per_seller_with_sellers_of_very_many_rows(spark, table, dates, rows, monkeypatch):
     data = [row("hot", d * 0.25, dispatch=d % 7 - 1.0, category="abc"[d % 3], review=d % 5 + 1.0) for d in range(-40, 270)]
     data += [row("few", d, category=None, dispatch=d / 4) for d in (50, 33, 31, 30, 6, 5, 1)] + [row(None, d) for d in (1, 2, 3, 3)]
