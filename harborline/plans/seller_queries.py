@@ -119,7 +119,12 @@ RECENT = ["order_status", "on_time", "review_score", "price", "product_category_
 WINDOW = "rolling_30d_otd_rate rolling_30d_avg_review high_complaint_rate_30d revenue_at_risk_30d cancellation_rate_30d"
 add("seller_window_aggs", lambda t: _per_week(t, *RECENT, figures=sellers.seller_window_aggs), "SELECT * FROM {d_window_aggs}", WINDOW)
 add("seller_tenure", lambda t: sellers.seller_tenure(t.stored_master, t.weeks.select(*SELLER_KEYS).distinct()), "SELECT * FROM {d_tenure}")
-add("seller_dispatch_p50_7d", lambda t: sellers.seller_dispatch_p50(t.weeks), "SELECT * FROM {d_p50}", "dispatch_time_p50_7d")
+add(
+    "seller_dispatch_p50_7d",
+    lambda t: _per_week(t, "dispatch_days", figures=partial(sellers.seller_dispatch_p50, together=True), of_many=sellers.seller_dispatch_p50),
+    "SELECT * FROM {d_p50}",
+    "dispatch_time_p50_7d",
+)
 add("seller_active_weeks", lambda t: _per_week(t, figures=sellers.seller_active_weeks), "SELECT * FROM {d_active_weeks}")
 add("active_sellers", lambda t: sellers.active_sellers(t.master, t.dates), "SELECT * FROM {d_active}")
 add(
