@@ -115,6 +115,10 @@ def _per_week(t: Tables, *cols: str, **figures: Callable[[DataFrame], DataFrame]
     return sellers.per_seller(t.seller_columns(*cols), **{name: of_weeks(made) for name, made in figures.items()})
 
 
+def _dispatch_series(t: Tables) -> DataFrame:
+    return _per_week(t, "dispatch_days", figures=partial(sellers.weekly_dispatch, together=True), of_many=sellers.weekly_dispatch)
+
+
 RECENT = ["order_status", "on_time", "review_score", "price", "product_category_name"]
 WINDOW = "rolling_30d_otd_rate rolling_30d_avg_review high_complaint_rate_30d revenue_at_risk_30d cancellation_rate_30d"
 add("seller_window_aggs", lambda t: _per_week(t, *RECENT, figures=sellers.seller_window_aggs), "SELECT * FROM {d_window_aggs}", WINDOW)
@@ -135,7 +139,7 @@ add(
 add("churn_labels", lambda t: sellers.churn_labels(t.stored_master, t.dates), "SELECT * FROM {d_labels}")
 add(
     "weekly_fill",
-    lambda t: sellers.weekly_fill(sellers.weekly_dispatch(t.weeks), True, 0.0),
+    lambda t: sellers.weekly_fill(_dispatch_series(t), True, 0.0),
     "SELECT * FROM {d_dispatch_series}",
     "y",
 )
