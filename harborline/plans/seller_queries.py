@@ -147,7 +147,7 @@ SLOPES = " ".join(sellers.TRENDS)
 add("trend_slopes", lambda t: sellers.trend_slopes(t.stored_master, t.dates), "SELECT * FROM {d_slopes}", SLOPES)
 add(
     "weekly_pivot",
-    lambda t: sellers.weekly_pivot(sellers.weekly_volume(t.weeks)),
+    lambda t: sellers.weekly_pivot(_per_week(t, figures=sellers.weekly_volume)),
     "SELECT seller_id, observation_date, " + ", ".join(f"max(y) FILTER (WHERE week_idx = {i}) AS w{i}" for i in range(8)) + " FROM {d_volume} GROUP BY 1, 2",
 )
 FEATURES = f"{WINDOW} dispatch_time_p50_7d {SLOPES}"
