@@ -115,6 +115,13 @@ def _per_week(t: Tables, *cols: str, **figures: Callable[[DataFrame], DataFrame]
     return sellers.per_seller(t.seller_columns(*cols), **{name: of_weeks(made) for name, made in figures.items()})
 
 
+def _gone(t: Tables) -> DataFrame:
+    """Sellers that are active at a date and have no order after it."""
+    return sellers.per_seller(
+        t.seller_columns(), lambda rows: sellers.anti_survivors(sellers.active_sellers(rows, t.dates), sellers.future_sellers(rows, t.dates))
+    )
+
+
 def _dispatch_series(t: Tables) -> DataFrame:
     return _per_week(t, "dispatch_days", figures=partial(sellers.weekly_dispatch, together=True), of_many=sellers.weekly_dispatch)
 
@@ -130,10 +137,10 @@ add(
     "dispatch_time_p50_7d",
 )
 add("seller_active_weeks", lambda t: _per_week(t, figures=sellers.seller_active_weeks), "SELECT * FROM {d_active_weeks}")
-add("active_sellers", lambda t: sellers.active_sellers(t.master, t.dates), "SELECT * FROM {d_active}")
+add("active_sellers", lambda t: sellers.per_seller(t.seller_columns(), lambda rows: sellers.active_sellers(rows, t.dates)), "SELECT * FROM {d_active}")
 add(
     "anti_survivors",
-    lambda t: sellers.anti_survivors(sellers.active_sellers(t.stored_master, t.dates), sellers.future_sellers(t.stored_master, t.dates)),
+    _gone,
     "SELECT seller_id, observation_date FROM {d_active} EXCEPT SELECT seller_id, observation_date FROM {d_future}",
 )
 add("churn_labels", lambda t: sellers.churn_labels(t.stored_master, t.dates), "SELECT * FROM {d_labels}")
