@@ -143,7 +143,7 @@ add(
     _gone,
     "SELECT seller_id, observation_date FROM {d_active} EXCEPT SELECT seller_id, observation_date FROM {d_future}",
 )
-add("churn_labels", lambda t: sellers.churn_labels(t.stored_master, t.dates), "SELECT * FROM {d_labels}")
+add("churn_labels", lambda t: sellers.churn_labels(t.seller_columns(), t.dates), "SELECT * FROM {d_labels}")
 add(
     "weekly_fill",
     lambda t: sellers.weekly_fill(_dispatch_series(t), True, 0.0),
@@ -179,7 +179,7 @@ FROM (SELECT CAST(unnest(range(8)) AS INT) AS week_idx) w LEFT JOIN (
 )
 add(
     "churn_rate",
-    lambda t: sellers.churn_rate(sellers.churn_labels(t.master, t.dates), ["observation_date"]),
+    lambda t: sellers.churn_rate(sellers.churn_labels(t.seller_columns(), t.dates), ["observation_date"]),
     "SELECT observation_date, count(*) AS total, CAST(sum(churned) AS BIGINT) AS churned, avg(churned) AS churn_rate FROM {d_labels} GROUP BY 1",
     "churn_rate",
 )
@@ -282,7 +282,7 @@ add(
 
 add(
     "class_weight",
-    lambda t: modeling.class_weight(sellers.churn_labels(t.master, t.dates), "churned"),
+    lambda t: modeling.class_weight(sellers.churn_labels(t.seller_columns(), t.dates), "churned"),
     "SELECT coalesce(count(*) FILTER (WHERE churned = 0) / CAST(nullif(count(*) FILTER (WHERE churned = 1), 0) AS DOUBLE), 1) AS weight FROM {d_labels}",
     "weight",
 )
@@ -311,7 +311,7 @@ add(
 )
 add(
     "time_series_folds",
-    lambda t: modeling.time_series_folds(sellers.churn_labels(t.master, t.dates)),
+    lambda t: modeling.time_series_folds(sellers.churn_labels(t.seller_columns(), t.dates)),
     """SELECT f.fold, CASE WHEN b.block = f.fold THEN 'test' ELSE 'train' END AS role, CAST(sum(b.n) AS BIGINT) AS rows FROM (SELECT CAST(unnest(range(1, 6)) AS INT) AS fold) f JOIN (
   SELECT CASE WHEN pos < total - 5 * size THEN 0 ELSE 1 + (pos - (total - 5 * size)) // size END AS block, count(*) AS n FROM (
     SELECT row_number() OVER (ORDER BY observation_date, seller_id) - 1 AS pos, count(*) OVER () AS total, count(*) OVER () // 6 AS size FROM {d_labels}) GROUP BY 1) b
