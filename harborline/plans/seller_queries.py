@@ -151,7 +151,7 @@ add(
     "y",
 )
 SLOPES = " ".join(sellers.TRENDS)
-add("trend_slopes", lambda t: sellers.trend_slopes(t.stored_master, t.dates), "SELECT * FROM {d_slopes}", SLOPES)
+add("trend_slopes", lambda t: sellers.trend_slopes(t.seller_columns("review_score", "dispatch_days"), t.dates), "SELECT * FROM {d_slopes}", SLOPES)
 add(
     "weekly_pivot",
     lambda t: sellers.weekly_pivot(_per_week(t, figures=sellers.weekly_volume)),

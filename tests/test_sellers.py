@@ -193,7 +193,7 @@ def test_whole_master_written_on_the_way(spark, rows):
 
 
 @pytest.mark.parametrize("name", [
-    "seller_window_aggs", "seller_active_weeks", "seller_dispatch_p50_7d", "weekly_fill", "weekly_pivot", "anti_survivors", "churn_labels",
+    "seller_window_aggs", "seller_active_weeks", "seller_dispatch_p50_7d", "weekly_fill", "weekly_pivot", "anti_survivors", "churn_labels", "trend_slopes",
 ])
 def test_seller_figures_shuffle_rows_by_seller_only(spark, name):
     keys = shuffled(QUERIES[name].run(spark, "/root/testdata/sf0.001"))
