@@ -115,6 +115,12 @@ def _per_week(t: Tables, *cols: str, **figures: Callable[[DataFrame], DataFrame]
     return sellers.per_seller(t.seller_columns(*cols), **{name: of_weeks(made) for name, made in figures.items()})
 
 
+def _tenure(t: Tables) -> DataFrame:
+    rows = t.seller_columns("seller_state")
+    points = sellers.per_seller(rows, lambda some: sellers.eight_weeks(some, t.dates).select(*SELLER_KEYS).distinct())
+    return sellers.seller_tenure(rows, points)
+
+
 def _gone(t: Tables) -> DataFrame:
     """Sellers that are active at a date and have no order after it."""
     return sellers.per_seller(
@@ -129,7 +135,7 @@ def _dispatch_series(t: Tables) -> DataFrame:
 RECENT = ["order_status", "on_time", "review_score", "price", "product_category_name"]
 WINDOW = "rolling_30d_otd_rate rolling_30d_avg_review high_complaint_rate_30d revenue_at_risk_30d cancellation_rate_30d"
 add("seller_window_aggs", lambda t: _per_week(t, *RECENT, figures=sellers.seller_window_aggs), "SELECT * FROM {d_window_aggs}", WINDOW)
-add("seller_tenure", lambda t: sellers.seller_tenure(t.stored_master, t.weeks.select(*SELLER_KEYS).distinct()), "SELECT * FROM {d_tenure}")
+add("seller_tenure", _tenure, "SELECT * FROM {d_tenure}")
 add(
     "seller_dispatch_p50_7d",
     lambda t: _per_week(t, "dispatch_days", figures=partial(sellers.seller_dispatch_p50, together=True), of_many=sellers.seller_dispatch_p50),
