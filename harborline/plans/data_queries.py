@@ -80,7 +80,7 @@ add(
 MASTER = "order_id order_item_id product_id seller_id price order_status on_time purchase_month".split()
 add(
     "scan_parquet",
-    lambda t: files.scan_parquet(t.spark, _written(t, t.master, "master", files.sink_parquet), t.master.schema).select(*MASTER),
+    lambda t: files.scan_parquet(t.spark, _written(t, t.whole_master, "master", files.sink_parquet), t.whole_master.schema).select(*MASTER),
     f"SELECT {', '.join(MASTER)} FROM {{d_master}}",
 )
 add(
