@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -59,7 +60,9 @@ def job_seller_dataset(
 ) -> dict[str, DataFrame]:
     """Marketplace tables to stored master, training rows and test rows (observation dates from ``test_from`` on)."""
     master = stored(
-        sellers.master_build(raw["orders"], raw["items"], raw["sellers"], raw["reviews"], raw["products"], raw["category_translation"]),
+        sellers.master_build(
+            raw["orders"], raw["items"], raw["sellers"], raw["reviews"], raw["products"], raw["category_translation"], partial(stored, name="items")
+        ),
         "master",
     )
     rows = stored(sellers.seller_dataset(master, dates), "sellers")
